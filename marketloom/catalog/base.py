@@ -35,7 +35,7 @@ VIEWS: dict[str, str] = {
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_tax >= 0.06""",
     "sentiment_daily": """SELECT asset_id, published_d AS d,
         CAST(count(sentiment_score) AS BIGINT) AS news_count,
-        avg(sentiment_score) AS sentiment_mean, median(sentiment_score) AS sentiment_median,
+        round(avg(sentiment_score), 12) + 0.0 AS sentiment_mean, median(sentiment_score) AS sentiment_median,
         count(*) FILTER (WHERE sentiment_label = 'pos') AS pos_count,
         count(*) FILTER (WHERE sentiment_label = 'neu') AS neu_count,
         count(*) FILTER (WHERE sentiment_label = 'neg') AS neg_count

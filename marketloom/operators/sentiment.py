@@ -22,7 +22,9 @@ def daily_index(news: DataFrame) -> DataFrame:
     label = lambda name: F.coalesce(F.sum(F.when(F.col("sentiment_label") == name, n)), F.lit(0))
     return counted.groupBy("asset_id", F.col("published_d").alias("d")).agg(
         F.coalesce(scored, F.lit(0)).alias("news_count"),
-        F.try_divide(F.sum(score * n), scored.cast("double")).alias("sentiment_mean"),
+        # 12 decimals: what the order of summation leaves behind is not a sign
+        (F.round(F.try_divide(F.sum(score * n), scored.cast("double")), 12) + 0.0)
+        .alias("sentiment_mean"),
         F.percentile(score, 0.5, n).alias("sentiment_median"),
         label("pos").alias("pos_count"), label("neu").alias("neu_count"),
         label("neg").alias("neg_count"))
