@@ -8,6 +8,7 @@ from marketloom.catalog.base import query, view
 from marketloom.functions import params as P
 from marketloom.functions.numeric import r
 from marketloom.operators import facts as A
+from marketloom.session import cut_lineage
 from marketloom.sources.tables import Market
 
 MEASURES = {**P.DURATION_TAGS, **P.EPS_TAGS, **P.INSTANT_TAGS}
@@ -180,13 +181,13 @@ view("inner_ends", "SELECT entity_id, fy_end, fy_filed, unnest(ends) AS end_d FR
       coalesce(abs(same_filing - as_filed) / nullif(greatest(abs(same_filing), abs(as_filed)), 0) <= 0.005, FALSE) AS agree
     FROM sf FULL JOIN af ON af.entity_id = sf.entity_id AND af.fy_end = sf.fy_end AND af.measure = sf.measure""", "fy_end")
 def q4_candidates(m: Market):
-    chosen = A.series(filings(m), measures(m))
+    chosen = cut_lineage(A.series(filings(m), measures(m)), "chosen-facts")
     revenue = A.without_mistagged(A.quarters_of(chosen), A.years_of(chosen))
     c = A.q4_candidates(filings(m), measures(m), chosen, revenue).drop("fy_filed")
     return c.withColumns({"same_filing": r("same_filing", 4), "as_filed": r("as_filed", 4)})
 
 
-@query("fundamentals_with_derived_q4")
+@query("fundamentals_with_derived_q4", dates="fiscal_period_end announced_d")
 def fundamentals_with_derived_q4(m: Market):
     return A.quarterly(filings(m), measures(m), derive_q4=True)
 

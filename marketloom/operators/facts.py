@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from marketloom.functions import params as P
 from marketloom.functions.numeric import ratio
+from marketloom.session import cut_lineage
 
 INSTANT, QUARTER, ANNUAL = "instant", "quarter", "annual"
 
@@ -176,8 +177,9 @@ INSTANTS = list(P.INSTANT_TAGS)
 
 def quarterly(facts: DataFrame, measures: DataFrame, derive_q4: bool = False,
               entity: str = "entity_id") -> DataFrame:
-    """Quarterly statements per entity, anchored on revenue."""
-    chosen = series(facts, measures, entity)
+    """Quarterly statements per entity, anchored on revenue. The chosen values,
+    a small fraction of the facts, are read several times and written once."""
+    chosen = cut_lineage(series(facts, measures, entity), "chosen-facts")
     years = years_of(chosen, "revenue", entity)
     revenue = without_mistagged(quarters_of(chosen, "revenue", entity), years, entity)
     spine = revenue.select(entity, "end_d", "filed_d", F.col("val").alias("revenue"))
@@ -207,7 +209,7 @@ def q4_candidates(facts: DataFrame, measures: DataFrame, chosen: DataFrame, reve
     one = raw.groupBy(entity, "measure", "prio", "filed_d", "end_d").agg(
         F.min_by("val", F.when(F.col("span") == QUARTER, F.col("pos"))).alias("q"),
         F.max_by("val", F.when(F.col("span") == ANNUAL, F.col("pos"))).alias("fy"))
-    filing = one.withColumnRenamed("filed_d", "fy_filed")
+    filing = cut_lineage(one.withColumnRenamed("filed_d", "fy_filed"), "filing-values")
     inner_sum = (ends.join(filing.filter("q IS NOT NULL"), [entity, "fy_filed", "end_d"])
                  .groupBy(*key, "measure", "prio").agg(F.count(F.lit(1)).alias("k"), F.sum("q").alias("qs"))
                  .filter("k = 3"))
