@@ -50,7 +50,7 @@ VIEWS: dict[str, str] = {
         'src' || CAST(user_id % 20 AS VARCHAR) AS source_name, ts AS published_at,
         CAST(ts AS DATE) AS published_d, event_type || ' ' || props AS title,
         'http://n/' || CAST(user_id AS VARCHAR) AS url,
-        round(least(greatest((value - 20) / 40, -1.0), 1.0), 2) AS sentiment_score
+        round(least(greatest((value - 20) / 40, -1.0), 1.0), 5) AS sentiment_score
         FROM events""",
     "facts": """SELECT CAST(o_custkey % 25 + 1 AS INTEGER) AS entity_id, o_orderpriority AS tag,
         CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS prio,
@@ -89,11 +89,13 @@ def expand(body: str) -> str:
     return f"{head}, {own}" if own else f"{head} {body}"
 
 
-def query(name: str, sql: str | None = None, dates: str = ""):
+def query(name: str, sql: str | None = None, dates: str = "", doubles: str = ""):
     """Register `fn(market) -> DataFrame` as a query. `sql` is its equivalent;
     it may start with further common table expressions. Columns named in
-    `dates` leave as ISO text on both sides, so that no reader has to convert."""
-    days = dates.split()
+    `dates` leave as ISO text and nullable counts named in `doubles` as doubles
+    on both sides, so that every reader sees the same type."""
+    casts = {**{c: "string" for c in dates.split()}, **{c: "double" for c in doubles.split()}}
+    sql_types = {"string": "VARCHAR", "double": "DOUBLE"}
 
     def wrap(fn: Callable[[Market], DataFrame]):
         if name in QUERIES:
@@ -101,14 +103,14 @@ def query(name: str, sql: str | None = None, dates: str = ""):
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
             df = fn(Market(spark, folder))
-            return df.withColumns({c: F.col(c).cast("string") for c in days}) if days else df
+            return df.withColumns({c: F.col(c).cast(t) for c, t in casts.items()}) if casts else df
 
         QUERIES[name] = run
         if sql is not None:
             text = expand(sql)
-            if days:
-                casts = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in days)
-                text = f"SELECT * REPLACE ({casts}) FROM ({text})"
+            if casts:
+                parts = ", ".join(f"CAST({c} AS {sql_types[t]}) AS {c}" for c, t in casts.items())
+                text = f"SELECT * REPLACE ({parts}) FROM ({text})"
             ORACLE[name] = text
         return fn
     return wrap

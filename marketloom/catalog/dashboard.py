@@ -15,7 +15,7 @@ from marketloom.sources.tables import Market
 
 
 @query("daily_metrics", """SELECT ticker, d, close, round(return_1d, 6) + 0.0 AS return_1d, volume,
-    round(sentiment_index, 6) + 0.0 AS sentiment_index, news_count FROM metrics""", "d")
+    round(sentiment_index, 6) + 0.0 AS sentiment_index, news_count FROM metrics""", "d", "news_count")
 def daily_metrics(m: Market):
     return m.metrics.select("ticker", "d", "close", r("return_1d").alias("return_1d"), "volume",
                             r("sentiment_index").alias("sentiment_index"), "news_count")
@@ -34,7 +34,7 @@ view("latest", """SELECT ticker, close, return_1d, sentiment_index, news_count,
 
 
 @query("latest_per_ticker", """SELECT ticker, ticker AS display_name, close, round(return_1d, 6) + 0.0 AS return_1d,
-    round(sentiment_index, 6) + 0.0 AS sentiment_index, news_count, d FROM latest""", "d")
+    round(sentiment_index, 6) + 0.0 AS sentiment_index, news_count, d FROM latest""", "d", "news_count")
 def latest_per_ticker(m: Market):
     return D.latest_per_ticker(m.metrics).withColumns(
         {"return_1d": r("return_1d"), "sentiment_index": r("sentiment_index")})
@@ -46,7 +46,7 @@ def latest_per_ticker(m: Market):
       FROM latest WHERE return_1d IS NOT NULL),
     t AS (SELECT 'trending', row_number() OVER (ORDER BY coalesce(news_count, 0) DESC, ticker) AS pos, ticker, return_1d, news_count FROM latest),
     u AS (SELECT * FROM g WHERE pos <= 5 UNION ALL SELECT * FROM l WHERE pos <= 5 UNION ALL SELECT * FROM t WHERE pos <= 6)
-    SELECT list, CAST(pos AS INTEGER) AS pos, ticker, round(return_1d, 6) + 0.0 AS return_1d, news_count FROM u""")
+    SELECT list, CAST(pos AS INTEGER) AS pos, ticker, round(return_1d, 6) + 0.0 AS return_1d, news_count FROM u""", doubles="news_count")
 def top_movers(m: Market):
     return D.top_movers(D.latest_per_ticker(m.metrics)).withColumn("return_1d", r("return_1d"))
 

@@ -22,6 +22,7 @@ _DIR = ", ".join(f"CASE WHEN target_ret_{h}d IS NOT NULL THEN CAST(target_ret_{h
 TECH = ["rsi_14", "macd_hist", "volatility_20", "momentum_5", "momentum_21", "momentum_63", "price_vs_sma20", "price_vs_sma50"]
 RETS = ["target_ret_1d", "target_ret_5d", "target_ret_21d"]
 DIRS = ["target_dir_1d", "target_dir_5d", "target_dir_21d"]
+_DIR_COLS = " ".join(DIRS)
 
 view("tech_feats", "SELECT *, close / nullif(sma_20, 0) - 1 AS price_vs_sma20, close / nullif(sma_50, 0) - 1 AS price_vs_sma50 FROM technicals")
 view("tech_panel", f"SELECT *, {_DIR} FROM (SELECT *, {leads('t', (1, 5, 21), 'asset_id')} FROM tech_feats)")
@@ -31,13 +32,13 @@ view("senti_panel", f"""SELECT *, {_DIR} FROM (SELECT *, lag(sentiment_index, 1)
 
 
 @query("forward_targets", f"""p AS (SELECT ticker, d, {leads('p', (1, 5, 21), 'asset_id')} FROM price_daily)
-    SELECT ticker, d, {sql_round(RETS)}, {_DIR} FROM p""", "d")
+    SELECT ticker, d, {sql_round(RETS)}, {_DIR} FROM p""", "d", _DIR_COLS)
 def forward_targets(m: Market):
     p = returns.forward_targets(m.price_daily, [1, 5, 21])
     return rounded(p, ["ticker", "d", *DIRS], RETS)
 
 
-@query("technical_panel", f"SELECT ticker, d, {', '.join(DIRS)}, {sql_round(TECH + RETS)} FROM tech_panel", "d")
+@query("technical_panel", f"SELECT ticker, d, {', '.join(DIRS)}, {sql_round(TECH + RETS)} FROM tech_panel", "d", _DIR_COLS)
 def technical_panel(m: Market):
     return rounded(panels.technical_panel(m.technicals), ["ticker", "d", *DIRS], TECH + RETS)
 
@@ -45,7 +46,7 @@ def technical_panel(m: Market):
 SENTI = ["sentiment_index", "sentiment_lag1", "sentiment_lag2"]
 
 
-@query("sentiment_panel", f"SELECT ticker, d, news_count, {', '.join(DIRS)}, {sql_round(TECH + SENTI + RETS)} FROM senti_panel", "d")
+@query("sentiment_panel", f"SELECT ticker, d, news_count, {', '.join(DIRS)}, {sql_round(TECH + SENTI + RETS)} FROM senti_panel", "d", _DIR_COLS)
 def sentiment_panel(m: Market):
     p = panels.sentiment_panel(m.technicals, m.sentiment_daily)
     return rounded(p, ["ticker", "d", "news_count", *DIRS], TECH + SENTI + RETS)

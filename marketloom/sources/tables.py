@@ -109,7 +109,7 @@ class Market:
             F.col("ts").alias("published_at"), F.to_date("ts").alias("published_d"),
             F.concat("event_type", F.lit(" "), "props").alias("title"),
             F.concat(F.lit("http://n/"), user.cast("string")).alias("url"),
-            F.round(F.least(F.greatest((F.col("value") - 20) / 40, F.lit(-1.0)), F.lit(1.0)), 2)
+            F.round(F.least(F.greatest((F.col("value") - 20) / 40, F.lit(-1.0)), F.lit(1.0)), 5)
             .alias("sentiment_score"))
 
     @cached_property
