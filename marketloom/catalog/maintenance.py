@@ -350,12 +350,12 @@ def _news_store(m: Market) -> ST.Store:
     return s
 
 
-@query("stored_purge", """k AS (SELECT * FROM headlines WHERE source_name <> 'src4') SELECT asset_id, published_d AS d, count(*) AS news_count, round(avg(sentiment_score), 6) + 0.0 AS mean
+@query("stored_purge", """k AS (SELECT * FROM headlines WHERE source_name <> 'src4') SELECT asset_id, published_d AS d, count(*) AS news_count, round(avg(sentiment_score), 9) + 0.0 AS mean
     FROM k GROUP BY 1, 2""", "d")
 def stored_purge(m: Market):
     s = _news_store(m)
     maintenance.purge_synthetic(s)
-    return s.read("fact_sentiment_daily").select(F.col("asset_id").cast("int").alias("asset_id"), "d", "news_count", r("sentiment_mean").alias("mean"))
+    return s.read("fact_sentiment_daily").select(F.col("asset_id").cast("int").alias("asset_id"), "d", "news_count", r("sentiment_mean", 9).alias("mean"))
 
 
 @query("stored_repair", """SELECT ticker, count(*) AS n, count(return_1d) AS n_returns, round(sum(return_1d), 4) AS total FROM prices GROUP BY 1""")

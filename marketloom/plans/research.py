@@ -1 +1,365 @@
-"""Model evaluations."""
+"""Model evaluations: direction, sentiment, fundamentals, volatility, hypotheses.
+
+Every fit reads its panel several times, so the complete rows are written to the
+shared folder once. What reaches the driver are fold boundaries, fitted models
+and single-row metrics.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
+
+from marketloom.functions import params as P
+from marketloom.functions.numeric import annual_pct, forecast_band, ratio
+from marketloom.functions.tails import mcnemar_p, r_p, z_p
+from marketloom.operators import learning as L
+from marketloom.operators import news, ranking, stats, validation
+from marketloom.operators.learning import in_parallel
+from marketloom.plans.panels import usable
+from marketloom.session import cut_lineage
+
+KEYS = ["ticker", "asset_id", "d"]
+
+
+def latest_rows(panel: DataFrame, features: list[str]) -> DataFrame:
+    """Each ticker's newest row with every feature present."""
+    rows = usable(panel, features)
+    rest = [c for c in rows.columns if c != "ticker"]
+    return rows.groupBy("ticker").agg(F.max_by(F.struct(*rest), "d").alias("v")).select("ticker", "v.*")
+
+
+def signals(model: L.Model, panel: DataFrame, features: list[str]) -> DataFrame:
+    """Latest signal per ticker with its confidence."""
+    scored = L.predict_direction(model, latest_rows(panel, features))
+    return scored.select("ticker", "asset_id", F.col("d").alias("latest_date"),
+                         F.when(F.col("pred") == 1, "UP").otherwise("DOWN").alias("latest_signal"),
+                         F.round("confidence", 3).alias("latest_confidence"))
+
+
+def walk_forward_direction(rows: DataFrame, features: list[str], target: str, n_folds: int = 5,
+                           min_test: int = 10, kind: str = "boosted", rounds: int = 200) -> DataFrame:
+    """Accuracy against the majority baseline per expanding fold; folds that are
+    too thin or whose training rows have one class are left out."""
+    plan = validation.folds(rows, n_folds, min_test)
+    bounds = plan.orderBy("fold").collect()
+
+    def one(b):
+        train = rows.filter(F.col("d") <= F.lit(b.train_end))
+        test = rows.filter(F.col("d").between(F.lit(b.test_start), F.lit(b.test_end)))
+        if train.select(target).distinct().count() < 2 or test.count() < min_test:
+            return None
+        model = L.fit_direction(train, features, target, kind, rounds)
+        return L.predict_direction(model, test).select(F.lit(b.fold).alias("fold"), "d", target, "pred")
+
+    parts = [p for p in in_parallel([lambda b=b: one(b) for b in bounds]) if p is not None]
+    if not parts:
+        return plan.select("fold", "test_start", "test_end").limit(0).withColumns(
+            {"n": F.lit(0), "n_test_days": F.lit(0), "accuracy": F.lit(0.0), "baseline": F.lit(0.0),
+             "beats_baseline": F.lit(False)})
+    preds = reduce(DataFrame.unionByName, parts)
+    days = preds.groupBy("fold").agg(F.count_distinct("d").alias("n_test_days"))
+    per = stats.classification(preds, target, "pred", ["fold"]).select(
+        "fold", "n", F.round("accuracy", 3).alias("accuracy"), F.round("baseline", 3).alias("baseline"), "beats_baseline")
+    return plan.select("fold", "test_start", "test_end").join(per, "fold").join(days, "fold")
+
+
+@dataclass(frozen=True)
+class DirectionReport:
+    """Everything one direction model reports."""
+    metrics: DataFrame
+    curve: DataFrame
+    latest: DataFrame
+    explanation: DataFrame
+    model: L.Model
+
+
+def direction_report(panel: DataFrame, features: list[str] = P.TECHNICAL_FEATURES, horizon: int = 5,
+                     min_rows: int = 120, kind: str = "boosted", rounds: int = 200,
+                     explain: bool = True) -> DirectionReport | None:
+    """Fit on the first 75% of dates, backtest on the rest, signal today.
+
+    The panel decides the scope: one ticker's rows for a per-ticker model, all
+    for a pooled one. None when there is too little to evaluate honestly.
+    """
+    target, ret = f"target_dir_{horizon}d", f"target_ret_{horizon}d"
+    rows = cut_lineage(usable(panel, features + [target]).select(*KEYS, *features, target, ret), "direction-rows")
+    if rows.count() < min_rows:
+        return None
+    rows = cut_lineage(validation.split(rows), "direction-split")
+    train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
+    if test.isEmpty() or train.select(target).distinct().count() < 2:
+        return None
+    model = L.fit_direction(train, features, target, kind, rounds)
+    preds = cut_lineage(L.predict_direction(model, test), "direction-preds")
+    counts = rows.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if("is_test").alias("n_test"),
+                      F.count_distinct(F.when(~F.col("is_test"), F.col("d"))).alias("n_train_days"),
+                      F.count_distinct(F.when(F.col("is_test"), F.col("d"))).alias("n_test_days"))
+    score = stats.classification(preds, target, "pred").drop("n")
+    metrics = counts.withColumns({c: score.select(c).scalar() for c in score.columns})
+    curve = validation.equity_curve(preds, "ticker", ret, "pred").select("ticker", "d", "strategy", "buy_hold")
+    last = latest_rows(panel, features)
+    explanation = (explain_rows(model, last, train, features, ["ticker"]) if explain else None)
+    return DirectionReport(metrics, curve, signals(model, panel, features), explanation, model)
+
+
+def explain_rows(model: L.Model, rows: DataFrame, background: DataFrame, features: list[str],
+                 keys: list[str]) -> DataFrame:
+    """Contribution per feature, largest first by absolute size inside a row."""
+    linear = hasattr(model.stages[-1], "coefficients")
+    a = (L.linear_attribution(model, rows, features, keys) if linear
+         else L.sampled_attribution(model, rows, background, features, keys))
+    return a.orderBy(*keys, F.abs("contribution").desc(), "feature")
+
+
+def direction_grid(panels: dict[str, tuple[DataFrame, list[str]]], horizons: list[int] = P.DIRECTION_HORIZONS,
+                   kinds: tuple[str, ...] = ("logistic", "boosted"), rounds: int = 200,
+                   min_rows: int = 60) -> DataFrame:
+    """{model} x {horizon} x {feature set}: accuracy, precision, recall, F1, AUC
+    and the verdict against the majority baseline."""
+    def one(name, rows, features, h, kind):
+        target = f"target_dir_{h}d"
+        clean = usable(rows, features + [target])
+        if clean.limit(min_rows).count() < min_rows:
+            return None
+        clean = validation.split(clean)
+        train, test = clean.filter(~F.col("is_test")), clean.filter("is_test")
+        if test.isEmpty() or train.select(target).distinct().count() < 2:
+            return None
+        preds = cut_lineage(L.predict_direction(L.fit_direction(train, features, target, kind, rounds), test)
+                            .select(target, "pred", "proba_up"), "grid-preds")
+        area = stats.auc(preds, target, "proba_up").scalar()
+        return stats.classification(preds, target, "pred").select(
+            F.lit(name).alias("features"), F.lit(kind).alias("model"), F.lit(h).alias("horizon"), "n", "accuracy",
+            "baseline", "precision", "recall", "f1", "beats_majority", area.alias("auc"))
+
+    saved = {n: (cut_lineage(df.select(*KEYS, *fs, *[f"target_dir_{h}d" for h in horizons]), "grid-panel"), fs)
+             for n, (df, fs) in panels.items()}
+    tasks = [lambda n=n, df=df, fs=fs, h=h, k=k: one(n, df, fs, h, k)
+             for n, (df, fs) in saved.items() for h in horizons for k in kinds]
+    return reduce(DataFrame.unionByName, [p for p in in_parallel(tasks) if p is not None])
+
+
+def case_studies(panel: DataFrame, headlines: DataFrame, horizon: int = 5, top: int = 3,
+                 min_confidence: float = 0.65, min_rows: int = 60, kind: str = "boosted",
+                 rounds: int = 200) -> DataFrame | None:
+    """Correct, confident test predictions that owe most to sentiment, each with
+    the first headline of its ticker and day."""
+    features = P.TECHNICAL_FEATURES + P.SENTIMENT_FEATURES
+    target, ret = f"target_dir_{horizon}d", f"target_ret_{horizon}d"
+    rows = cut_lineage(validation.split(usable(panel, features + [target, ret])
+                                        .select(*KEYS, *features, target, ret)), "case-rows")
+    if rows.limit(min_rows).count() < min_rows:
+        return None
+    train = rows.filter(~F.col("is_test"))
+    model = L.fit_direction(train, features, target, kind, rounds)
+    preds = L.predict_direction(model, rows.filter("is_test"))
+    sure = cut_lineage(preds.filter((F.col("pred") == F.col(target)) & (F.col("confidence") >= min_confidence)), "case-sure")
+    a = explain_rows(model, sure, train, features, KEYS)
+    share = L.sentiment_share(a, KEYS, P.SENTIMENT_FEATURES)
+    best = sure.join(share, KEYS).orderBy(F.desc("sentiment_share"), "ticker", "d").limit(top)
+    first = news.first_headline(headlines)
+    return best.join(first, ["ticker", "d"], "left").select(
+        "ticker", "d", F.when(F.col("pred") == 1, "UP").otherwise("DOWN").alias("signal"),
+        F.round("confidence", 3).alias("confidence"), F.round(F.col(ret) * 100, 2).alias("realized_return_pct"),
+        F.round("sentiment_index", 3).alias("sentiment_index"),
+        F.round("sentiment_share", 3).alias("sentiment_share"), "sample_headline")
+
+
+def global_attribution(panel: DataFrame, horizon: int = 21, sample: int = 3000, rounds: int = 200,
+                       kind: str = "boosted", features: list[str] = P.TECHNICAL_FEATURES) -> DataFrame:
+    """Mean absolute contribution per feature over a repeatable sample of test
+    rows, with the spread of the predicted probabilities next to it."""
+    target = f"target_dir_{horizon}d"
+    rows = cut_lineage(validation.split(usable(panel, features + [target]).select(*KEYS, *features, target)), "global-rows")
+    train = rows.filter(~F.col("is_test"))
+    model = L.fit_direction(train, features, target, kind, rounds)
+    picked = cut_lineage(ranking.sample_rows(rows.filter("is_test"), ["ticker", "d"], sample), "global-sample")
+    p = L.predict_direction(model, picked)
+    spread = p.agg(F.min("proba_up").alias("proba_min"), F.max("proba_up").alias("proba_max"),
+                   F.stddev_samp("proba_up").alias("proba_std"),
+                   F.avg(((F.col("proba_up") > 0.45) & (F.col("proba_up") < 0.55)).cast("int")).alias("share_undecided"))
+    a = explain_rows(model, picked, train, features, KEYS)
+    mean = a.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
+    return mean.withColumns({c: spread.select(c).scalar() for c in spread.columns}).orderBy(F.desc("mean_abs"))
+
+
+def ols_report(panel: DataFrame, horizon: int, features: list[str] = P.FUNDAMENTAL_FEATURES,
+               day: str = "anchor_date", min_n: int = 15) -> DataFrame | None:
+    """Winsorised multi-feature OLS with a chronological hold-out: R2 on train
+    and test, the train-mean baseline and the coefficients."""
+    y = f"fwd_ret_{horizon}d"
+    rows = cut_lineage(validation.split(usable(panel, features + [y]).select(day, *features, y), day=day), "ols-rows")
+    return _ols(rows.filter(~F.col("is_test")), rows.filter("is_test"), features, y, min_n, min_n)
+
+
+def _ols(train: DataFrame, test: DataFrame, features: list[str], y: str, min_train: int, min_test: int) -> DataFrame | None:
+    n_train, n_test = train.count(), test.count()
+    if n_train < min_train or n_test < min_test:
+        return None
+    bounds = cut_lineage(stats.winsor_bounds(train, features), "winsor")
+    wtrain, wtest = stats.winsorise(train, bounds, features), stats.winsorise(test, bounds, features)
+    model = L.fit_ols(wtrain, features, y)
+    r2 = lambda rows: L.predict_value(model, rows).agg(stats.r_squared(y, "pred"))
+    base = stats.baseline_r2(train, test, y)
+    out = r2(wtest).toDF("test_r2").withColumns({
+        "train_r2": r2(wtrain).scalar(), "baseline_r2": base.scalar(),
+        "n_train": F.lit(n_train), "n_test": F.lit(n_test)})
+    coefs = model.stages[-1].coefficients.toArray().tolist()
+    return out.withColumn("beats_baseline", F.col("test_r2") > F.col("baseline_r2")).withColumns(
+        {f"coef_{f}": F.lit(float(c)) for f, c in zip(features, coefs)})
+
+
+def ols_walk_forward(panel: DataFrame, horizon: int, features: list[str] = P.FUNDAMENTAL_FEATURES,
+                     day: str = "anchor_date", n_folds: int = 5, min_train: int = 15,
+                     min_test: int = 20) -> DataFrame | None:
+    """The OLS per expanding fold, each against its own train-mean baseline."""
+    y = f"fwd_ret_{horizon}d"
+    rows = cut_lineage(usable(panel, features + [y]).select(day, *features, y), "ols-folds")
+    bounds = validation.folds(rows, n_folds, min_test, day).orderBy("fold").collect()
+
+    def one(b):
+        train = rows.filter(F.col(day) <= F.lit(b.train_end))
+        test = rows.filter(F.col(day).between(F.lit(b.test_start), F.lit(b.test_end)))
+        out = _ols(train, test, features, y, min_train, min_test)
+        return None if out is None else out.select(
+            F.lit(b.fold).alias("fold"), F.lit(b.test_start).alias("test_start"), F.lit(b.test_end).alias("test_end"),
+            "n_test", "test_r2", "baseline_r2", "beats_baseline")
+
+    parts = [p for p in in_parallel([lambda b=b: one(b) for b in bounds]) if p is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def factor_table(panel: DataFrame, horizons: list[int] = P.FUNDAMENTAL_HORIZONS) -> DataFrame:
+    """Spearman and Pearson with p-values and stars per (feature, horizon)."""
+    from marketloom.functions.numeric import stars
+    t = stats.rank_correlations(stats.long_pairs(panel, P.FUNDAMENTAL_FEATURES, horizons))
+    n = F.col("n").cast("double")
+    t = t.withColumns({"p_spearman": r_p("spearman", n), "p_pearson": r_p("pearson", n)})
+    return t.withColumns({"sig_spearman": stars("p_spearman"), "sig_pearson": stars("p_pearson")})
+
+
+def volatility_rows(panel: DataFrame, horizon: int, features: list[str] = P.VOLATILITY_FEATURES) -> DataFrame:
+    cols = features + [f"target_logvol_{horizon}d", f"persistence_{horizon}d"]
+    return usable(panel, cols).select(*KEYS, *cols)
+
+
+def volatility_outlook(panel: DataFrame, horizon: int, features: list[str] = P.VOLATILITY_FEATURES,
+                       rounds: int = 300, min_rows: int = 500) -> tuple[DataFrame, DataFrame] | None:
+    """(evaluation, forecasts): the hold-out fit's skill against persistence, and
+    the forecast per ticker of a second fit on all rows, with a band."""
+    target, persist = f"target_logvol_{horizon}d", f"persistence_{horizon}d"
+    rows = cut_lineage(validation.split(volatility_rows(panel, horizon, features)), "vol-rows")
+    train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
+    if train.count() < min_rows or test.count() < min_rows:
+        return None
+    held, live = in_parallel([lambda: L.fit_regression(train, features, target, rounds),
+                              lambda: L.fit_regression(rows, features, target, rounds)])
+    preds = cut_lineage(L.predict_value(held, test), "vol-preds")
+    score = cut_lineage(stats.skill(preds, target, "pred", persist), "vol-score")
+    evaluation = score.withColumns({
+        "horizon": F.lit(horizon), "beats_persistence": F.col("skill") > 0,
+        "n_train": train.agg(F.count(F.lit(1))).scalar(), "test_start": test.agg(F.min("d")).scalar(),
+        "test_end": test.agg(F.max("d")).scalar()})
+    latest = L.predict_value(live, latest_rows(panel, features))
+    error = score.select("mae_model_annpct").scalar()
+    out = latest.withColumns({"current": annual_pct(F.exp("log_vol_20")), "forecast": annual_pct(F.exp("pred"))})
+    lo, hi = forecast_band("forecast", error)
+    forecasts = out.select(
+        "ticker", F.col("d").alias("as_of"), F.lit(horizon).alias("horizon"),
+        F.round("current", 1).alias("current_annpct"), F.round("forecast", 1).alias("forecast_annpct"),
+        F.round(F.when(F.col("current") > 0, ratio("forecast", "current")), 2).alias("ratio_to_current"),
+        F.round(lo, 1).alias("band_low_annpct"), F.round(hi, 1).alias("band_high_annpct"))
+    return evaluation, forecasts
+
+
+def volatility_walk_forward(panel: DataFrame, horizon: int, features: list[str] = P.VOLATILITY_FEATURES,
+                            rounds: int = 300, n_folds: int = 5, min_train: int = 500, min_test: int = 100) -> DataFrame | None:
+    """Skill per fixed fold."""
+    target, persist = f"target_logvol_{horizon}d", f"persistence_{horizon}d"
+    rows = cut_lineage(volatility_rows(panel, horizon, features), "vol-folds")
+    bounds = validation.folds(rows, n_folds, fixed=True).orderBy("fold").collect()
+
+    def one(b):
+        train = rows.filter(F.col("d") <= F.lit(b.train_end))
+        test = rows.filter(F.col("d").between(F.lit(b.test_start), F.lit(b.test_end)))
+        if train.count() < min_train or test.count() < min_test:
+            return None
+        preds = cut_lineage(L.predict_value(L.fit_regression(train, features, target, rounds), test), "vol-fold")
+        return stats.skill(preds, target, "pred", persist).withColumns({
+            "fold": F.lit(b.fold), "test_start": F.lit(b.test_start), "test_end": F.lit(b.test_end)})
+
+    parts = [p for p in in_parallel([lambda b=b: one(b) for b in bounds]) if p is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+# The published feature subsets.
+ABLATIONS = {"all": P.VOLATILITY_FEATURES, "only_log_vol_20": ["log_vol_20"],
+             "without_log_vol_20": [f for f in P.VOLATILITY_FEATURES if f != "log_vol_20"],
+             "only_5_20_60": ["log_vol_5", "log_vol_20", "log_vol_60"]}
+
+
+def volatility_ablation(panel: DataFrame, horizon: int = 21, rounds: int = 300) -> DataFrame:
+    """Test R2 per feature subset on the same rows."""
+    target, persist = f"target_logvol_{horizon}d", f"persistence_{horizon}d"
+    rows = cut_lineage(validation.split(volatility_rows(panel, horizon)), "ablation")
+    train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
+
+    def one(name, features):
+        preds = L.predict_value(L.fit_regression(train, features, target, rounds), test)
+        return preds.agg(stats.r_squared(target, "pred").alias("test_r2"),
+                         stats.r_squared(target, persist).alias("persist_r2")).withColumn("features", F.lit(name))
+
+    return reduce(DataFrame.unionByName, in_parallel([lambda n=n, f=f: one(n, f) for n, f in ABLATIONS.items()]))
+
+
+def hit_rate_hypothesis(panel: DataFrame, horizons: list[int] = P.DIRECTION_HORIZONS,
+                        features: list[str] = P.TECHNICAL_FEATURES, alpha: float = 0.05) -> DataFrame:
+    """H1: hit rate of the logistic model against the majority rate (z-test)."""
+    saved = cut_lineage(panel.select(*KEYS, *features, *[f"target_dir_{h}d" for h in horizons]), "h1-panel")
+
+    def one(h):
+        target = f"target_dir_{h}d"
+        rows = validation.split(usable(saved, features + [target]))
+        model = L.fit_direction(rows.filter(~F.col("is_test")), features, target, "logistic")
+        preds = L.predict_direction(model, rows.filter("is_test"))
+        up = F.avg(F.col(target).cast("double"))
+        a = preds.agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col("pred") == F.col(target)).alias("k"), up.alias("up"))
+        return a.select(F.lit(h).alias("horizon"), "n_test", (F.col("k") / F.col("n_test")).alias("hit_rate"),
+                        F.greatest(F.col("up"), 1 - F.col("up")).alias("baseline"), "k")
+
+    t = reduce(DataFrame.unionByName, in_parallel([lambda h=h: one(h) for h in horizons]))
+    t = t.withColumn("z_stat", stats.proportion_z(F.col("k"), F.col("n_test"), F.col("baseline"))).drop("k")
+    t = t.withColumn("p_value", z_p("z_stat"))
+    return t.withColumn("reject", F.col("p_value") < alpha)
+
+
+def paired_hypothesis(panel: DataFrame, horizons: list[int] = P.DIRECTION_HORIZONS, alpha: float = 0.05) -> DataFrame:
+    """H2: technical against technical + sentiment on the same rows (McNemar)."""
+    tech, both = P.TECHNICAL_FEATURES, P.TECHNICAL_FEATURES + P.SENTIMENT_FEATURES
+    saved = cut_lineage(panel.select(*KEYS, *both, *[f"target_dir_{h}d" for h in horizons]), "h2-panel")
+
+    def one(h):
+        target = f"target_dir_{h}d"
+        rows = validation.split(usable(saved, both + [target]))
+        train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
+        a = L.predict_direction(L.fit_direction(train, tech, target, "logistic"), test)
+        a = a.withColumn("correct_a", F.col("pred") == F.col(target)).drop("pred", "proba_up", "confidence")
+        b = L.predict_direction(L.fit_direction(train, both, target, "logistic"), a)
+        b = b.withColumn("correct_b", F.col("pred") == F.col(target))
+        return stats.mcnemar(b).withColumn("horizon", F.lit(h))
+
+    t = reduce(DataFrame.unionByName, in_parallel([lambda h=h: one(h) for h in horizons]))
+    t = t.withColumn("p_value", mcnemar_p(F.col("a_only").cast("double"), F.col("b_only").cast("double")))
+    return t.withColumn("reject", F.col("p_value") < alpha)
+
+
+def fundamentals_hypothesis(panel: DataFrame, horizons: list[int] = P.FUNDAMENTAL_HORIZONS,
+                            alpha: float = 0.05) -> DataFrame:
+    """H3: Pearson r of each factor with each forward return, corrected over all tests."""
+    t = factor_table(panel, horizons).select("feature", "horizon", "n", F.col("pearson").alias("r"),
+                                             F.col("p_pearson").alias("p_raw"))
+    t = stats.benjamini_hochberg(t, "p_raw", "p_fdr_adjusted")
+    return t.withColumn("significant_after_correction", F.col("p_fdr_adjusted") < alpha)
