@@ -2,5 +2,5 @@
 
 from marketloom.catalog.base import ORACLE, QUERIES  # noqa: F401
 from marketloom.catalog import (  # noqa: F401
-    prices, news, quality, dashboard, stats, filings, panels, maintenance, models,
+    prices, news, quality, dashboard, stats, filings, panels, maintenance, streams, models,
 )

@@ -14,7 +14,7 @@ from marketloom.operators import learning as L
 from marketloom.plans import panels, research as R
 from marketloom.sources.tables import Market
 
-ROUNDS = 10
+ROUNDS = 20
 BOTH = P.TECHNICAL_FEATURES + P.SENTIMENT_FEATURES
 
 

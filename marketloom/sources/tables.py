@@ -106,7 +106,7 @@ class Market:
             "event_id", asset.alias("asset_id"),
             F.concat(F.lit("Brand#"), asset.cast("string")).alias("ticker"),
             F.concat(F.lit("src"), (user % 20).cast("string")).alias("source_name"),
-            F.col("ts").alias("published_at"), F.to_date("ts").alias("published_d"),
+            F.col("ts").cast("timestamp").alias("published_at"), F.to_date("ts").alias("published_d"),
             F.concat("event_type", F.lit(" "), "props").alias("title"),
             F.concat(F.lit("http://n/"), user.cast("string")).alias("url"),
             F.round(F.least(F.greatest((F.col("value") - 20) / 40, F.lit(-1.0)), F.lit(1.0)), 5)
