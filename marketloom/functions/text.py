@@ -149,33 +149,48 @@ def markup_to_text(raw: str | Column) -> Column:
     return F.trim(F.regexp_replace(plain, SPACES, " "))
 
 
+def let(value: Column, use) -> Column:
+    """Bind `value` once for an expression that uses it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+# One character, then everything up to the next period before whitespace. The
+# possessive loops keep long texts linear.
+SENTENCE = r".[^.]*+(?:\.(?!\s)[^.]*+)*+(?:\.\s|$)"
+
+
 def sentences(text: str | Column) -> Column:
-    return F.regexp_extract_all(col(text), F.lit(r".+?(?:\.\s|$)"), 0)
+    return F.regexp_extract_all(col(text), F.lit(SENTENCE), 0)
 
 
 def paragraphs(text: str | Column, per: int = 4) -> Column:
     """Sentences regrouped `per` at a time; nothing added, removed or reordered."""
-    s = sentences(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(per))
-    grouped = F.transform(starts, lambda i: F.trim(F.array_join(F.slice(s, i + 1, per), "")))
-    return F.when(F.size(s) > 0, grouped).otherwise(F.array().cast("array<string>"))
+    def group(s: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)), F.lit(per))
+        grouped = F.transform(starts, lambda i: F.trim(F.array_join(F.slice(s, i + 1, per), "")))
+        return F.when(F.size(s) > 0, grouped).otherwise(F.array().cast("array<string>"))
+    return let(sentences(text), group)
 
 
 def longest_section(text: str | Column, start: str, end: str, min_chars: int,
                     max_chars: int) -> Column:
     """The longest span from a start heading to the first end heading after it;
-    NULL when there is none or its length lies outside the bounds.
+    NULL when there is none or its length lies outside the bounds. The two
+    headings must not be able to share characters.
 
     Cutting the text at the end headings leaves pieces that each run up to one
     end; the longest span of a piece starts at its first start heading.
     """
-    pieces = F.split(col(text), f"(?i){end}", -1)
-    closed = F.slice(pieces, 1, F.size(pieces) - 1)
-    spans = F.transform(closed, lambda p: F.regexp_extract(p, f"(?is){start}.*", 0))
-    longest = F.aggregate(spans, F.lit(""), lambda best, s: F.when(
-        F.length(s) > F.length(best), s).otherwise(best))
-    section = F.trim(longest)
-    return F.when(F.length(section).between(max(min_chars, 1), max_chars), section)
+    def longest(pieces: Column) -> Column:
+        closed = F.slice(pieces, 1, F.size(pieces) - 1)
+        spans = F.transform(closed, lambda p: F.regexp_extract(p, f"(?is){start}.*", 0))
+        return F.trim(F.aggregate(spans, F.lit(""), lambda best, s: F.when(
+            F.length(s) > F.length(best), s).otherwise(best)))
+
+    def bounded(section: Column) -> Column:
+        return F.when(F.length(section).between(max(min_chars, 1), max_chars), section)
+
+    return let(let(F.split(col(text), f"(?i){end}", -1), longest), bounded)
 
 
 # Headings of the business part of an annual report and its length bounds.

@@ -54,7 +54,8 @@ def benjamini_hochberg(tests: DataFrame, p: str, q: str) -> DataFrame:
     m = F.count(p).over(Window.partitionBy(F.col(p).isNull()))
     scaled = tests.withColumn("_scaled", F.col(p) * m / F.row_number().over(order))
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return scaled.withColumn(q, F.least(F.min("_scaled").over(rest), F.lit(1.0))).drop("_scaled")
+    value = F.least(F.min("_scaled").over(rest), F.lit(1.0))
+    return scaled.withColumn(q, F.when(F.col(p).isNotNull(), value)).drop("_scaled")
 
 
 def correlation_ranking(corrs: DataFrame) -> DataFrame:
