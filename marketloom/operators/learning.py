@@ -13,6 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marketloom.operators.rows import beside
 from marketloom.session import scratch_root
 
 Model = PipelineModel
@@ -26,13 +27,12 @@ def use_checkpoints(df: DataFrame) -> None:
 
 
 def balanced(train: DataFrame, label: str) -> DataFrame:
-    """Adds `weight` = n / (2 n_class), the classes' counts being two scalars."""
+    """Adds `weight` = n / (2 n_class)."""
     y = F.col(label)
-    counts = train.agg(F.count_if(y == 1).alias("up"), F.count_if(y == 0).alias("down"))
-    up, down = counts.select("up").scalar(), counts.select("down").scalar()
-    n = up + down
-    return train.withColumn("weight", F.when(y == 1, F.try_divide(n, 2 * up))
-                            .otherwise(F.try_divide(n, 2 * down)).cast("double"))
+    counts = train.agg(F.count_if(y == 1).alias("_up"), F.count_if(y == 0).alias("_down"))
+    n, up, down = F.col("_up") + F.col("_down"), F.col("_up"), F.col("_down")
+    weight = F.when(y == 1, F.try_divide(n, 2 * up)).otherwise(F.try_divide(n, 2 * down))
+    return beside(train, counts).withColumn("weight", weight.cast("double")).drop("_up", "_down")
 
 
 def _classifier(kind: str, features: list[str], n: int, rounds: int) -> Pipeline:
@@ -138,13 +138,12 @@ def sampled_attribution(model: Model, rows: DataFrame, background: DataFrame, fe
         rng.shuffle(order)
         orders.append(order)
     table = F.array(*[F.array(*[F.lit(i) for i in order]) for order in orders])
-    base = background.agg(*[F.avg(f).alias(f) for f in features])
-    means = {f: base.select(f).scalar() for f in features}
+    base = background.agg(*[F.avg(f).alias(f"_mean_{f}") for f in features])
     steps = F.sequence(F.lit(0), F.lit(len(features)))
-    grid = (rows.select(*keys, *features).withColumnsRenamed({f: f"x_{f}" for f in features})
-            .withColumn("order", F.explode(table)).withColumn("step", F.explode(steps)))
+    wide_rows = beside(rows.select(*keys, *features), base)
+    grid = (wide_rows.withColumnsRenamed({f: f"x_{f}" for f in features}).withColumn("order", F.explode(table)).withColumn("step", F.explode(steps)))
     place = {f: F.array_position("order", i) for i, f in enumerate(features, 1)}
-    grid = grid.withColumns({f: F.when(place[f] <= F.col("step"), F.col(f"x_{f}")).otherwise(means[f])
+    grid = grid.withColumns({f: F.when(place[f] <= F.col("step"), F.col(f"x_{f}")).otherwise(F.col(f"_mean_{f}"))
                              for f in features})
     scored = model.transform(grid)
     scored = scored.withColumn("_out", output(scored))

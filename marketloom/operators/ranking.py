@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from marketloom.session import cut_lineage
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """(keys, value, n, below): per key, how often each value occurs and how
-    many rows hold a smaller one."""
-    counted = (df.filter(F.col(value).isNotNull()).groupBy(*keys, value)
-               .agg(F.count(F.lit(1)).alias("n")))
+    many rows hold a smaller one. `weight` counts rows that stand for several."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
     placed = (counted.repartitionByRange(*[F.col(c) for c in [*keys, value]])
               .withColumn("_part", F.spark_partition_id()))
     placed = cut_lineage(placed, "value-ranks")
@@ -51,9 +51,10 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     return rows.groupBy(*keys).agg(*out) if keys else rows.agg(*out)
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, out: str,
+                  weight: str | None = None) -> DataFrame:
     """(keys, value, out): the 1-based rank of each value, ties averaged."""
-    return value_ranks(df, keys, value).select(
+    return value_ranks(df, keys, value, weight).select(
         *keys, value, (F.col("below") + (F.col("n") + 1) / 2).alias(out))
 
 

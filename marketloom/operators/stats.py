@@ -9,6 +9,8 @@ from marketloom.functions import numeric as X
 from marketloom.functions.tails import mcnemar_p, r_p, t_p
 from marketloom.functions.text import display_name
 from marketloom.operators import ranking
+from marketloom.operators.rows import beside
+from marketloom.session import cut_lineage
 
 MIN_PAIRS = 5
 
@@ -141,9 +143,9 @@ def rank_correlations(pairs: DataFrame, min_n: int = 15) -> DataFrame:
     """Pearson and Spearman per (feature, horizon). Equal pairs are counted
     first; ranks are joined by value, so no column is ranked in one task."""
     keys = ["feature", "horizon"]
-    counted = pairs.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    rx = ranking.average_ranks(pairs, keys, "x", "rx")
-    ry = ranking.average_ranks(pairs, keys, "y", "ry")
+    counted = cut_lineage(pairs.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w")), "pairs")
+    rx = ranking.average_ranks(counted, keys, "x", "rx", "w")
+    ry = ranking.average_ranks(counted, keys, "y", "ry", "w")
     ranked = counted.join(rx, [*keys, "x"]).join(ry, [*keys, "y"])
     sums = ranked.groupBy(*keys).agg(
         F.sum("w").alias("n"), _weighted_corr("x", "y").alias("pearson"),
@@ -168,11 +170,10 @@ def winsor_bounds(train: DataFrame, cols: list[str], lo: float = 0.01, hi: float
 
 def winsorise(df: DataFrame, bounds: DataFrame, cols: list[str]) -> DataFrame:
     """Clip each column to its bounds; the bounds are one row of constants."""
-    wide = {}
-    for c in cols:
-        mine = bounds.filter(F.col("feature") == c)
-        wide[c] = X.clip(c, mine.select("lo").scalar(), mine.select("hi").scalar())
-    return df.withColumns(wide)
+    of = lambda side, c: F.max(F.when(F.col("feature") == c, F.col(side)))
+    row = bounds.agg(*[of(side, c).alias(f"_{side}_{c}") for c in cols for side in ("lo", "hi")])
+    clipped = {c: X.clip(c, F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c in cols}
+    return beside(df, row).withColumns(clipped).select(*df.columns)
 
 
 def r_squared(y: str, pred: str) -> Column:
@@ -257,8 +258,8 @@ def skill(scored: DataFrame, y: str, model: str, persist: str) -> DataFrame:
     cells = F.array(F.struct(F.lit("m").alias("k"), err(model).alias("e")),
                     F.struct(F.lit("p").alias("k"), err(persist).alias("e")))
     med = ranking.quantiles(scored.select(F.inline(cells)), ["k"], "e", {"median": 0.5})
-    pick = lambda k: med.filter(F.col("k") == k).select("median").scalar()
-    return base.withColumns({"mae_model_annpct": pick("m"), "mae_persist_annpct": pick("p")})
+    pick = lambda k: F.max(F.when(F.col("k") == k, F.col("median")))
+    return beside(base, med.agg(pick("m").alias("mae_model_annpct"), pick("p").alias("mae_persist_annpct")))
 
 
 def autocorrelations(df: DataFrame, col: str, lags: list[int], label: str) -> DataFrame:
@@ -293,10 +294,11 @@ def design_effect(panel: DataFrame, value: str, n_rows: Column) -> DataFrame:
 
 def return_profile(prices: DataFrame) -> DataFrame:
     """Count, moments and quartiles of the pooled returns."""
+    prices = cut_lineage(prices.select("return_1d"), "returns")
     q = ranking.quantiles(prices, [], "return_1d", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     m = prices.agg(
         F.count("return_1d").alias("n"), F.avg("return_1d").alias("mean"),
         F.stddev_samp("return_1d").alias("std"), F.min("return_1d").alias("min"),
         F.max("return_1d").alias("max"), X.sample_skew("return_1d").alias("skew"),
         X.sample_kurtosis("return_1d").alias("kurtosis"))
-    return m.withColumns({c: q.select(c).scalar() for c in ("q25", "q50", "q75")})
+    return beside(m, q)

@@ -18,6 +18,7 @@ from marketloom.functions.tails import mcnemar_p, r_p, z_p
 from marketloom.operators import learning as L
 from marketloom.operators import news, ranking, stats, validation
 from marketloom.operators.learning import in_parallel
+from marketloom.operators.rows import beside
 from marketloom.plans.panels import usable
 from marketloom.session import cut_lineage
 
@@ -98,7 +99,7 @@ def direction_report(panel: DataFrame, features: list[str] = P.TECHNICAL_FEATURE
                       F.count_distinct(F.when(~F.col("is_test"), F.col("d"))).alias("n_train_days"),
                       F.count_distinct(F.when(F.col("is_test"), F.col("d"))).alias("n_test_days"))
     score = stats.classification(preds, target, "pred").drop("n")
-    metrics = counts.withColumns({c: score.select(c).scalar() for c in score.columns})
+    metrics = beside(counts, score)
     curve = validation.equity_curve(preds, "ticker", ret, "pred").select("ticker", "d", "strategy", "buy_hold")
     last = latest_rows(panel, features)
     explanation = (explain_rows(model, last, train, features, ["ticker"]) if explain else None)
@@ -183,7 +184,7 @@ def global_attribution(panel: DataFrame, horizon: int = 21, sample: int = 3000,
                    F.avg(((F.col("proba_up") > 0.45) & (F.col("proba_up") < 0.55)).cast("int")).alias("share_undecided"))
     a = explain_rows(model, picked, train, features, KEYS)
     mean = a.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
-    return mean.withColumns({c: spread.select(c).scalar() for c in spread.columns}).orderBy(F.desc("mean_abs"))
+    return beside(mean, spread).orderBy(F.desc("mean_abs"))
 
 
 def ols_report(panel: DataFrame, horizon: int, features: list[str] = P.FUNDAMENTAL_FEATURES,

@@ -180,8 +180,9 @@ class Store:
         ddl = TABLES[name].ddl + (f", {MONTH} string" if TABLES[name].day else "")
         return StructType.fromDDL(ddl)
 
-    def exists(self, name: str) -> bool:
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def exists(self, name: str, month: str | None = None) -> bool:
+        path = self.path(name) + (f"/{MONTH}={month}" if month else "")
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return bool(fs.exists(jvm_path))
 
@@ -215,33 +216,44 @@ class Store:
         w = writer.write.mode("overwrite").option("partitionOverwriteMode", mode)
         (w.partitionBy(MONTH) if TABLES[name].day else w).parquet(self.path(name))
 
-    def _touched(self, name: str, batch: DataFrame) -> DataFrame:
-        """Stored rows of the months in `batch`: a list of months, a few dozen
-        a decade, prunes the scan."""
+    def _touched(self, name: str, batch: DataFrame) -> DataFrame | None:
+        """Stored rows of the months in `batch`, None if there are none: a list
+        of months, a dozen a year, prunes the scan."""
         if not self.exists(name):
-            return self.spark.createDataFrame([], self.schema(name))
+            return None
         current = self.spark.read.schema(self.schema(name)).parquet(self.path(name))
         if not TABLES[name].day:
             return current
         months = [row[0] for row in batch.select(MONTH).distinct().collect()]
-        return current.filter(F.col(MONTH).isin(months))
+        stored = [m for m in months if self.exists(name, m)]
+        return current.filter(F.col(MONTH).isin(stored)) if stored else None
 
     def upsert(self, name: str, batch: DataFrame) -> None:
-        """Last write wins per key."""
+        """Last write wins per key. New months are written straight away; only
+        months that hold rows are merged through the scratch folder."""
         table = TABLES[name]
         batch = cut_lineage(self._with_month(name, self.conform(name, batch)), f"{name}-batch")
-        merged = upsert(self._touched(name, batch), batch, list(table.keys))
-        self._save(name, cut_lineage(merged, name), "dynamic" if table.day else "static")
+        stored = self._touched(name, batch)
+        merged = batch if stored is None else cut_lineage(upsert(stored, batch, list(table.keys)), name)
+        self._save(name, merged, "dynamic" if table.day else "static")
+
+    def near(self, name: str, batch: DataFrame) -> DataFrame:
+        """Stored rows of the months the rows of `batch` lie in. For news this
+        is where a headline can be stored, since its hash covers its date."""
+        rows = self._touched(name, self._with_month(name, batch))
+        return self.read(name).limit(0) if rows is None else rows.drop(MONTH)
 
     def insert_ignore(self, name: str, batch: DataFrame) -> tuple[int, int]:
-        """Append the rows with new keys; returns (attempted, inserted). Keys
-        may sit in any month, so the key column of the whole table is read."""
+        """Append the rows with new keys; returns (attempted, inserted). The
+        key of a month-partitioned table determines the row's day."""
         table = TABLES[name]
         batch = self._with_month(name, self.conform(name, batch)).dropDuplicates(list(table.keys))
-        fresh = cut_lineage(insert_ignore(self.read(name), batch, list(table.keys)), f"{name}-new")
+        batch = cut_lineage(batch, f"{name}-batch")
+        stored = self._touched(name, batch)
+        fresh = batch if stored is None else cut_lineage(insert_ignore(batch=batch, target=stored, keys=list(table.keys)), f"{name}-new")
         attempted, inserted = batch.count(), fresh.count()
         if inserted:
-            w = fresh.write.mode("append")
+            w = (fresh.repartitionByRange(MONTH, *table.keys) if table.day else fresh).write.mode("append")
             (w.partitionBy(MONTH) if table.day else w).parquet(self.path(name))
         return attempted, inserted
 

@@ -58,10 +58,11 @@ def store_batch(store: Store, batch: DataFrame, scorer: Callable[[DataFrame], Da
     """One micro-batch: unseen headlines are scored, appended, and the days they
     touch are aggregated again from all stored rows, so late rows correct their
     day. Replaying a batch changes nothing."""
-    keys = batch.dropDuplicates(["news_hash"])
-    stored = store.read("fact_news").select("news_hash")
-    new = cut_lineage(keys.join(stored, "news_hash", "left_anti"), "batch-new")
+    keys = cut_lineage(batch.dropDuplicates(["news_hash"]), "batch")
+    stored = store.near("fact_news", keys).select("news_hash")
+    new = keys.join(stored, "news_hash", "left_anti")
     if "sentiment_score" not in new.columns:
+        new = cut_lineage(new, "batch-new")
         scored = new.join(scorer(new), "news_hash", "left")
         new = cut_lineage(failure_policy(scored), "batch-scored")
     elif "sentiment_label" not in new.columns:
@@ -74,7 +75,7 @@ def store_batch(store: Store, batch: DataFrame, scorer: Callable[[DataFrame], Da
 
 def rebuild_days(store: Store, days: DataFrame) -> None:
     """Aggregate the given days again from the stored news and upsert them."""
-    news = store.read("fact_news").join(F.broadcast(days), "published_d", "left_semi")
+    news = store.near("fact_news", days).join(F.broadcast(days), "published_d", "left_semi")
     store.upsert("fact_sentiment_daily", daily_index(news))
 
 
