@@ -60,10 +60,9 @@ def sparklines(m: Market):
     return s.select("ticker", F.array_join(text, ",").alias("series"), F.size("bars").alias("n"))
 
 
-@query("latest_price", """SELECT ticker, ticker AS display_name, close, d FROM price_daily
-    WHERE ticker = 'Brand#7' ORDER BY price_daily.d DESC LIMIT 1""", "d")
+@query("latest_price", "SELECT ticker, ticker AS display_name, close, d FROM latest", "d")
 def latest_price(m: Market):
-    return D.latest_price(m.price_daily, "Brand#7")
+    return D.latest_price(m.price_daily)
 
 
 @query("live_sentiment", """SELECT ticker, ticker AS display_name, round(sentiment_index, 6) + 0.0 AS sentiment_index,
@@ -93,12 +92,12 @@ def first_headline(m: Market):
     return N.first_headline(m.headlines)
 
 
-@query("asset_sentiment_series", """SELECT p.d, p.close, round(s.sentiment_mean, 6) + 0.0 AS sentiment
-    FROM price_daily p LEFT JOIN sentiment_daily s ON s.asset_id = p.asset_id AND s.d = p.d WHERE p.ticker = 'Brand#3'""", "d")
+@query("asset_sentiment_series", """SELECT p.ticker, p.d, p.close, round(s.sentiment_mean, 6) + 0.0 AS sentiment
+    FROM price_daily p LEFT JOIN sentiment_daily s ON s.asset_id = p.asset_id AND s.d = p.d""", "d")
 def asset_sentiment_series(m: Market):
-    prices = D.between(m.price_daily, None, None, ticker="Brand#3")
     senti = m.sentiment_daily.select("asset_id", "d", r("sentiment_mean").alias("sentiment"))
-    return prices.join(senti, ["asset_id", "d"], "left").select("d", "close", "sentiment").orderBy("d")
+    return (m.price_daily.join(senti, ["asset_id", "d"], "left")
+            .select("ticker", "d", "close", "sentiment").orderBy("ticker", "d"))
 
 
 @query("eligible_assets", """SELECT a.ticker, count(*) AS n FROM sentiment_daily s JOIN assets a USING (asset_id)

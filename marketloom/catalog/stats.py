@@ -190,3 +190,34 @@ def autocorrelations(m: Market):
 def effective_sample(m: Market):
     e = stats.design_effect(m.prices, "return_1d", m.prices.agg(F.count("return_1d")).scalar())
     return e.withColumns({"mean_r": r("mean_r"), "n_eff": F.round("n_eff", 3), "design_effect": F.round("design_effect", 6)})
+
+
+@query("forecast_band", """v AS (SELECT ticker, d, stddev_samp(return_1d) OVER w20 AS v20, stddev_samp(return_1d) OVER w60 AS v60, count(return_1d) OVER w60 AS n FROM prices
+      WINDOW w20 AS (PARTITION BY asset_id ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w60 AS (PARTITION BY asset_id ORDER BY d ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+    a AS (SELECT ticker, d, v20 * (sqrt(252) * 100) AS current, v60 * (sqrt(252) * 100) AS forecast FROM v WHERE n = 60)
+    SELECT ticker, d, round(current, 6) AS current, round(forecast, 6) AS forecast, round(greatest(forecast - 500, 0), 6) AS band_low, round(forecast + 500, 6) AS band_high,
+      round(forecast / nullif(current, 0), 6) AS ratio FROM a""", "d")
+def forecast_band(m: Market):
+    v = technicals.rolling_volatility(m.prices, (20, 60)).filter("volatility_60 IS NOT NULL")
+    v = v.withColumns({"current": X.annual_pct("volatility_20"), "forecast": X.annual_pct("volatility_60")})
+    lo, hi = X.forecast_band("forecast", F.lit(500.0))
+    cols = {"current": "current", "forecast": "forecast", "band_low": lo, "band_high": hi,
+            "ratio": F.when(F.col("current") > 0, X.ratio("forecast", "current"))}
+    return v.select("ticker", "d", *[F.round(c, 6).alias(k) for k, c in cols.items()])
+
+
+@query("significance_stars", """p AS (SELECT ticker, exp(-0.5 * n_lag1 * corr_lag1 * corr_lag1) AS p FROM ticker_corrs)
+    SELECT ticker, CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.10 THEN '*' ELSE 'ns' END AS stars FROM p""")
+def significance_stars(m: Market):
+    p = F.exp(-0.5 * F.col("n_lag1") * F.col("corr_lag1") * F.col("corr_lag1"))
+    return corrs(m).select("ticker", X.stars(p).alias("stars"))
+
+
+@query("sentiment_share", """c AS (SELECT ticker, d, abs(coalesce(sentiment_index, 0) * 0.5) + abs(coalesce(sentiment_lag1, 0) * 0.2) AS s, abs(coalesce(return_1d, 0) * 0.1) AS t FROM lagged)
+    SELECT ticker, d, round(coalesce(s / nullif(s + t, 0), 0), 6) AS sentiment_share FROM c""", "d")
+def sentiment_share(m: Market):
+    from marketloom.functions import params as P
+    from marketloom.operators.learning import share_of_list
+    part = lambda c, w: F.struct(F.lit(c).alias("feature"), (F.coalesce(c, F.lit(0.0)) * w).alias("shap"))
+    cells = F.array(part("sentiment_index", 0.5), part("sentiment_lag1", 0.2), part("return_1d", 0.1))
+    return lagged(m).select("ticker", "d", F.round(share_of_list(cells, P.SENTIMENT_FEATURES), 6).alias("sentiment_share"))

@@ -71,9 +71,11 @@ def sparklines(prices: DataFrame, today: Column, days: int = 30) -> DataFrame:
     return recent.groupBy("ticker").agg(F.array_sort(F.collect_list(bar)).alias("bars"))
 
 
-def latest_price(prices: DataFrame, ticker: str) -> DataFrame:
-    return (prices.filter(F.col("ticker") == ticker).orderBy(F.col("d").desc()).limit(1)
-            .select("ticker", T.display_name("ticker").alias("display_name"), "close", "d"))
+def latest_price(prices: DataFrame, ticker: str = "ALL") -> DataFrame:
+    """Newest stored close of one ticker or of each."""
+    rows = between(prices, None, None, ticker=ticker)
+    return (rows.groupBy("ticker").agg(F.max_by(F.struct("close", "d"), "d").alias("v"))
+            .select("ticker", T.display_name("ticker").alias("display_name"), "v.*"))
 
 
 def live_sentiment(metrics: DataFrame) -> DataFrame:
@@ -95,9 +97,10 @@ def fundamentals_history(fundamentals: DataFrame) -> DataFrame:
         "age": F.row_number().over(newest)}).withColumn("in_chart", F.col("age") <= 20)
 
 
-def company_profile(profiles: DataFrame, assets: DataFrame, ticker: str) -> DataFrame:
-    """Registrant profile of one asset; no row means it does not file."""
-    one = profiles.join(assets.filter(F.col("ticker") == ticker).select("asset_id", "ticker"), "asset_id")
+def company_profile(profiles: DataFrame, assets: DataFrame, ticker: str = "ALL") -> DataFrame:
+    """Registrant profile of one asset or of each; no row means it does not file."""
+    wanted = between(assets, None, None, ticker=ticker).select("asset_id", "ticker")
+    one = profiles.join(wanted, "asset_id")
     link = F.concat(F.lit("https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&CIK="),
                     "cik", F.lit("&type=10-K&dateb=&owner=include&count=40"))
     body = F.col("business_description")

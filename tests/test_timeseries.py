@@ -175,3 +175,20 @@ def test_market_volatility_is_cross_sectional(bars):
     np.testing.assert_allclose(got["market_vol_20"].astype(float), want.rolling(20).std().to_numpy(), rtol=1e-9)
 
 
+
+
+def test_bars_are_the_same_with_a_shuffled_asset_table(spark):
+    from marketloom.sources.tables import daily_bars
+    rng = np.random.default_rng(9)
+    # one key holds a third of all trades
+    rows = [(0 if i % 3 == 0 else int(rng.integers(1, 40)), DAY0 + dt.timedelta(days=int(rng.integers(0, 5))), float(rng.integers(1, 900)), int(rng.integers(1, 10 ** 6)), float(rng.integers(1, 50)))
+            for i in range(3000)]
+    trades = spark.createDataFrame(rows, "k bigint, d date, unit double, amount bigint, qty double")
+    assets = spark.createDataFrame([(k, f"Brand#{k % 7}") for k in range(40)], "k bigint, ticker string")
+    a, b = (sorted(map(str, daily_bars(trades, assets, "k", pre).collect())) for pre in (False, True))
+    assert a == b and len(a) == 35
+
+
+def test_one_sort_serves_all_indicator_windows(bars):
+    plan = indicators(returns.daily_returns(bars))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
