@@ -20,17 +20,17 @@ def next_trading_day(events: DataFrame, prices: DataFrame, on: str, keys: list[s
     """First stored day on or after the date `on`, at most `max_gap` calendar
     days later; its row is added as `anchor_date` plus the other price columns.
 
-    The tolerance makes the range finite, so each price row is offered to the
-    max_gap + 1 dates it can serve and only the earliest per date is kept:
-    prices, one row per asset and day, are spread by a constant factor and
-    reduced to one row per (asset, date) again. The events, which may be many
-    and skewed, are then joined once on equality and are never multiplied.
+    A price row serves the dates after the row before it, back to `max_gap`
+    days, so every (asset, date) is served by at most one row: prices, one row
+    per asset and day, are spread by a constant factor and nothing has to be
+    reduced again. The events, which may be many and skewed, are joined once on
+    equality and are never multiplied.
     """
-    extra = [c for c in prices.columns if c not in keys + ["d"]]
-    offered = prices.withColumn("_on", F.explode(F.sequence(F.date_sub("d", max_gap), "d")))
-    serving = (offered.groupBy(*keys, F.col("_on").alias(on))
-               .agg(F.min_by(F.struct(F.col("d").alias("anchor_date"), *extra), "d").alias("p"))
-               .select(*keys, on, "p.*"))
+    before = F.lag("d").over(Window.partitionBy(*keys).orderBy("d"))
+    first = F.greatest(F.date_sub("d", max_gap), F.date_add(before, 1))
+    serving = (prices.withColumn("_from", first)
+               .withColumn(on, F.explode(F.sequence("_from", "d"))).drop("_from")
+               .withColumnRenamed("d", "anchor_date"))
     return events.join(serving, [*keys, on], how)
 
 

@@ -9,6 +9,8 @@ left per entity is one row per measure and period end.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from marketloom.functions import params as P
@@ -52,14 +54,21 @@ def known_values(rows: DataFrame, keys: list[str], latest: Column | bool = False
     per-share figures), the earliest filing date, and the first start given.
     Payload order decides between facts of the same filing date."""
     latest = F.lit(latest) if isinstance(latest, bool) else latest
-    first = F.min_by("val", F.struct("filed_d", "pos"))
-    last = F.max_by("val", F.struct("filed_d", -F.col("pos")))
+    first, last = F.min_by("val", filing_order()), F.max_by("val", filing_order(-1))
     given = F.min_by("start_d", F.when(F.col("start_d").isNotNull(), F.col("pos")))
     return rows.groupBy(*keys).agg(
         F.when(F.max(latest), last).otherwise(first).alias("val"),
         F.min("filed_d").alias("filed_d"), given.alias("start_d"))
 
 
+def filing_order(sign: int = 1) -> Column:
+    """(filed_d, pos), or (filed_d, -pos), as one number. Unlike a struct it keeps
+    the aggregation a hash aggregation: raw facts are combined without a sort.
+    A position has at most 19 digits."""
+    day = F.unix_date("filed_d").cast("decimal(18,0)") * F.lit(Decimal(10 ** 19))
+    return (day + sign * F.col("pos").cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def priority_fold(known: DataFrame, keys: list[str], skip_zero: Column | bool = False,
                   promote: Column | bool = False, ratio_: float = P.SUBLINE_RATIO) -> DataFrame:
     """Per key, the highest-priority candidate's value. With `promote`, a lower

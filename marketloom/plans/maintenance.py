@@ -10,6 +10,7 @@ from marketloom.functions import params as P
 from marketloom.functions.text import credibility
 from marketloom.operators import news as N
 from marketloom.operators.returns import changed_returns
+from marketloom.operators.signals import against_log
 from marketloom.operators.technicals import indicators, usable_ranges
 from marketloom.session import cut_lineage
 from marketloom.sources import prices as S
@@ -166,3 +167,12 @@ def watchlist(store: Store) -> DataFrame:
     return store.read("dim_watchlist").select("ticker", "added_at").orderBy(F.desc("added_at"), "ticker")
 
 
+def check_signals(store: Store, current: DataFrame) -> DataFrame:
+    """Compare the watched tickers' latest signals (asset_id, ticker, signal,
+    confidence, checked_at) with the log, append first sights and flips, and
+    return the checked rows; `changed` marks the alerts."""
+    watched = current.join(store.read("dim_watchlist").select("asset_id"), "asset_id", "left_semi")
+    checked, to_log = against_log(watched, store.read("fact_watchlist_signal_log"))
+    checked, to_log = cut_lineage(checked, "signals"), cut_lineage(to_log, "signal-log")
+    store.insert_ignore("fact_watchlist_signal_log", to_log)
+    return checked

@@ -155,6 +155,18 @@ def test_watchlist_ignores_repeats(spark, store):
     assert [r.ticker for r in maintenance.watchlist(store).collect()] == ["A"]
 
 
+def test_signals_are_logged_on_first_sight_and_flip(spark, store):
+    maintenance.ensure_assets(store, spark.createDataFrame([("A",), ("B",)], "ticker string"))
+    maintenance.watch(store, "A", dt.datetime(2024, 1, 1))
+    seen = []
+    for day, signal in ((1, "UP"), (2, "UP"), (3, "DOWN")):
+        rows = [(1, "A", signal, 0.6, dt.datetime(2024, 1, day)), (2, "B", signal, 0.6, dt.datetime(2024, 1, day))]
+        now = spark.createDataFrame(rows, "asset_id bigint, ticker string, signal string, confidence double, checked_at timestamp")
+        seen += [(r.ticker, r.signal, r.previous_signal, r.changed) for r in maintenance.check_signals(store, now).collect()]
+    assert seen == [("A", "UP", None, False), ("A", "UP", "UP", False), ("A", "DOWN", "UP", True)]
+    assert store.read("fact_watchlist_signal_log").count() == 2
+
+
 def test_gap_fill_is_real_rows_only(spark, store):
     maintenance.ensure_assets(store, spark.createDataFrame([("AAA",)], "ticker string"))
     full = bars(spark, ("AAA",))
