@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from marketloom.catalog.base import query, view
 from marketloom.functions.numeric import r
-from marketloom.operators import returns, technicals
+from marketloom.operators import technicals
 from marketloom.operators.technicals import INDICATORS
 from marketloom.sources.tables import Market
 
-W = "WINDOW w AS (PARTITION BY asset_id ORDER BY d)"
-
 
 def rounded(df, keys, cols, digits=6):
     return df.select(*keys, *[r(c, digits).alias(c) for c in cols])

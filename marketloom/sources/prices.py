@@ -54,11 +54,6 @@ def with_fallback(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     return primary.unionByName(secondary.join(have, "ticker", "left_anti"), allowMissingColumns=True)
 
 
-def business_days(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end))).alias("d"))
-    return days.filter(F.weekday("d") < 5)
-
-
 def gap_fill(stored: DataFrame, fetched: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Every missing business day per ticker with the fetched bar, if any: real
     rows only, nothing interpolated. `filled` tells the two apart."""
