@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketloom.llm import decontaminate, minmax, mixing, shards, toxicity
+from marketloom.llm import decontaminate, embeddings, licenses, minmax, mixing, pii, preference, secrets, shards, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,22 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op2_preference_format(spark: SparkSession, folder: str) -> DataFrame:
+    return preference.format_pairs(*preference.mismatched_pairs(_table(spark, folder, "conversations")), "conv_id")
+
+
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(_table(spark, folder, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_notices(_table(spark, folder, "documents"))
+
+
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.shard(_table(spark, folder, "documents"))
 
@@ -31,13 +47,18 @@ def op8_minmax_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minmax.near_duplicates(_table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secrets(_table(spark, folder, "documents"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mix = mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op6_sharding, op7_toxicity, op8_minmax_dedup, op10_mixing)
+    f.__name__: f for f in (op1_decontamination, op2_preference_format, op3_personal_data, op4_license_scan, op5_embedding_dedup, op6_sharding,
+                            op7_toxicity, op8_minmax_dedup, op9_secret_scan, op10_mixing)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -59,6 +80,35 @@ ORACLE: dict[str, str] = {
                coalesce(items_sha256, sha256('')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN held USING (doc_id)""",
+    "op2_preference_format": """
+        WITH placed AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS p
+                        FROM conversations WHERE conv_id IS NOT NULL),
+        ends AS (SELECT conv_id, max(p) AS p FROM placed WHERE role = 'assistant' GROUP BY 1),
+        reply AS (SELECT conv_id, coalesce(text, '') AS t FROM placed JOIN ends USING (conv_id, p)),
+        pair AS (SELECT r.conv_id, r.t AS own, CASE WHEN n.conv_id IS NOT NULL THEN n.t ELSE b.t END AS other
+                 FROM reply r LEFT JOIN reply n ON n.conv_id = r.conv_id + 1 LEFT JOIN reply b ON b.conv_id = r.conv_id - 1
+                 WHERE n.conv_id IS NOT NULL OR b.conv_id IS NOT NULL),
+        same AS (SELECT *, own = other AS alike FROM pair),
+        head AS (SELECT s.conv_id, count(*) FILTER (WHERE x.p < e.p OR alike) AS n,
+                 coalesce(string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY x.p)
+                     FILTER (WHERE x.p < e.p OR alike), '') AS prompt
+                 FROM same s JOIN ends e ON e.conv_id = s.conv_id JOIN placed x ON x.conv_id = s.conv_id AND x.p <= e.p GROUP BY 1)
+        SELECT conv_id, CAST(n AS INTEGER) AS n_prompt_turns, prompt,
+               CASE WHEN alike THEN '' ELSE '<|assistant|>' || chr(10) || own || '<|end|>' || chr(10) END AS chosen,
+               CASE WHEN alike THEN '' ELSE '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) END AS rejected,
+               CASE WHEN alike THEN '' ELSE '14:' || CAST(21 + length(own) AS VARCHAR) END AS chosen_mask,
+               CASE WHEN alike THEN '' ELSE '14:' || CAST(21 + length(other) AS VARCHAR) END AS rejected_mask
+        FROM same JOIN head USING (conv_id)""",
+    "op5_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+                  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y),
+        low AS (SELECT x AS vec_id, min(y) AS low FROM reach GROUP BY 1),
+        n AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY 1)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+               vec_id <= coalesce(low, vec_id) AS kept
+        FROM embeddings LEFT JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)""",
     "op8_minmax_dedup": f"""
         WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         sets AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
