@@ -30,6 +30,8 @@ FIT_ROWS = 20_000
 LEXICON = 200
 #: Lexicon entries need this log odds ratio between toxic and clean rows (stems the second), and so many toxic rows.
 LOG_ODDS, STEM_ODDS, SUPPORT, SUPPORT_SHARE = 3.0, 2.0, 2, 0.02
+#: Standard errors by which a log odds ratio must stay above FLOOR; rare words fall short of it.
+SURE, FLOOR = 2.5, 0.5
 #: Letters of a stem, which counts for a row where two distinct words begin with it.
 STEMS = range(4, 8)
 TREES, DEPTH = 20, 3
@@ -183,9 +185,11 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     toxic, clean = n.get(1, 0), n.get(0, 0)
     least = max(SUPPORT, math.ceil(SUPPORT_SHARE * toxic))
     odds = F.log((F.col("t") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("c") + 0.5) / F.lit(clean + 1.0))
+    doubt = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     found = (seen.select("label", F.explode("words").alias("word")).groupBy("word")
              .agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).where(F.col("t") >= least)
-             .select("word", "t", odds.alias("odds"))
+             .select("word", "t", odds.alias("odds"), doubt.alias("doubt"))
+             .where(F.col("odds") - SURE * F.col("doubt") >= FLOOR)
              .where(F.col("odds") >= F.when(F.col("word").endswith("*"), STEM_ODDS).otherwise(LOG_ODDS))
              .orderBy(F.desc(F.col("t") * F.col("odds")), "word").limit(LEXICON))
     return {r["word"]: r["odds"] for r in found.collect()}

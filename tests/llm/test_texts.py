@@ -1,0 +1,271 @@
+"""Text scanners and formatting: patterns against the stated rules, models against held-out rows."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from marketloom.llm import licenses, pii, preference, secrets, toxicity
+
+SF = "/root/testdata/sf0.01"
+
+
+def stated_pii(text):
+    spans = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    spans += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else (2 * int(c) if int(c) < 5 else 2 * int(c) - 9) for i, c in enumerate(reversed(d))) % 10 == 0
+    spans += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+    spans += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m.group())) <= 15]
+    return spans
+
+
+def stated_secrets(text):
+    assign = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    spans = [("assign", *m.span()) for m in re.finditer(assign, text) if len(m[2]) >= 6]
+    spans += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    return spans + [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m.group()) >= 24]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1@.+- %(é2_5", max_size=60))
+def test_personal_patterns(text):
+    assert pii.base_spans(text) == stated_pii(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["4111111111111111", "4111 1111 1111 1111", "+1 (803) 555-5351", "a.b@c.de", "@", ".", " ", "-", "+", "1.2.3.4", "300.1.1.1", "0255.1.1.1", "é", "x@y"]), max_size=12))
+def test_personal_patterns_in_line(parts):
+    assert pii.base_spans("".join(parts)) == stated_pii("".join(parts))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "TOKEN", "api_key", "toKen", "ſecret", "pass", "word", "=", ":", " ", '"', "abc123", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "f" * 9, "é", "."]), max_size=12))
+def test_secret_patterns(parts):
+    text = "".join(parts)
+    assert secrets.base_spans(text) == stated_secrets(text)
+
+
+def test_long_runs_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 150_000, "+1" * 150_000, "token" * 60_000, "0123456789abcdef-" * 20_000, "1 " * 100_000):
+        pii.base_spans(text)
+        pii.chains(text)
+        secrets.base_spans(text)
+        secrets.candidates(text)
+        licenses.Index(licenses.TEMPLATES).find(text)
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_personal_data_rows(spark, documents):
+    odd = spark.createDataFrame([(None, None, 1), (7, "", 2), (7, "", 2), (8, "call 555-123-4567 or a@b.cd " + "x " * 30000, 3)], "doc_id long, text string, spans long")
+    rows = {(r["doc_id"], r["n_email"]): r for r in pii.personal_data(odd).collect()}
+    assert rows[8, 1]["spans"].startswith("email:") and rows[7, 0]["spans"] == ""
+    assert rows[7, 0]["base_sha256"] == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    assert pii.personal_data(odd).count() == 4 and pii.personal_data(odd.limit(0)).count() == 0
+    got = {r["doc_id"]: r for r in pii.personal_data(documents).collect()}
+    for r in documents.collect():
+        base = stated_pii(r["text"] or "")
+        assert [got[r["doc_id"]][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert set(pii.joined(base).split(",")) <= set(got[r["doc_id"]]["spans"].split(","))
+
+
+def test_field_finds_other_spellings(documents):
+    field = pii.fit(documents)
+    kinds = {"call 020-555-0188 now": "phone", "my tel is (415) 555-2671, ok": "phone", "pay 5500.0000.0000.0004 then": "card", "write to ann.lee (at) post (dot) org please": "email"}
+    found = sum(any(k == want for k, _, _ in pii.find_all([text], field)[0][1]) for text, want in kinds.items())
+    assert found >= 3
+    for clean in ("version 1.2.3 in 2024-01-01", "the 12 of 1999 and 3.5 more", "Luhn fails 1234567812345678 here", "in 2024 we had 17 rows"):
+        assert pii.find_all([clean], field)[0][1] == []
+
+
+def test_field_gradient_learns_and_viterbi_is_exact():
+    draw = np.random.default_rng(0)
+    field = pii.Field(draw.normal(size=(pii.BUCKETS, len(pii.TAGS))), draw.normal(size=(len(pii.TAGS), len(pii.TAGS))))
+    seqs = [[[int(x) for x in draw.integers(0, 50, 3)] for _ in range(n)] for n in (1, 2, 4, 3)]
+
+    def value(seq, tags):
+        return sum(field.weights[f, t] for fs, t in zip(seq, tags) for f in fs) + sum(field.moves[a, b] for a, b in zip(tags, tags[1:]))
+    import itertools
+    for seq, tags in zip(seqs, field.decode(seqs)):
+        assert value(seq, tags) == pytest.approx(max(value(seq, t) for t in itertools.product(range(len(pii.TAGS)), repeat=len(seq))))
+
+
+def test_secret_rows(spark, documents):
+    odd = spark.createDataFrame([(None, None), (1, ""), (2, 'Token = "abcdef1"'), (3, "AKIA" + "A1" * 8 + " " + "0a" * 12)], "doc_id long, text string")
+    rows = {r["doc_id"]: tuple(r)[1:4] for r in secrets.secrets(odd).collect()}
+    assert rows == {None: (0, 0, 0), 1: (0, 0, 0), 2: (1, 0, 0), 3: (0, 1, 1)}
+    assert secrets.secrets(odd.limit(0)).count() == 0
+    got = {r["doc_id"]: r for r in secrets.secrets(documents).collect()}
+    for r in documents.collect():
+        base = stated_secrets(r["text"] or "")
+        assert [got[r["doc_id"]][f"n_{k}"] for k in secrets.KINDS] == [sum(s[0] == k for s in base) for k in secrets.KINDS]
+        assert set(secrets.joined(base).split(",")) <= set(got[r["doc_id"]]["spans"].split(","))
+
+
+def test_network_on_findings_it_has_not_seen(documents):
+    network = secrets.fit(documents)
+    codes, labels = zip(*secrets.drawn_findings(400, seed=77))
+    p = network.probabilities(np.array(codes))
+    assert ((p >= max(0.5, network.threshold)) == (np.array(labels) == 1)).mean() > 0.9
+    text = "deploy with ghp_x8Kq2LmZ0pTt5RwYcV7nB3sDfG1hJ6kAa and go; see path/to/file-name-0001 on 2024-01-01T00-00-00"
+    assert [text[a:b] for k, a, b in secrets.find_all([text], network)[0][1]] == ["ghp_x8Kq2LmZ0pTt5RwYcV7nB3sDfG1hJ6kAa"]
+
+
+def test_network_slopes():
+    draw = np.random.default_rng(2)
+    network = secrets.Network()
+    codes, labels = draw.integers(0, 97, (6, 30)), draw.integers(0, 2, 6).astype(float)
+
+    def loss():
+        z = network._forward(codes)[-1]
+        return float((np.log1p(np.exp(z)) - labels * z).mean() + 0.5e-4 * (network.values["out"] ** 2).sum())
+    slopes = network._slopes(codes, labels)
+    for name, at in (("filters", (7, 3)), ("out", (2,)), ("embed", (5, 4)), ("bias", (1,)), ("level", (0,))):
+        value = network.values[name]
+        value[at] += 1e-5
+        high = loss()
+        value[at] -= 2e-5
+        low = loss()
+        value[at] += 1e-5
+        assert slopes[name][at] == pytest.approx((high - low) / 2e-5, rel=1e-2, abs=1e-6)
+
+
+def test_license_passages():
+    index = licenses.Index(licenses.TEMPLATES)
+    mit = licenses.TEMPLATES["MIT-text"]
+    head = "# " + "\n# ".join(licenses.TEMPLATES["Apache-2.0-header"].split("\n"))
+    assert [f[0] for f in index.find("some words\n" + mit.upper() + "\nmore words here")] == ["MIT-text"]
+    assert [f[0] for f in index.find(head)] == ["Apache-2.0-header"]
+    words = mit.split()
+    cut = " ".join(words[:20] + ["new", "words"] + words[22:])
+    name, start, end, cover = index.find("x " * 50 + cut)[0]
+    assert name == "MIT-text" and start == 100 and 0.95 < cover < 1
+    text = "Released under the MIT License. and Licensed under CC BY-NC 4.0. then Released under the MIT license"
+    assert [(n, text[a:b]) for n, a, b, _ in index.find(text)] == [("MIT", "Released under the MIT License"), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+                                                                  ("MIT", "Released under the MIT license")]
+    assert index.find("the license of the software is under review by the public") == [] and index.find("") == []
+
+
+def test_license_rows_equal_plain_search(spark, documents):
+    lines = {n: licenses.TEMPLATES[n] for n in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0")}
+    plain = lambda t: " " + " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())) + " "
+    got = {r["doc_id"]: r for r in licenses.license_notices(documents).collect()}
+    for r in documents.collect():
+        want = {n for n, line in lines.items() if plain(line) in plain(r["text"])}
+        assert want <= set(got[r["doc_id"]]["licenses"].split(",")) | {""}
+    odd = spark.createDataFrame([(None, None, 1.0), (1, "", 2.0)], "doc_id long, text string, coverage double")
+    assert [r["n_findings"] for r in licenses.license_notices(odd).collect()] == [0, 0]
+    assert licenses.license_notices(odd.limit(0)).count() == 0
+
+
+def test_alignment_equals_full_table():
+    draw = random.Random(5)
+    for _ in range(60):
+        template = [draw.choice("abcdef") for _ in range(12)]
+        words = [draw.choice("xyz") for _ in range(5)] + [draw.choice("abcdefxy") if draw.random() < 0.2 else w for w in template if draw.random() > 0.1] + ["z"] * 5
+        best = [[0] * (len(words) + 1) for _ in range(len(template) + 1)]
+        for i, w in enumerate(template):
+            for j, v in enumerate(words):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (w == v))
+        first, last, matched = licenses.banded(template, words, 5, 30)
+        assert matched == best[-1][-1]
+        if matched:
+            assert sum(1 for _ in words[first:last + 1]) >= matched
+
+
+TURNS = "conv_id long, turn int, role string, text string, n int"
+
+
+def pairs_brute(chosen, rejected):
+    order = lambda rows: sorted(rows, key=lambda t: tuple((v is not None, v or type(v or "")()) if not isinstance(v, int) else (True, v) for v in t))
+    out = {}
+    for key in {k for k, *_ in chosen if k is not None} & {k for k, *_ in rejected if k is not None}:
+        a, b = (order([t[1:4] for t in rows if t[0] == key]) for rows in (chosen, rejected))
+        n = 0
+        while n < min(len(a), len(b)) and a[n][1:] == b[n][1:]:
+            n += 1
+
+        def show(turns):
+            text, spans = "", []
+            for _, role, body in turns:
+                start = len(text) + len(f"<|{role or ''}|>\n")
+                text += f"<|{role or ''}|>\n{body or ''}<|end|>\n"
+                if role == "assistant":
+                    spans.append(f"{start}:{len(text) - 1}")
+            return text, ",".join(spans)
+        out[key] = (n, show(a[:n])[0], show(a[n:])[0], show(b[n:])[0], show(a[n:])[1], show(b[n:])[1])
+    return out
+
+
+def test_preference_pairs_equal_brute_force(spark):
+    talk = [(0, "system", "be é"), (1, "user", "hi"), (2, "assistant", "yes"), (3, "user", "more"), (4, "assistant", "ok")]
+    chosen, rejected = [], []
+    for key, (n, change) in enumerate([(5, {}), (5, {2: "no"}), (5, {4: "never"}), (2, {}), (5, {0: "x"}), (3, {2: None}), (0, {})], start=1):
+        chosen += [(key, t, r, x, 0) for t, r, x in talk]
+        rejected += [(key, t, r, change.get(t, x), 0) for t, r, x in talk[:n]]
+    chosen += [(None, 0, "user", "lost", 0), (50, 0, None, None, 0), (51, 0, "user", "a", 0), (51, 0, "user", "a", 0)]
+    rejected += [(None, 0, "user", "lost", 0), (50, 0, None, None, 0), (50, 1, "assistant", None, 0), (51, 0, "user", "a", 0)]
+    got = preference.format_pairs(spark.createDataFrame(chosen, TURNS), spark.createDataFrame(rejected, TURNS), "conv_id")
+    assert {r["conv_id"]: tuple(r)[1:] for r in got.collect()} == pairs_brute(chosen, rejected)
+    empty = spark.createDataFrame([], TURNS)
+    assert preference.format_pairs(empty, empty, "conv_id").count() == 0
+
+
+def test_mismatched_pairs(spark):
+    rows = [(1, 0, "user", "q1", 0), (1, 1, "assistant", "a1", 0), (1, 2, "user", "bye", 0), (2, 0, "user", "q2", 0), (2, 1, "assistant", "a2", 0), (3, 0, "user", "none", 0), (9, 0, "assistant", "alone", 0)]
+    got = {r["conv_id"]: (r["prompt"], r["chosen"], r["rejected"]) for r in preference.format_pairs(*preference.mismatched_pairs(spark.createDataFrame(rows, TURNS)), "conv_id").collect()}
+    show = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    assert got == {1: (show("user", "q1"), show("assistant", "a1"), show("assistant", "a2")), 2: (show("user", "q2"), show("assistant", "a2"), show("assistant", "a1"))}
+
+
+def test_toxicity_on_held_out_rows(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scored = toxicity.toxicity(documents, labels)
+    assert scored.columns == [*documents.columns, "score", "held_out", "predicted"]
+    rows = scored.join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").collect()
+    assert scored.count() == documents.count() and all(0 <= r["score"] <= 1 for r in rows)
+    hit = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
+    toxic = [r["score"] for r in rows if r["toxic"] == 1]
+    clean = [r["score"] for r in rows if r["toxic"] == 0]
+    assert hit > 0.9 and sum(a > b for a in toxic for b in clean) / (len(toxic) * len(clean)) > 0.85
+
+
+def test_toxicity_never_sees_held_out_labels(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    wrong = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    first, second = (toxicity.fit_on(documents, x) for x in (labels, wrong))
+    assert first.lexicon == second.lexicon
+    some = documents.limit(50)
+    assert [r["score"] for r in first.score(some).collect()] == [r["score"] for r in second.score(some).collect()]
+
+
+def test_toxicity_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "you idiot", 0.5, "a"), (None, None, 1.0, "b"), (2, "", 2.0, "c"), (2, "", 2.0, "c")], "doc_id long, text string, score double, features string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    plain = docs.select("doc_id", "text")
+    assert [r["predicted"] for r in toxicity.toxicity(plain, none).collect()] == [0] * 4
+    one = spark.createDataFrame([(1, 1, 1), (None, 1, 1), (5, None, None), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(plain, one).count() == 4 and toxicity.toxicity(plain.limit(0), one).count() == 0
+    kept = toxicity.clean(docs, none)
+    assert kept.columns == docs.columns and kept.count() == 4
+
+
+def test_features_see_through_spellings():
+    reader = toxicity.Reader({"stupid": 5.0, "moron": 5.0, "grumb*": 2.5})
+    at = toxicity.FEATURES.index
+    for text in ("you stup1d", "St*pid!", "s t u p i d", "stuuupid", "m.o.r.o.n here", "m0r0n"):
+        assert reader.features(text)[at("hidden_kinds")] >= 1, text
+    plain = reader.features("you are stupid, moron")
+    assert plain[at("plain_kinds")] == 2 and plain[at("near_rate")] == 1
+    assert reader.features("grumbles of grumbling")[at("stem_kinds")] == 2
+    assert reader.features("a fine text. With dots, 4 numbers & 2 signs.")[at("hidden_rate")] == 0
+    assert len(reader.features(None)) == len(toxicity.FEATURES) == len(reader.features("x" * 100_000))
