@@ -33,6 +33,13 @@ def test_ewm_matches_the_recurrence_across_blocks(bars):
         np.testing.assert_allclose(got["e"].astype(float), want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("alpha", [1e-3, 0.94, 0.95, 0.999, 1 - 1e-12, 1.0])
+def test_ewm_holds_for_every_alpha(bars, alpha):
+    got = add_ewm(bars, [Ewm("close", "e", alpha, 3)]).filter("asset_id = 1").orderBy("d").toPandas()
+    want = got["close"].ewm(alpha=alpha, min_periods=3, adjust=False).mean()
+    np.testing.assert_allclose(got["e"].astype(float), want, rtol=1e-12)
+
+
 def test_indicators_match_pandas(bars):
     got = indicators(returns.daily_returns(bars)).filter("asset_id = 2").orderBy("d").toPandas()
     c = got["close"]
