@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -34,11 +37,16 @@ def local_session(cpus: int | str = "*", app: str = "marketloom",
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables: the one the
-    cluster names, or a new private folder where none is named (tests)."""
+    """The shared folder for checkpoints and intermediate tables, which the
+    cluster names in spark.checkpoint.dir. Only a session whose executors are
+    threads of this process may go without: it gets a private folder that is
+    removed when the process ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="marketloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -55,19 +63,3 @@ def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of `df`, the figure its own broadcast choice
-    is made on."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether `df` lies under the session's own broadcast bound."""
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    digits = raw.lower().removesuffix("b")
-    units = {"k": 2 ** 10, "m": 2 ** 20, "g": 2 ** 30}
-    bound = int(float(digits[:-1]) * units[digits[-1]]) if digits[-1:] in units else int(digits)
-    return plan_bytes(df) <= bound

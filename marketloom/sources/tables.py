@@ -16,30 +16,25 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from marketloom.session import fits_broadcast
-
 
 def brand_number(brand: Column) -> Column:
     return F.regexp_extract(brand, r"(\d+)", 1).cast("int")
 
 
-def daily_bars(trades: DataFrame, assets: DataFrame, key: str, pre_aggregate: bool) -> DataFrame:
+def daily_bars(trades: DataFrame, assets: DataFrame, key: str) -> DataFrame:
     """Trades (key, d, unit, amount in cents, qty) to one bar per (ticker, d).
 
-    A small asset table joins on the map side and the bars aggregate with
-    map-side combine. A large one needs a shuffled join, so trades are first
-    combined per (key, d): a key that holds a third of all rows then reaches
-    the join as one row per day.
+    Trades are first combined per (key, d), so a key that holds a third of all
+    rows reaches the join with the asset table as one row per day; how the two
+    meet is left to the adaptive plan.
     """
     def combine(df: DataFrame, *keys: str) -> DataFrame:
         return df.groupBy(*keys).agg(
             F.max("high").alias("high"), F.min("low").alias("low"),
             F.sum("amount").alias("amount"), F.sum("qty").alias("qty"))
 
-    rows = trades.select(key, "d", F.col("unit").alias("high"), F.col("unit").alias("low"),
-                         "amount", "qty")
-    if pre_aggregate:
-        rows = combine(rows, key, "d")
+    rows = combine(trades.select(key, "d", F.col("unit").alias("high"), F.col("unit").alias("low"),
+                                 "amount", "qty"), key, "d")
     bars = combine(rows.join(assets, key), "ticker", "d")
     return bars.select(
         brand_number(F.col("ticker")).alias("asset_id"), "ticker", "d",
@@ -77,8 +72,7 @@ class Market:
             # whole cents: exact sums in any order, and cheaper than decimals
             F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("amount"),
             F.col("l_quantity").alias("qty"))
-        return daily_bars(trades, self._part_brand, "l_partkey",
-                          pre_aggregate=not fits_broadcast(self._part_brand))
+        return daily_bars(trades, self._part_brand, "l_partkey")
 
     @cached_property
     def mentions(self) -> DataFrame:
