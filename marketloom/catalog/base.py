@@ -32,7 +32,7 @@ VIEWS: dict[str, str] = {
         round((l_discount - 0.05) * 20, 2) AS sentiment_score,
         CASE WHEN l_discount >= 0.055 THEN 'pos' WHEN l_discount <= 0.045 THEN 'neg'
              ELSE 'neu' END AS sentiment_label
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_tax >= 0.06""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "sentiment_daily": """SELECT asset_id, published_d AS d,
         CAST(count(sentiment_score) AS BIGINT) AS news_count,
         round(avg(sentiment_score), 12) + 0.0 AS sentiment_mean, median(sentiment_score) AS sentiment_median,

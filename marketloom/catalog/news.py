@@ -101,7 +101,7 @@ LABEL_SQL = "CASE WHEN {s} >= 0.05 THEN 'pos' WHEN {s} <= -0.05 THEN 'neg' ELSE
 
 
 def lexicon_sql(table: str, key: str, text: str, lexicon: str) -> str:
-    return f"""w AS (SELECT {key}, unnest(regexp_split_to_array(lower({text}), '[^a-z]+')) AS word
+    return f"""w AS (SELECT {key}, unnest(regexp_split_to_array(lower({text}), '[^\\p{{L}}]+')) AS word
         FROM {table}), v AS (SELECT {key}, CAST(coalesce(sum(CAST(valence AS DECIMAL(18,4))), 0) AS DOUBLE) AS s
         FROM w LEFT JOIN {lexicon} USING (word) GROUP BY {key}),
         c AS (SELECT {key}, s / sqrt(s * s + 15.0) AS c FROM v)
@@ -110,28 +110,25 @@ def lexicon_sql(table: str, key: str, text: str, lexicon: str) -> str:
 
 @query("lexicon_scores", lexicon_sql("documents", "doc_id", "text", "lexicon"))
 def lexicon_scores(m: Market):
-    s = sentiment.lexicon_scores(m.table("documents"), sentiment.lexicon_table(m.spark))
+    s = sentiment.lexicon_scores(m.table("documents"), sentiment.lexicon())
     return s.select("doc_id", r("sentiment_score").alias("sentiment_score"), "sentiment_label")
 
 
 @query("finance_lexicon_scores", lexicon_sql("documents", "doc_id", "text", "finance_lexicon"))
 def finance_lexicon_scores(m: Market):
-    lex = sentiment.lexicon_table(m.spark, overrides=P.FINANCE_OVERRIDES)
-    s = sentiment.lexicon_scores(m.table("documents"), lex)
+    s = sentiment.lexicon_scores(m.table("documents"), sentiment.lexicon(overrides=P.FINANCE_OVERRIDES))
     return s.select("doc_id", r("sentiment_score").alias("sentiment_score"), "sentiment_label")
 
 
-view("english", "SELECT * FROM documents WHERE lang = 'en'")
-
-
-@query("score_failure_policy", f"""every AS (SELECT doc_id FROM documents), {lexicon_sql('english', 'doc_id', 'text', 'lexicon')
-    .replace('SELECT doc_id, round(c, 6)', 'SELECT doc_id, round(coalesce(c, 0), 6)')
-    .replace('FROM c', 'FROM every LEFT JOIN c USING (doc_id)')}""")
+@query("score_failure_policy", f"""{lexicon_sql('documents', 'doc_id', 'text', 'lexicon')
+    .replace('SELECT doc_id, round(c, 6)', 'SELECT doc_id, round(CASE WHEN doc_id % 7 = 3 THEN 0 ELSE c END, 6)')
+    .replace('CASE WHEN c >=', "CASE WHEN doc_id % 7 = 3 THEN 'neu' WHEN c >=")}""")
 def score_failure_policy(m: Market):
-    en = m.table("documents").filter(F.col("lang") == "en")
-    s = sentiment.lexicon_scores(en, sentiment.lexicon_table(m.spark))
-    every = m.table("documents").select("doc_id").join(s, "doc_id", "left")
-    return sentiment.failure_policy(every).select(
+    # a scorer that fails on one text in seven
+    s = sentiment.lexicon_scores(m.table("documents"), sentiment.lexicon())
+    failed = F.col("doc_id") % 7 == 3
+    s = s.withColumns({c: F.when(~failed, F.col(c)) for c in ("sentiment_score", "sentiment_label")})
+    return sentiment.failure_policy(s).select(
         "doc_id", r("sentiment_score").alias("sentiment_score"), "sentiment_label")
 
 
@@ -146,7 +143,7 @@ def unseen_then_scored(m: Market):
     hashed = news.with_hash(m.headlines)
     stored = hashed.filter(F.col("published_at") < now - F.make_interval(hours=F.lit(72)))
     new = news.unseen(news.since(hashed, now, 120), stored)
-    s = sentiment.lexicon_scores(new, sentiment.lexicon_table(m.spark), "event_id", "title")
+    s = sentiment.lexicon_scores(new, sentiment.lexicon(), "event_id", "title")
     return s.select("event_id", r("sentiment_score").alias("sentiment_score"), "sentiment_label")
 
 
@@ -229,11 +226,9 @@ def day_headlines(m: Market):
     return news.day_headlines(last_day(m))
 
 
-CLASS_SQL = """CASE WHEN {s} IN ('BTC-USD','ETH-USD','BNB-USD','SOL-USD','XRP-USD') THEN 'Crypto'
-    WHEN {s} IN ('GC=F','CL=F','SI=F','NG=F','NQ=F','ES=F','ZC=F','ZW=F') THEN 'Futures'
-    WHEN contains({s}, '=X') OR {s} IN ('XAUUSD','EURUSD','GBPUSD','USDJPY') THEN 'Forex'
-    WHEN {s} IN ('SPY','QQQ','DIA','IWM','GLD','SLV','VTI') THEN 'Funds'
-    WHEN contains({s}, '^') THEN 'Indices' ELSE 'Stocks' END"""
+CLASS_SQL = f"""CASE WHEN {{s}} IN {tuple(P.CRYPTO_SYMBOLS)} THEN 'Crypto' WHEN {{s}} IN {tuple(P.FUTURES_SYMBOLS)} THEN 'Futures'
+    WHEN contains({{s}}, '=X') OR {{s}} IN {tuple(P.FOREX_SYMBOLS)} THEN 'Forex' WHEN {{s}} IN {tuple(P.FUND_SYMBOLS)} THEN 'Funds'
+    WHEN contains({{s}}, '^') THEN 'Indices' ELSE 'Stocks' END"""
 
 
 @query("available_classes", f"""SELECT 'All' AS asset_class UNION ALL
@@ -293,10 +288,15 @@ def display_names(m: Market):
     return symbols(m).select("asset_id", T.display_name("symbol").alias("display_name"))
 
 
-@query("day_clamp", """SELECT min(published_d) AS min_d, max(published_d) AS max_d, max(published_d) AS d FROM headlines""",
-       "min_d max_d d")
+@query("day_clamp", """q AS (SELECT unnest([DATE '1990-01-01', DATE '2024-01-15', DATE '2099-12-31']) AS requested),
+    b AS (SELECT min(published_d) AS min_d, max(published_d) AS max_d FROM headlines)
+    SELECT requested, min_d, max_d, CASE WHEN requested BETWEEN min_d AND max_d THEN requested ELSE max_d END AS d FROM q, b""",
+       "requested min_d max_d d")
 def day_clamp(m: Market):
-    return news.clamp_day(m.headlines, F.lit(dt.date(1990, 1, 1)))
+    """Before, inside and after the covered days."""
+    asked = [F.lit(dt.date(*d)) for d in ((1990, 1, 1), (2024, 1, 15), (2099, 12, 31))]
+    days = news.covered_days(m.headlines)
+    return days.select("*", F.explode(F.array(*asked)).alias("requested")).withColumn("d", news.clamp(F.col("requested")))
 
 
 @query("symbol_mapping", """SELECT asset_id, symbol,

@@ -109,16 +109,3 @@ def clip(x: str | Column, lo: Column, hi: Column) -> Column:
     """x inside [lo, hi]; NULL stays NULL."""
     x = col(x)
     return F.when(x < lo, lo).when(x > hi, hi).otherwise(x)
-
-
-def z_tail(z: Column) -> Column:
-    """Two-sided normal tail of a z statistic by a published rational
-    approximation of erfc (absolute error below 1.5e-7), as a plain expression."""
-    # The five coefficients of the rational approximation.
-    p, a = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + F.lit(p) * x)
-    poly = F.lit(0.0)
-    for c in reversed(a):
-        poly = (poly + F.lit(c)) * t
-    return poly * F.exp(-x * x)

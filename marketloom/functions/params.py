@@ -79,10 +79,11 @@ DISPLAY_NAMES = {
 SEARCH_TERMS = {
     "GC=F": "gold", "CL=F": "WTI crude", "EURUSD=X": "EUR USD", "THBUSD=X": "Thai baht",
     "BTC-USD": "Bitcoin", "ETH-USD": "ETH crypto", "EURUSD": "EUR USD", "^GSPC": "S&P 500",
-    "^DJI": "Dow Jones", "^IXIC": "Nasdaq",
-    **{t: f"{t} stock" for t in ["AAPL", "MSFT", "GOOGL", "AMZN", "NVDA", "META", "TSLA", "AMD",
-                                 "ORCL", "INTC", "JPM", "V", "JNJ", "XOM", "PG", "KO", "WMT",
-                                 "HD", "DIS", "BA"]},
+    "^DJI": "Dow Jones", "^IXIC": "Nasdaq", "AAPL": "AAPL stock", "MSFT": "MSFT stock", "GOOGL": "GOOGL stock",
+    "AMZN": "AMZN stock", "NVDA": "NVDA stock", "META": "META stock", "TSLA": "TSLA stock", "AMD": "AMD stock",
+    "ORCL": "ORCL stock", "INTC": "INTC stock", "JPM": "JPM stock", "V": "V stock", "JNJ": "JNJ stock",
+    "XOM": "XOM stock", "PG": "PG stock", "KO": "KO stock", "WMT": "WMT stock", "HD": "HD stock",
+    "DIS": "DIS stock", "BA": "BA stock",
 }
 
 # Filing-fact tags per measure, highest priority first.

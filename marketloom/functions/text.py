@@ -140,10 +140,14 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html_entities.unescape, na_action="ignore")
 
 
+# Fixed value: elements whose content is code, not text.
+CODE_ELEMENTS = r"(?is)<(script|style)\b.*?</\1>"
+
+
 def markup_to_text(raw: str | Column) -> Column:
     """Markup to one line of text: script/style bodies dropped, tags to blanks,
     entities decoded, no-break spaces and runs of whitespace to one blank."""
-    no_code = F.regexp_replace(col(raw), r"(?is)<(script|style)\b.*?</\1>", " ")
+    no_code = F.regexp_replace(col(raw), CODE_ELEMENTS, " ")
     no_tags = F.regexp_replace(no_code, r"<[^>]+>", " ")
     plain = F.replace(_unescape(no_tags), F.lit("\u00a0"), F.lit(" "))
     return F.trim(F.regexp_replace(plain, SPACES, " "))
@@ -194,8 +198,8 @@ def longest_section(text: str | Column, start: str, end: str, min_chars: int,
 
 
 # Headings of the business part of an annual report and its length bounds.
-BUSINESS_START = r"Item\s*1\.?\s*[\u2014\u2013\-]?\s*Business"
-BUSINESS_END = r"Item\s*1A\.?\s*[\u2014\u2013\-]?\s*Risk\s*Factors"
+BUSINESS_START = r"Item\s*1\.?\s*[—–-]?\s*Business"
+BUSINESS_END = r"Item\s*1A\.?\s*[—–-]?\s*Risk\s*Factors"
 BUSINESS_CHARS = (3_000, 150_000)
 
 

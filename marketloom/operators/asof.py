@@ -28,7 +28,8 @@ def next_trading_day(events: DataFrame, prices: DataFrame, on: str, keys: list[s
     """
     before = F.lag("d").over(Window.partitionBy(*keys).orderBy("d"))
     first = F.greatest(F.date_sub("d", max_gap), F.date_add(before, 1))
-    serving = (prices.withColumn("_from", first)
+    # a repeated (key, day) row would begin behind itself; it serves nothing
+    serving = (prices.withColumn("_from", first).filter("_from <= d")
                .withColumn(on, F.explode(F.sequence("_from", "d"))).drop("_from")
                .withColumnRenamed("d", "anchor_date"))
     return events.join(serving, [*keys, on], how)

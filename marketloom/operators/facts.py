@@ -99,7 +99,7 @@ def priority_fold(known: DataFrame, keys: list[str], skip_zero: Column | bool =
 
 def series(facts: DataFrame, measures: DataFrame, entity: str = "entity_id") -> DataFrame:
     """(entity, measure, span, end_d) -> chosen value, for all measures at once."""
-    rows = complete(facts).join(F.broadcast(measures), ["tag", "unit"])
+    rows = complete(facts).join(measures, ["tag", "unit"])
     kind = F.when(F.col("instant"), INSTANT).otherwise(span())
     rows = (rows.withColumn("span", kind).filter(F.col("span").isNotNull())
             .withColumn("start_d", F.when(~F.col("instant"), F.col("start_d"))))
@@ -112,7 +112,7 @@ def used_tags(chosen: DataFrame, measures: DataFrame, entity: str = "entity_id")
     """Tags that contributed per entity and measure, in priority order."""
     each = (chosen.filter(F.col("span") != ANNUAL)
             .select(entity, "measure", F.explode("used").alias("tag")).distinct())
-    ranked = each.join(F.broadcast(measures.select("measure", "tag", "prio")), ["measure", "tag"])
+    ranked = each.join(measures.select("measure", "tag", "prio"), ["measure", "tag"])
     ordered = F.array_sort(F.collect_list(F.struct("prio", "tag")))
     return ranked.groupBy(entity, "measure").agg(ordered["tag"].alias("tags"))
 
@@ -214,7 +214,7 @@ def q4_candidates(facts: DataFrame, measures: DataFrame, chosen: DataFrame, reve
     ends = three.select(*key, "fy_filed", F.explode("ends").alias("end_d"))
 
     # one tag in one filing: the filing of the annual figure
-    raw = complete(facts).join(F.broadcast(fields), ["tag", "unit"]).withColumn("span", span())
+    raw = complete(facts).join(fields, ["tag", "unit"]).withColumn("span", span())
     one = raw.groupBy(entity, "measure", "prio", "filed_d", "end_d").agg(
         F.min_by("val", F.when(F.col("span") == QUARTER, F.col("pos"))).alias("q"),
         F.max_by("val", F.when(F.col("span") == ANNUAL, F.col("pos"))).alias("fy"))

@@ -86,11 +86,10 @@ def day_summary(day_news: DataFrame) -> DataFrame:
     pos, neg = F.count_if(score > 0.1), F.count_if(score < -0.1)
     total, mean = F.count(F.lit(1)), F.avg(score)
     return day_news.groupBy("ticker").agg(
-        T.asset_class(F.first("ticker")).alias("asset_class"), total.alias("n"),
-        r(mean, 3).alias("avg_score"), pos.alias("pos"), neg.alias("neg"),
+        total.alias("n"), r(mean, 3).alias("avg_score"), pos.alias("pos"), neg.alias("neg"),
         (total - pos - neg).alias("neu"),
         F.when(mean > 0.1, "POSITIVE").when(mean < -0.1, "NEGATIVE").otherwise("NEUTRAL")
-        .alias("sentiment_label"))
+        .alias("sentiment_label")).withColumn("asset_class", T.asset_class("ticker"))
 
 
 def day_headlines(day_news: DataFrame) -> DataFrame:
@@ -109,12 +108,18 @@ def available_classes(day_news: DataFrame) -> DataFrame:
     return every.unionByName(found.distinct()).orderBy("pos", "asset_class").select("asset_class")
 
 
+def covered_days(news: DataFrame) -> DataFrame:
+    return news.agg(F.min("published_d").alias("min_d"), F.max("published_d").alias("max_d"))
+
+
+def clamp(requested: Column) -> Column:
+    """The requested day if it lies within min_d and max_d, else max_d."""
+    return F.when((requested < F.col("min_d")) | (requested > F.col("max_d")), F.col("max_d")).otherwise(requested)
+
+
 def clamp_day(news: DataFrame, requested: Column) -> DataFrame:
     """The requested day if news covers it, else the last covered day."""
-    lo, hi = F.min("published_d"), F.max("published_d")
-    return news.agg(lo.alias("min_d"), hi.alias("max_d")).withColumn(
-        "d", F.when((requested < F.col("min_d")) | (requested > F.col("max_d")), F.col("max_d"))
-        .otherwise(requested))
+    return covered_days(news).withColumn("d", clamp(requested))
 
 
 def first_headline(news: DataFrame) -> DataFrame:

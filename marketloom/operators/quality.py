@@ -20,7 +20,7 @@ def accepted_table(spark: SparkSession, rows=None) -> DataFrame:
 def unexcused(rows: DataFrame, accepted: DataFrame, check: str) -> DataFrame:
     """Rows whose (ticker, day) pair is not accepted for `check`."""
     pairs = accepted.filter(F.col("check") == check).select("ticker", "d")
-    return rows.join(F.broadcast(pairs), ["ticker", "d"], "left_anti")
+    return rows.join(pairs, ["ticker", "d"], "left_anti")
 
 
 def accepted_report(accepted: DataFrame, prices: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from marketloom.functions import params as P
 from marketloom.functions.text import label_from_compound
@@ -30,28 +30,27 @@ def daily_index(news: DataFrame) -> DataFrame:
         label("neg").alias("neg_count"))
 
 
-def lexicon_table(spark: SparkSession, base: dict[str, float] | None = None,
-                  overrides: dict[str, float] | None = None) -> DataFrame:
+def lexicon(base: dict[str, float] | None = None, overrides: dict[str, float] | None = None) -> dict[str, float]:
     """Word valences; an override replaces the entry of the same lower-case word."""
     words = {k.lower(): float(v) for k, v in (base or P.LEXICON).items()}
     words.update({k.lower(): float(v) for k, v in (overrides or {}).items()})
-    return spark.createDataFrame(sorted(words.items()), "word string, valence double")
+    return words
 
 
-def lexicon_scores(texts: DataFrame, lexicon: DataFrame, key: str = "doc_id",
+def lexicon_scores(texts: DataFrame, words: dict[str, float], key: str = "doc_id",
                    text: str = "text", norm: float = P.LEXICON_NORM) -> DataFrame:
-    """Compound score in [-1, 1] and label per text.
+    """Compound score in [-1, 1] and label per text, one row per row.
 
-    Whole texts are split into words and joined to the (small, fixed) lexicon
-    on the map side; valences combine per text before anything is shuffled.
+    The lexicon is a small parameter, so a text is scored where it lies: its
+    words, runs of letters of any script, are filtered by the lexicon and the
+    few that are left are summed in whole ten-thousandths.
     """
-    words = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+")
-    total = (texts.select(key, F.explode(words).alias("word"))
-             .join(F.broadcast(lexicon), "word", "left")
-             .groupBy(key).agg(F.coalesce(F.sum(F.col("valence").cast("decimal(18,4)")), F.lit(0))
-                               .cast("double").alias("valence")))
+    found = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"), lambda w: w.isin(list(words)))
+    points = F.create_map(*[F.lit(x) for w, v in words.items() for x in (w, round(v * 10_000))])
+    total = F.aggregate(found, F.lit(0).cast("bigint"), lambda s, w: s + F.element_at(points, w).cast("bigint"))
+    valence = texts.select(key, (total / 10_000.0).alias("valence"))
     compound = F.col("valence") / F.sqrt(F.col("valence") * F.col("valence") + norm)
-    return (total.withColumn("sentiment_score", compound)
+    return (valence.withColumn("sentiment_score", compound)
             .withColumn("sentiment_label", label_from_compound("sentiment_score"))
             .drop("valence"))
 

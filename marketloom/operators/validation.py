@@ -58,7 +58,7 @@ def fold_rows(panel: DataFrame, plan: DataFrame, day: str = "d") -> DataFrame:
     per_day = panel.groupBy(day).agg(F.count(F.lit(1)).alias("rows"))
     role = (F.when(F.col(day) <= F.col("train_end"), "train")
             .when(F.col(day).between(F.col("test_start"), F.col("test_end")), "test"))
-    return (per_day.join(F.broadcast(plan), F.col(day) <= F.col("test_end"))
+    return (per_day.join(plan, F.col(day) <= F.col("test_end"))
             .withColumn("role", role).filter(F.col("role").isNotNull())
             .groupBy("fold", "train_end", "test_start", "test_end").agg(
                 F.coalesce(F.sum(F.when(F.col("role") == "train", F.col("rows"))), F.lit(0)).alias("n_train"),

@@ -18,14 +18,6 @@ from marketloom.operators import ranking
 from marketloom.session import cut_lineage
 
 
-def one_per_key(batch: DataFrame, keys: list[str], order: Column, last: bool) -> DataFrame:
-    """The last (or first) row per key by `order`; combines map-side."""
-    pick = F.max_by if last else F.min_by
-    rest = [c for c in batch.columns if c not in keys]
-    return batch.groupBy(*keys).agg(pick(F.struct(*rest), order).alias("v")).select(*keys, "v.*") \
-        .select(*batch.columns)
-
-
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Last write wins on all columns; `batch` has one row per key."""
     return target.join(batch.select(*keys), keys, "left_anti").unionByName(batch)

@@ -77,8 +77,7 @@ class Market:
     @cached_property
     def mentions(self) -> DataFrame:
         """One row per article-like mention of an asset."""
-        li = (self.table("lineitem").filter(F.col("l_tax") >= 0.06)
-              .select("l_partkey", "l_suppkey", "l_discount", "l_shipdate"))
+        li = self.table("lineitem").select("l_partkey", "l_suppkey", "l_discount", "l_shipdate")
         return li.join(self._part_brand, "l_partkey").select(
             brand_number(F.col("ticker")).alias("asset_id"), "ticker",
             F.col("l_suppkey").alias("source_id"), F.to_date("l_shipdate").alias("published_d"),

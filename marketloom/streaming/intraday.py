@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketloom.functions.text import label_from_compound, news_hash
-from marketloom.operators.sentiment import daily_index, failure_policy, lexicon_scores, lexicon_table
+from marketloom.operators.sentiment import daily_index, failure_policy, lexicon, lexicon_scores
 from marketloom.session import cut_lineage
 from marketloom.sources.store import Store
 
@@ -51,7 +51,7 @@ def daily_counts(stream: DataFrame, lookback: str = LOOKBACK) -> DataFrame:
 
 def lexicon_scorer(batch: DataFrame) -> DataFrame:
     """The default scorer: (news_hash, sentiment_score, sentiment_label)."""
-    return lexicon_scores(batch, lexicon_table(batch.sparkSession), "news_hash", "title")
+    return lexicon_scores(batch, lexicon(), "news_hash", "title")
 
 
 def store_batch(store: Store, batch: DataFrame, scorer: Callable[[DataFrame], DataFrame] = lexicon_scorer) -> None:
@@ -75,7 +75,7 @@ def store_batch(store: Store, batch: DataFrame, scorer: Callable[[DataFrame], Da
 
 def rebuild_days(store: Store, days: DataFrame) -> None:
     """Aggregate the given days again from the stored news and upsert them."""
-    news = store.near("fact_news", days).join(F.broadcast(days), "published_d", "left_semi")
+    news = store.near("fact_news", days).join(days, "published_d", "left_semi")
     store.upsert("fact_sentiment_daily", daily_index(news))
 
 

@@ -83,11 +83,6 @@ def test_other_tails(spark):
     assert df[0].p == pytest.approx(0.004900, abs=1e-5) and df[1].p is None
 
 
-def test_z_tail_expression(spark):
-    df = col(spark, [0, 0.5, 1.96, 3.2]).select("x", X.z_tail(F.col("x")).alias("p")).collect()
-    assert all(r.p == pytest.approx(math.erfc(r.x / math.sqrt(2)), abs=1e-6) for r in df)
-
-
 def test_benjamini_hochberg(spark):
     p = [0.01, 0.04, 0.03, 0.005, None, 0.04]
     got = {i: r.q for i, r in enumerate(stats.benjamini_hochberg(spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, p double"), "p", "q").orderBy("i").collect())}

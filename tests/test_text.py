@@ -95,16 +95,16 @@ def test_paragraphs_keep_every_word(spark):
     assert got == [["One. Two. Three. Four.", "Five is v1.2 here. Six"], []]
 
 
-def test_lexicon_overrides_replace_words(spark):
+def test_lexicon_overrides_replace_words():
     base = {"record": 1.0, "debt": -2.0}
-    table = {r.word: r.valence for r in sentiment.lexicon_table(spark, base, {"Record": 2.0, "bullish": 2.5}).collect()}
+    table = sentiment.lexicon(base, {"Record": 2.0, "bullish": 2.5})
     assert table == {"record": 2.0, "debt": -2.0, "bullish": 2.5}
 
 
 def test_lexicon_scores_whole_texts(spark):
     late = "word " * 5000 + "crash"
     df = spark.createDataFrame([(1, "Profits surge!"), (2, late), (3, ""), (4, None), (5, "neutral words")], "doc_id int, text string")
-    got = {r.doc_id: r for r in sentiment.lexicon_scores(df, sentiment.lexicon_table(spark)).collect()}
+    got = {r.doc_id: r for r in sentiment.lexicon_scores(df, sentiment.lexicon()).collect()}
     s = P.LEXICON["profits"] + P.LEXICON["surge"]
     assert got[1].sentiment_score == pytest.approx(s / (s * s + 15) ** 0.5) and got[1].sentiment_label == "pos"
     assert got[2].sentiment_label == "neg"
