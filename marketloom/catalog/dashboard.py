@@ -54,7 +54,7 @@ def top_movers(m: Market):
 @query("sparklines", """SELECT ticker, string_agg(CAST(d AS VARCHAR) || ':' || CAST(CAST(floor(close * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY d) AS series,
     CAST(count(*) AS INTEGER) AS n FROM price_daily WHERE d >= (SELECT max(d) FROM price_daily) - 30 GROUP BY 1""")
 def sparklines(m: Market):
-    s = D.sparklines(m.price_daily, m.price_daily.agg(F.max("d")).scalar())
+    s = D.sparklines(m.price_daily, F.lit(m.today))
     text = F.transform("bars", lambda b: F.concat(b["d"].cast("string"), F.lit(":"),
                                                   F.floor(b["close"] * 100).cast("bigint").cast("string")))
     return s.select("ticker", F.array_join(text, ",").alias("series"), F.size("bars").alias("n"))
@@ -68,7 +68,7 @@ def latest_price(m: Market):
 @query("live_sentiment", """SELECT ticker, ticker AS display_name, round(sentiment_index, 6) + 0.0 AS sentiment_index,
     coalesce(news_count, 0) AS news_count, d FROM metrics WHERE d = (SELECT max(d) FROM metrics)""", "d")
 def live_sentiment(m: Market):
-    return D.live_sentiment(m.metrics).withColumn("sentiment_index", r("sentiment_index"))
+    return D.live_sentiment(m.metrics, F.lit(m.today)).withColumn("sentiment_index", r("sentiment_index"))
 
 
 @query("sentiment_lags", """SELECT ticker, d, round(sentiment_lag1, 6) + 0.0 AS sentiment_lag1,

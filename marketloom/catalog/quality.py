@@ -114,7 +114,7 @@ view("freshness_row", """SELECT (SELECT max(d) FROM price_daily) AS latest_price
 
 
 def today(m: Market):
-    return m.price_daily.agg(F.max("d")).scalar()
+    return F.lit(m.today)
 
 
 def lagging_technicals(m: Market):

@@ -67,10 +67,13 @@ def stream_daily_index(m: Market):
 
 
 @query("stream_daily_counts", """SELECT published_d AS d, ticker, count(sentiment_score) AS news_count, round(avg(sentiment_score), 9) + 0.0 AS sentiment_mean
-    FROM headlines WHERE published_d < (SELECT CAST(max(published_at) - INTERVAL 3 HOUR AS DATE) FROM headlines) GROUP BY 1, 2""", "d")
+    FROM headlines GROUP BY 1, 2""", "d")
 def stream_daily_counts(m: Market):
-    # a day leaves once the watermark, three hours behind the newest headline, passes its end
-    return drained(m.headlines, decade(), I.daily_counts).withColumn("sentiment_mean", r("sentiment_mean", 9))
+    # rounds cut through days: a later round corrects the rows of the day that an earlier one left
+    out, checkpoint = scratch_path(m.spark, "counts"), scratch_path(m.spark, "counts-state")
+    arrive(m.headlines, F.floor((F.dayofyear("published_d") * 24 + F.hour("published_at")) / 250).cast("int"),
+           lambda s: I.keep_counts(I.daily_counts(s), out, checkpoint))
+    return I.latest_counts(m.spark, out).withColumn("sentiment_mean", r("sentiment_mean", 9))
 
 
 @query("stream_signal_changes", """SELECT ticker, d, signal, previous_signal, previous_signal IS NOT NULL AS changed FROM (SELECT *, lag(signal) OVER (PARTITION BY asset_id ORDER BY d) AS previous_signal FROM daily_signal)

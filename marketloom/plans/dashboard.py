@@ -78,9 +78,9 @@ def latest_price(prices: DataFrame, ticker: str = "ALL") -> DataFrame:
             .select("ticker", T.display_name("ticker").alias("display_name"), "v.*"))
 
 
-def live_sentiment(metrics: DataFrame) -> DataFrame:
-    """All rows of the newest day of the view."""
-    top = metrics.agg(F.max("d")).scalar()
+def live_sentiment(metrics: DataFrame, day: Column | None = None) -> DataFrame:
+    """All rows of `day`, the newest day of the view where none is given."""
+    top = metrics.agg(F.max("d")).scalar() if day is None else day
     return metrics.filter(F.col("d") == top).select(
         "ticker", T.display_name("ticker").alias("display_name"), "sentiment_index",
         F.coalesce("news_count", F.lit(0)).alias("news_count"), "d")

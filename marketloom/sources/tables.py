@@ -12,6 +12,7 @@ Row bounds that later operators rely on:
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -74,6 +75,13 @@ class Market:
             F.col("l_quantity").alias("qty"))
         return daily_bars(trades, self._part_brand, "l_partkey")
 
+    @cached_property
+    def today(self) -> dt.date | None:
+        """The newest day of the trades, in place of the clock: a parameter that
+        reports take, read from one column, so that their filters are literals
+        that reach the scan."""
+        return self.table("lineitem").agg(F.max(F.to_date("l_shipdate"))).first()[0]
+
     @cached_property
     def mentions(self) -> DataFrame:
         """One row per article-like mention of an asset."""

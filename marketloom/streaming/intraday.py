@@ -49,6 +49,23 @@ def daily_counts(stream: DataFrame, lookback: str = LOOKBACK) -> DataFrame:
             .select(F.to_date("window.start").alias("d"), "ticker", "news_count", "sentiment_mean"))
 
 
+def keep_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Drain what is there in update mode. The keys a batch changed are written
+    under its number, so a replayed batch replaces its own files only."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return (counts.writeStream.outputMode("update").foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of every day and ticker kept by `keep_counts`."""
+    versions = spark.read.parquet(path)
+    newest = F.max_by(F.struct("news_count", "sentiment_mean"), "version")
+    return versions.groupBy("d", "ticker").agg(newest.alias("v")).select("d", "ticker", "v.*")
+
+
 def lexicon_scorer(batch: DataFrame) -> DataFrame:
     """The default scorer: (news_hash, sentiment_score, sentiment_label)."""
     return lexicon_scores(batch, lexicon(), "news_hash", "title")
