@@ -7,10 +7,12 @@ similarity of 0.8 share none with probability (1 - 0.8^4)^32 = 5e-8.
 
 The rest is exact. Documents with the same set are one class, and only its
 smallest member goes on. In every bucket each member is compared with the
-smallest member; classes that this leaves apart within a bucket are then
-compared with the others of that bucket. So any two sets that share a band are
-compared, or are known to be connected already. All comparisons are on full
-sets of 64-bit shingle fingerprints."""
+smallest member, its hub. Two members of a hub that this leaves in different
+components can only be alike if they share enough outside the hub: they share
+at most the smaller of their shares with the hub, and what lies outside of it
+in both. Only pairs that pass this bound are compared in full. So any two sets
+that share a band are compared, ruled out, or known to be connected already.
+All comparisons are on full sets of 64-bit shingle fingerprints."""
 
 from __future__ import annotations
 
@@ -82,13 +84,35 @@ def among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", how)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The `pairs` (a, b) whose sets have a Jaccard similarity of `share` % or more."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The `pairs` (a, b) with both sets (pa, pb)."""
     left = sets.select(F.col("id").alias("a"), F.col("prints").alias("pa"))
     right = sets.select(F.col("id").alias("b"), F.col("prints").alias("pb"))
-    shared = F.size(F.array_intersect("pa", "pb")).alias("shared")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("pa").alias("na"), F.size("pb").alias("nb"), shared)
-    return both.where(100 * F.col("shared") >= share * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """The `pairs` (a, b) whose sets have a Jaccard similarity of `share` % or more."""
+    both = _compared(pairs, sets).select("a", "b", F.size("pa").alias("na"), F.size("pb").alias("nb"), F.size(F.array_intersect("pa", "pb")).alias("shared"))
+    return both.where(f"100 * shared >= {share} * (na + nb - shared)").select("a", "b")
+
+
+def _left_open(spokes: DataFrame, labels: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of members of one hub that lie in different components and
+    may still be alike. `spokes` holds each member `a` of a hub `b`, its size,
+    the size shared with the hub, and what it has outside of the hub. Within a
+    hub all but the largest component look at the others."""
+    here = spokes.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    parts = here.groupBy("b", "label").agg(F.count("*").alias("rows"))
+    apart = (parts.groupBy("b").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "label")).alias("main"))
+             .where("parts > 1").select("b", F.col("main.label").alias("main")))
+    here = cut_lineage(here.join(apart, "b"), "open")
+    need = f"ceil({share} * (x.na + y.na) / {100 + share}.0) - least(x.shared, y.shared)"
+    return (here.where("label <> main").alias("x").join(here.alias("y"), F.expr(
+        f"x.b = y.b and x.label <> y.label and (y.label = y.main or x.a < y.a) "
+        f"and 100 * least(x.na, y.na) >= {share} * greatest(x.na, y.na) and least(x.na - x.shared, y.na - y.shared) >= {need} "
+        f"and ({need} <= 0 or size(array_intersect(x.outside, y.outside)) >= {need})"))
+        .select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str | Column = "text",
@@ -106,29 +130,18 @@ def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str
     signed = cut_lineage(source.mapInArrow(lambda it: _signatures(it, width), "id long, n long, one long, two long, bands array<long>"), "signed")
     classes = cut_lineage(signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("id")), "classes")
     # one row a class: its smallest member's signature
-    heads = signed.join(classes.where("id is not null"), ["one", "two", "n", "id"], "left_semi").select("id", "n", "bands").dropDuplicates(["id"])
-    bands = cut_lineage(heads.select("id", "n", F.explode("bands").alias("key")), "bands")
-    buckets = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).where("members > 1")
-    members = cut_lineage(bands.join(buckets, "key"), "buckets")
-
-    first = cut_lineage(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    heads = signed.join(classes.where("id is not null"), ["one", "two", "n", "id"], "left_semi").select("id", "bands").dropDuplicates(["id"])
+    bands = cut_lineage(heads.select("id", F.explode("bands").alias("key")), "bands")
+    hubs = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).where("members > 1").select("key", "hub")
+    first = cut_lineage(bands.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     ids = cut_lineage(first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct(), "ids")
     sets = cut_lineage(among(source, ids).mapInArrow(lambda it: _full_sets(it, width), "id long, prints array<long>").dropDuplicates(["id"]), "sets")
-    links = cut_lineage(_linked(first, sets, share), "links")
+    spokes = _compared(first, sets).select("a", "b", F.size("pa").alias("na"), F.size("pb").alias("nb"), F.size(F.array_intersect("pa", "pb")).alias("shared"),
+                                           F.array_except("pa", "pb").alias("outside"))
+    spokes = cut_lineage(spokes, "spokes")
+    links = spokes.where(f"100 * shared >= {share} * (na + nb - shared)").select("a", "b")
     labels = components(links)
-
-    # buckets of three or more that hold several components: the smaller components meet all others
-    here = (members.where("members > 2").join(labels.withColumnRenamed("node", "id"), "id", "left")
-            .select("key", "id", "n", "hub", F.coalesce("label", "id").alias("label")))
-    parts = here.groupBy("key", "label").agg(F.count("*").alias("rows"))
-    apart = (parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "label")).alias("main"))
-             .where("parts > 1").select("key", F.col("main.label").alias("main")))
-    open_ = cut_lineage(here.join(apart, "key").where("id <> hub"), "open")
-    a, b = open_.where("label <> main").alias("x"), open_.alias("y")
-    second = (a.join(b, F.expr(f"x.key = y.key and x.label <> y.label and (y.label = y.main or x.id < y.id) "
-                               f"and 100 * least(x.n, y.n) >= {share} * greatest(x.n, y.n)"))
-              .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    more = cut_lineage(_linked(second, sets, share), "links")
+    more = cut_lineage(_linked(_left_open(spokes, labels, share), sets, share), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 
