@@ -21,12 +21,11 @@ def components(edges: DataFrame) -> DataFrame:
     left = cut_lineage(edges.where("a <> b").select("a", "b").distinct(), "edges")
     labels, turn = None, 0
     while not left.isEmpty():
-        rank = (lambda c: F.lit(0).cast("bigint")) if turn % 2 == 0 else (lambda c, t=turn: F.xxhash64(F.lit(t), c))
+        rank = (lambda c: c) if turn % 2 == 0 else (lambda c, t=turn: F.xxhash64(F.lit(t), c))
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        own = F.struct(rank(F.col("node")).alias("r"), F.col("node").alias("n"))
-        step = cut_lineage(both.groupBy(F.col("a").alias("node"))
-                           .agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("n"))).alias("least"))
-                           .select("node", F.least(own, F.col("least")).getField("n").alias("label")), "round")
+        own = rank(F.col("node")) <= rank(F.col("near"))
+        step = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", rank(F.col("b"))).alias("near"))
+                           .select("node", F.when(own, F.col("node")).otherwise(F.col("near")).alias("label")), "round")
         if labels is None:
             labels = step
         else:
