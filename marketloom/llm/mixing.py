@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 QUALITY = (2.0, 1.0, 0.5)
 EPOCHS = 3
 #: Documents that a bucket of one source holds on average, at most.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 
 
 def sizes(text: Column) -> Column:
