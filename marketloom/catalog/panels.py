@@ -265,14 +265,12 @@ def proportion_z(m: Market):
     return a.select("ticker", "n", r(z).alias("z"))
 
 
-@query("equity_curves", """SELECT ticker, d, round(product(1 + CASE WHEN pred = 1 THEN ret ELSE 0 END) OVER w / pow(10, floor(log10(abs(product(1 + CASE WHEN pred = 1 THEN ret ELSE 0 END) OVER w)))), 5) + 0.0 AS strategy,
-    round(product(1 + ret) OVER w / pow(10, floor(log10(abs(product(1 + ret) OVER w)))), 5) + 0.0 AS buy_hold FROM naive
-    WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS UNBOUNDED PRECEDING)""", "d")
+@query("equity_curves", """SELECT ticker, d, round(sum(ln(1 + CASE WHEN pred = 1 THEN ret ELSE 0 END)) OVER w, 6) + 0.0 AS log_strategy,
+    round(sum(ln(1 + ret)) OVER w, 6) + 0.0 AS log_buy_hold FROM naive WINDOW w AS (PARTITION BY ticker ORDER BY d ROWS UNBOUNDED PRECEDING)""", "d")
 def equity_curves(m: Market):
-    """Growth factors span hundreds of decades here, so mantissas are compared."""
+    """Growth factors span hundreds of decades here, so their logarithms are compared."""
     c = validation.equity_curve(naive(m), "ticker", "ret", "pred")
-    mantissa = lambda x: F.round(F.col(x) / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x)))), 5) + 0.0
-    return c.select("ticker", "d", mantissa("strategy").alias("strategy"), mantissa("buy_hold").alias("buy_hold"))
+    return c.select("ticker", "d", r(F.ln("strategy")).alias("log_strategy"), r(F.ln("buy_hold")).alias("log_buy_hold"))
 
 
 @query("equity_non_overlapping", """n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d) - 1 AS i FROM naive) WHERE i % 5 = 0)
@@ -334,6 +332,6 @@ def fold_accuracy_summary(m: Market):
     return validation.fold_summary(per)
 
 
-@query("sample_rows", dates="d")
+@query("sample_rows", "SELECT ticker, d, close FROM price_daily ORDER BY md5(concat_ws('|', asset_id, d)), asset_id, d LIMIT 3000", "d")
 def sample_rows(m: Market):
     return ranking.sample_rows(m.price_daily, ["asset_id", "d"], 3000).select("ticker", "d", "close")

@@ -76,7 +76,7 @@ def range_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """A repeatable sample: the n rows with the smallest key hash."""
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(n)
+    """A repeatable sample: the n rows with the smallest MD5 of their key."""
+    return df.orderBy(F.md5(F.concat_ws("|", *keys)), *keys).limit(n)
 
 

@@ -141,12 +141,15 @@ def long_pairs(panel: DataFrame, features: list[str], horizons: list[int], prefi
 
 def rank_correlations(pairs: DataFrame, min_n: int = 15) -> DataFrame:
     """Pearson and Spearman per (feature, horizon). Equal pairs are counted
-    first; ranks are joined by value, so no column is ranked in one task."""
+    first, both sides are ranked in one pass, and ranks are joined by value, so
+    no column is ranked in one task."""
     keys = ["feature", "horizon"]
     counted = cut_lineage(pairs.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("w")), "pairs")
-    rx = ranking.average_ranks(counted, keys, "x", "rx", "w")
-    ry = ranking.average_ranks(counted, keys, "y", "ry", "w")
-    ranked = counted.join(rx, [*keys, "x"]).join(ry, [*keys, "y"])
+    sides = F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("double").alias("value")) for c in ("x", "y")])
+    values = counted.select(*keys, "w", F.inline(sides))
+    ranks = cut_lineage(ranking.average_ranks(values, [*keys, "side"], "value", "rank", "w"), "ranks")
+    side = lambda c: ranks.filter(F.col("side") == c).select(*keys, F.col("value").alias(c), F.col("rank").alias(f"r{c}"))
+    ranked = counted.join(side("x"), [*keys, "x"]).join(side("y"), [*keys, "y"])
     sums = ranked.groupBy(*keys).agg(
         F.sum("w").alias("n"), _weighted_corr("x", "y").alias("pearson"),
         _weighted_corr("rx", "ry").alias("spearman"))
