@@ -1,10 +1,11 @@
-"""Fitted models. They have no SQL form; rows, baselines and invariants are
-tested instead. The queries boost for fewer rounds than the library defaults
-(200 for direction, 300 for volatility) on the same whole panels."""
+"""Fitted models, with the library's own numbers of rounds. They have no SQL
+form; rows, baselines, invariants and planted signals are tested instead."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from marketloom.catalog.base import query
 from marketloom.catalog.panels import fund_panel
@@ -14,7 +15,6 @@ from marketloom.operators import learning as L
 from marketloom.plans import panels, research as R
 from marketloom.sources.tables import Market
 
-ROUNDS = 20
 BOTH = P.TECHNICAL_FEATURES + P.SENTIMENT_FEATURES
 
 
@@ -23,22 +23,35 @@ def tech(m: Market, horizons=P.DIRECTION_HORIZONS):
 
 
 def senti(m: Market, horizons=P.DIRECTION_HORIZONS):
-    return panels.sentiment_panel(m.technicals, m.sentiment_daily, list(horizons))
+    """The sentiment panel of the assets with 30 days of sentiment or more."""
+    eligible = panels.eligible_assets(m.sentiment_daily, m.assets).select("ticker")
+    return panels.sentiment_panel(m.technicals, m.sentiment_daily, list(horizons)).join(eligible, "ticker", "left_semi")
+
+
+def each(parts):
+    """The reports of several horizons, those that have one."""
+    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
 @query("direction_backtest")
 def direction_backtest(m: Market):
-    return R.direction_report(tech(m, [5]), rounds=ROUNDS, explain=False).metrics
+    return R.direction_report(tech(m, [5]), explain=False).metrics
+
+
+@query("ticker_direction", dates="latest_date")
+def ticker_direction(m: Market):
+    """The report a user asks for by symbol."""
+    return R.predict_panel(tech(m, [5]), "Brand#11")
 
 
 @query("direction_signals", dates="latest_date")
 def direction_signals(m: Market):
-    return R.direction_report(tech(m, [5]), rounds=ROUNDS, explain=False).latest
+    return R.direction_report(tech(m, [5]), explain=False).latest
 
 
 @query("direction_explanations")
 def direction_explanations(m: Market):
-    return R.direction_report(tech(m, [5]), rounds=ROUNDS).explanation
+    return R.direction_report(tech(m, [5])).explanation
 
 
 @query("direction_equity", dates="d")
@@ -50,52 +63,60 @@ def direction_equity(m: Market):
 def direction_walk_forward(m: Market):
     rows = panels.usable(tech(m, [5]), P.TECHNICAL_FEATURES + ["target_dir_5d"])
     rows = R.cut_lineage(rows.select(*R.KEYS, *P.TECHNICAL_FEATURES, "target_dir_5d"), "wf-rows")
-    return R.walk_forward_direction(rows, P.TECHNICAL_FEATURES, "target_dir_5d", rounds=ROUNDS)
+    return R.walk_forward_direction(rows, P.TECHNICAL_FEATURES, "target_dir_5d")
 
 
 @query("sentiment_backtest")
 def sentiment_backtest(m: Market):
-    return R.direction_report(senti(m, [5]), BOTH, min_rows=60, rounds=ROUNDS, explain=False).metrics
+    return R.direction_report(senti(m, [5]), BOTH, min_rows=60, explain=False).metrics
 
 
 @query("sentiment_walk_forward", dates="test_start test_end")
 def sentiment_walk_forward(m: Market):
     rows = R.cut_lineage(panels.usable(senti(m, [5]), BOTH + ["target_dir_5d"]).select(*R.KEYS, *BOTH, "target_dir_5d"), "wf-rows")
-    return R.walk_forward_direction(rows, BOTH, "target_dir_5d", 3, 5, rounds=ROUNDS)
+    return R.walk_forward_direction(rows, BOTH, "target_dir_5d", 3, 5)
 
 
-@query("direction_grid")
-def direction_grid(m: Market):
+def grid(m: Market, kind: str):
     s = senti(m)
     return R.direction_grid({"technical": (tech(m), P.TECHNICAL_FEATURES), "technical_same_rows": (s, P.TECHNICAL_FEATURES),
-                             "technical_sentiment": (s, BOTH)}, kinds=("logistic",))
+                             "technical_sentiment": (s, BOTH)}, kinds=(kind,))
+
+
+@query("direction_grid")
+def direction_grid(m: Market):
+    return grid(m, "logistic")
 
 
 @query("direction_grid_boosted")
 def direction_grid_boosted(m: Market):
-    return R.direction_grid({"technical": (tech(m), P.TECHNICAL_FEATURES)}, kinds=("boosted",), rounds=ROUNDS)
+    return grid(m, "boosted")
 
 
 @query("case_studies", dates="d")
 def case_studies(m: Market):
     named = m.mentions.select("ticker", "published_d", F.col("source_id").alias("event_id"), F.col("published_d").alias("published_at"),
                               F.concat("sentiment_label", F.lit(" mention by "), F.col("source_id").cast("string")).alias("title"))
-    return R.case_studies(senti(m, [5]), named, rounds=ROUNDS)
+    return R.case_studies(senti(m, [5]), named)
 
 
 @query("global_attribution")
 def global_attribution(m: Market):
-    return R.global_attribution(tech(m, [21]), rounds=ROUNDS)
+    return R.global_attribution(tech(m, [21]))
 
 
 @query("fundamentals_ols")
 def fundamentals_ols(m: Market):
-    return R.ols_report(fund_panel(m), 63)
+    panel = fund_panel(m)
+    reports = {h: R.ols_report(panel, h) for h in P.FUNDAMENTAL_HORIZONS}
+    return each([r.withColumn("horizon", F.lit(h)) for h, r in reports.items() if r is not None])
 
 
 @query("fundamentals_ols_folds", dates="test_start test_end")
 def fundamentals_ols_folds(m: Market):
-    return R.ols_walk_forward(fund_panel(m), 63)
+    panel = fund_panel(m)
+    reports = {h: R.ols_walk_forward(panel, h) for h in P.FUNDAMENTAL_HORIZONS}
+    return each([r.withColumn("horizon", F.lit(h)) for h, r in reports.items() if r is not None])
 
 
 @query("fundamentals_factors")
@@ -103,24 +124,31 @@ def fundamentals_factors(m: Market):
     return R.factor_table(fund_panel(m))
 
 
+def outlooks(m: Market):
+    panel = panels.volatility_panel(m.prices)
+    return [R.volatility_outlook(panel, h) for h in P.VOLATILITY_HORIZONS]
+
+
 @query("volatility_evaluation", dates="test_start test_end")
 def volatility_evaluation(m: Market):
-    return R.volatility_outlook(panels.volatility_panel(m.prices), 21, rounds=ROUNDS)[0]
+    return each([out and out[0] for out in outlooks(m)])
 
 
 @query("volatility_forecasts", dates="as_of")
 def volatility_forecasts(m: Market):
-    return R.volatility_outlook(panels.volatility_panel(m.prices), 5, rounds=ROUNDS)[1]
+    return each([out and out[1] for out in outlooks(m)])
 
 
 @query("volatility_walk_forward", dates="test_start test_end")
 def volatility_walk_forward(m: Market):
-    return R.volatility_walk_forward(panels.volatility_panel(m.prices), 21, rounds=ROUNDS)
+    panel = panels.volatility_panel(m.prices)
+    reports = {h: R.volatility_walk_forward(panel, h) for h in P.VOLATILITY_HORIZONS}
+    return each([r.withColumn("horizon", F.lit(h)) for h, r in reports.items() if r is not None])
 
 
 @query("volatility_ablation")
 def volatility_ablation(m: Market):
-    return R.volatility_ablation(panels.volatility_panel(m.prices), rounds=ROUNDS)
+    return R.volatility_ablation(panels.volatility_panel(m.prices))
 
 
 @query("hypothesis_hit_rate")

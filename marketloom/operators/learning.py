@@ -19,6 +19,15 @@ from marketloom.session import scratch_root
 Model = PipelineModel
 
 
+#: Training rows of a task: boosting runs some jobs for every level of every tree, so small tables keep to few tasks.
+TASK_ROWS = 50_000
+
+
+def in_tasks(train: DataFrame, rows: int) -> DataFrame:
+    """`train` in no more tasks than its number of rows asks for."""
+    return train.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def use_checkpoints(df: DataFrame) -> None:
     """Boosting cuts its lineage with checkpoints in the shared folder."""
     sc = df.sparkSession.sparkContext
@@ -50,8 +59,9 @@ def fit_direction(train: DataFrame, features: list[str], label: str, kind: str =
                   rounds: int = 200) -> Model:
     """Balanced direction classifier on rows without missing values."""
     use_checkpoints(train)
-    rows = balanced(train, label).withColumn("label", F.col(label).cast("double"))
-    return _classifier(kind, features, train.count() if kind == "logistic" else 0, rounds).fit(rows)
+    n = train.count()
+    rows = in_tasks(balanced(train, label).withColumn("label", F.col(label).cast("double")), n)
+    return _classifier(kind, features, n, rounds).fit(rows)
 
 
 def predict_direction(model: Model, rows: DataFrame) -> DataFrame:
@@ -67,7 +77,7 @@ def fit_regression(train: DataFrame, features: list[str], label: str, rounds: in
     """Boosted regression trees, depth 5, rate 0.05."""
     use_checkpoints(train)
     trees = GBTRegressor(labelCol=label, maxIter=rounds, maxDepth=5, stepSize=0.05, seed=42)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(train)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(in_tasks(train, train.count()))
 
 
 def fit_ols(train: DataFrame, features: list[str], label: str) -> Model:

@@ -106,6 +106,24 @@ def direction_report(panel: DataFrame, features: list[str] = P.TECHNICAL_FEATURE
     return DirectionReport(metrics, curve, signals(model, panel, features), explanation, model)
 
 
+def predict_panel(panel: DataFrame, ticker: str, features: list[str] = P.TECHNICAL_FEATURES, horizon: int = 5,
+                  min_rows: int = 120, kind: str = "boosted", rounds: int = 200) -> DataFrame | None:
+    """One ticker's own direction model as one row: hold-out metrics, the growth
+    of following it and of holding, the fold summary and today's signal. None
+    when the ticker has too little to evaluate honestly."""
+    target = f"target_dir_{horizon}d"
+    own = panel.filter(F.col("ticker") == ticker)
+    report = direction_report(own, features, horizon, min_rows, kind, rounds, explain=False)
+    if report is None:
+        return None
+    rows = cut_lineage(usable(own, features + [target]).select(*KEYS, *features, target), "predict-rows")
+    folds = validation.fold_summary(walk_forward_direction(rows, features, target, kind=kind, rounds=rounds))
+    growth = report.curve.agg(*[(F.max_by(c, "d") - 1).alias(f"final_return_{c}") for c in ("strategy", "buy_hold")])
+    out = beside(beside(report.metrics, growth), report.latest.select("ticker", "latest_date", "latest_signal", "latest_confidence"))
+    named = folds.withColumnRenamed("accuracy_mean", "fold_accuracy_mean").drop("accuracy_min", "accuracy_max")
+    return beside(out, named).withColumn("horizon", F.lit(horizon))
+
+
 def explain_rows(model: L.Model, rows: DataFrame, background: DataFrame, features: list[str],
                  keys: list[str]) -> DataFrame:
     """Contribution per feature, largest first by absolute size inside a row."""
