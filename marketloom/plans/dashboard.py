@@ -43,11 +43,12 @@ def metrics_table(metrics: DataFrame, start: dt.date | None = None, end: dt.date
 
 
 def latest_per_ticker(metrics: DataFrame) -> DataFrame:
-    """Each ticker's newest priced row; a maximum per key, combined map-side."""
-    cols = ["close", "return_1d", "sentiment_index", "news_count", "d"]
+    """Each ticker's newest priced row; a hash aggregate, combined map-side. A
+    ticker has one row a day, so the columns come from the same row."""
+    cols = ["close", "return_1d", "sentiment_index", "news_count"]
     return (metrics.filter(F.col("close").isNotNull()).groupBy("ticker")
-            .agg(F.max_by(F.struct(*cols), "d").alias("v"))
-            .select("ticker", T.display_name("ticker").alias("display_name"), "v.*"))
+            .agg(*[F.max_by(c, "d").alias(c) for c in cols], F.max("d").alias("d"))
+            .select("ticker", T.display_name("ticker").alias("display_name"), *cols, "d"))
 
 
 def top_movers(latest: DataFrame, n: int = 5, n_trending: int = 6) -> DataFrame:
@@ -74,8 +75,8 @@ def sparklines(prices: DataFrame, today: Column, days: int = 30) -> DataFrame:
 def latest_price(prices: DataFrame, ticker: str = "ALL") -> DataFrame:
     """Newest stored close of one ticker or of each."""
     rows = between(prices, None, None, ticker=ticker)
-    return (rows.groupBy("ticker").agg(F.max_by(F.struct("close", "d"), "d").alias("v"))
-            .select("ticker", T.display_name("ticker").alias("display_name"), "v.*"))
+    return (rows.groupBy("ticker").agg(F.max_by("close", "d").alias("close"), F.max("d").alias("d"))
+            .select("ticker", T.display_name("ticker").alias("display_name"), "close", "d"))
 
 
 def live_sentiment(metrics: DataFrame, day: Column | None = None) -> DataFrame:

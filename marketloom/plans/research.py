@@ -26,10 +26,10 @@ KEYS = ["ticker", "asset_id", "d"]
 
 
 def latest_rows(panel: DataFrame, features: list[str]) -> DataFrame:
-    """Each ticker's newest row with every feature present."""
+    """Each ticker's newest row with every feature present; it has one row a day."""
     rows = usable(panel, features)
-    rest = [c for c in rows.columns if c != "ticker"]
-    return rows.groupBy("ticker").agg(F.max_by(F.struct(*rest), "d").alias("v")).select("ticker", "v.*")
+    rest = [c for c in rows.columns if c not in ("ticker", "d")]
+    return rows.groupBy("ticker").agg(F.max("d").alias("d"), *[F.max_by(c, "d").alias(c) for c in rest])
 
 
 def signals(model: L.Model, panel: DataFrame, features: list[str]) -> DataFrame:
