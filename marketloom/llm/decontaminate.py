@@ -116,5 +116,4 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of `docs` that are not contaminated, in their own columns. Rows
     go by id and text: repeated rows go or stay together."""
     bad = cut_lineage(_marked(docs, items).where("contaminated").select("doc", "print").distinct(), "contaminated")
-    bad = bad.select(F.col("doc").alias("_doc"), F.col("print").alias("_print"))
-    return docs.join(_bounded(bad), docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_print")), "left_anti")
+    return docs.join(_bounded(bad), docs["doc_id"].eqNullSafe(bad["doc"]) & (F.xxhash64(docs["text"]) == bad["print"]), "left_anti")

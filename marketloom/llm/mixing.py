@@ -114,8 +114,9 @@ def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, in their own columns, as often as the mix takes them
     (whole documents). Of repeated rows each takes the least of their copies."""
-    copies = (mix(docs, labels).groupBy(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"))
-              .agg(F.min("copies").alias("_copies")).where("_copies > 0"))
-    own = [docs[f"`{c}`"] for c in docs.columns]
-    dealt = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_print")))
-    return dealt.select(*own, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    packed = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("doc"), F.xxhash64("text").alias("print"))
+    copies = (mix(docs, labels).groupBy(F.col("doc_id").alias("id"), F.col("print").alias("of"))
+              .agg(F.min("copies").alias("copies")).where("copies > 0"))
+    dealt = packed.join(copies, packed["doc"].eqNullSafe(copies["id"]) & (packed["print"] == copies["of"]))
+    return dealt.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

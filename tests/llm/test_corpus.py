@@ -164,6 +164,23 @@ def test_pipeline_equals_brute_force(spark):
     assert kept
 
 
+def test_stages_keep_columns_with_clashing_names(spark):
+    names = ["row", "score", "features", "id", "doc", "print", "copies", "label", "_doc", "_copy", "size", "raw", "calibrated", "predicted", "held_out"]
+    rows = [(i, f"some words of text number {i} and {i * 7} more", "a", *["x"] * len(names)) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert {r["doc_id"] for r in out.collect()} == set(range(6)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 6
+
+
+def test_stages_take_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
 def test_ten_operators_and_the_pipeline_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
