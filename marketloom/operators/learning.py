@@ -89,7 +89,7 @@ def predict_value(model: Model, rows: DataFrame, out: str = "pred") -> DataFrame
     return model.transform(rows).withColumnRenamed("prediction", out).drop("features")
 
 
-def in_parallel(tasks: list[Callable], parallelism: int = 4) -> list:
+def in_parallel(tasks: list[Callable], parallelism: int = 8) -> list:
     """Run independent fits side by side; each is its own set of Spark jobs."""
     if not tasks:
         return []
