@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketloom.llm.graph import components
-from marketloom.llm.text import _mix, shingle_prints
+from marketloom.llm.text import _mix, shingle_prints, small_batches
 from marketloom.session import cut_lineage
 
 PERMUTATIONS = 64
@@ -126,7 +126,7 @@ def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str
     is kept only where no row with an id is in its component. Columns beside
     the two named are not looked at."""
     ident, body = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))
-    source = docs.select(ident.cast("bigint").alias("id"), body.cast("binary").alias("text"))
+    source = small_batches(docs).select(ident.cast("bigint").alias("id"), body.cast("binary").alias("text"))
     signed = cut_lineage(source.mapInArrow(lambda it: _signatures(it, width), "id long, n long, one long, two long, bands array<long>"), "signed")
     classes = cut_lineage(signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("id")), "classes")
     # one row a class: its smallest member's signature

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators of words made of ASCII letters, digits and anything beyond ASCII.
@@ -12,6 +12,19 @@ ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Texts that go to a Python worker at a time, which bounds its memory.
+BATCH_ROWS = 1_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """`rows`, in a session that hands whole texts to Python in small batches."""
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return rows
+
+
 def ascii_lower(text: Column) -> Column:
     """`text` with A-Z lowered and every other character kept."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

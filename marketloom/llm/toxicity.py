@@ -21,7 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketloom.llm.text import shingle_prints
+from marketloom.llm.text import shingle_prints, small_batches
 from marketloom.session import cut_lineage
 
 #: Labelled rows a model is fitted on at most, those with the smallest hash of their id.
@@ -206,7 +206,7 @@ class Model:
         """`rows` with a column `score` from 0 to 1; every other column, whatever
         its name, stays as it is."""
         body = F.col(text) if isinstance(text, str) else text
-        packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), body.cast("string").alias("text"))
+        packed = small_batches(rows).select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), body.cast("string").alias("text"))
         if self.trees is None:
             return packed.select("row.*", F.lit(self.constant).alias("score"))
         dense = packed.select("row", array_to_vector(_featurise(self.lexicon)("text")).alias("features"))
