@@ -53,6 +53,12 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
     keys on one side only, have no pair. Repeated rows are repeated turns."""
     sides = (turn_lists(chosen.where(F.col(key).isNotNull()), key).withColumnRenamed("turns", "c")
              .join(turn_lists(rejected.where(F.col(key).isNotNull()), key).withColumnRenamed("turns", "r"), key))
+    return format_lists(sides, key)
+
+
+def format_lists(sides: DataFrame, key: str) -> DataFrame:
+    """What `format_pairs` gives, from pairs that hold both conversations as
+    arrays of turns: (key, c, r)."""
     same = F.zip_with("c", "r", lambda a, b: a["role"].eqNullSafe(b["role"]) & a["text"].eqNullSafe(b["text"]))
     first = F.array_position(same, F.lit(False))
     shorter = F.least(F.size("c"), F.size("r"))
@@ -64,8 +70,8 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
                       render(F.col("r")).alias("rejected"), mask(F.col("c")).alias("chosen_mask"), mask(F.col("r")).alias("rejected_mask"))
 
 
-def mismatched_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected conversations from plain ones (conv_id, turn, role,
+def mismatched_pairs(turns: DataFrame) -> DataFrame:
+    """Pairs (conv_id, c, r) from plain conversations (conv_id, turn, role,
     text): the chosen one ends with the last reply of the assistant, and the
     rejected one has the last reply of the next conversation in its place, or
     of the one before where there is no next. Without a reply or a neighbour
@@ -80,10 +86,7 @@ def mismatched_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
             .join(replies.withColumnsRenamed({"own": "o2", "other": "previous", "there": "t2"}), F.col("conv_id") - 1 == F.col("o2"), "left")
             .where("t1 or t2"))
     other = F.when(F.col("t1"), F.col("next")).otherwise(F.col("previous"))
-    out = near.select("conv_id", "turns", other.alias("other"))
-    chosen = out.select("conv_id", F.explode("turns").alias("t")).select("conv_id", "t.*")
     last = F.get("turns", F.size("turns") - 1)
     swapped = F.concat(F.slice("turns", F.lit(1), F.size("turns") - 1),
-                       F.array(F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.col("other").alias("text"))))
-    rejected = out.select("conv_id", F.explode(swapped).alias("t")).select("conv_id", "t.*")
-    return chosen, rejected
+                       F.array(F.struct(last["turn"].alias("turn"), last["role"].alias("role"), other.alias("text"))))
+    return near.select("conv_id", F.col("turns").alias("c"), swapped.alias("r"))

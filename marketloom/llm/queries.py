@@ -19,7 +19,7 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_preference_format(spark: SparkSession, folder: str) -> DataFrame:
-    return preference.format_pairs(*preference.mismatched_pairs(_table(spark, folder, "conversations")), "conv_id")
+    return preference.format_lists(preference.mismatched_pairs(_table(spark, folder, "conversations")), "conv_id")
 
 
 def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:

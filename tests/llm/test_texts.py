@@ -222,7 +222,7 @@ def test_preference_pairs_equal_brute_force(spark):
 
 def test_mismatched_pairs(spark):
     rows = [(1, 0, "user", "q1", 0), (1, 1, "assistant", "a1", 0), (1, 2, "user", "bye", 0), (2, 0, "user", "q2", 0), (2, 1, "assistant", "a2", 0), (3, 0, "user", "none", 0), (9, 0, "assistant", "alone", 0)]
-    got = {r["conv_id"]: (r["prompt"], r["chosen"], r["rejected"]) for r in preference.format_pairs(*preference.mismatched_pairs(spark.createDataFrame(rows, TURNS)), "conv_id").collect()}
+    got = {r["conv_id"]: (r["prompt"], r["chosen"], r["rejected"]) for r in preference.format_lists(preference.mismatched_pairs(spark.createDataFrame(rows, TURNS)), "conv_id").collect()}
     show = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
     assert got == {1: (show("user", "q1"), show("assistant", "a1"), show("assistant", "a2")), 2: (show("user", "q2"), show("assistant", "a2"), show("assistant", "a1"))}
 
