@@ -227,16 +227,18 @@ def test_mismatched_pairs(spark):
     assert got == {1: (show("user", "q1"), show("assistant", "a1"), show("assistant", "a2")), 2: (show("user", "q2"), show("assistant", "a2"), show("assistant", "a1"))}
 
 
-def test_toxicity_on_held_out_rows(spark, documents):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
+def test_toxicity_on_held_out_rows(spark):
+    # the smaller table holds out 14 toxic rows, 5 of them in languages with 2 or fewer toxic rows to learn from
+    large = SF.replace("0.01", "0.1")
+    documents, labels = spark.read.parquet(f"{large}/documents.parquet"), spark.read.parquet(f"{large}/labels.parquet")
     scored = toxicity.toxicity(documents, labels)
     assert scored.columns == [*documents.columns, "score", "held_out", "predicted"]
     rows = scored.join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").collect()
-    assert scored.count() == documents.count() and all(0 <= r["score"] <= 1 for r in rows)
     hit = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
     toxic = [r["score"] for r in rows if r["toxic"] == 1]
     clean = [r["score"] for r in rows if r["toxic"] == 0]
-    assert hit > 0.9 and sum(a > b for a in toxic for b in clean) / (len(toxic) * len(clean)) > 0.85
+    area = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
+    assert all(0 <= r["score"] <= 1 for r in rows) and hit > 0.95 and area > 0.9
 
 
 def test_toxicity_never_sees_held_out_labels(spark, documents):
