@@ -131,6 +131,16 @@ def test_network_reads_every_long_run(documents):
         assert set(base) <= set(every) and [text[a:b] for k, a, b in every if k == secrets.ADDED] == lines[text]
 
 
+def test_network_reads_the_middle_of_long_runs_at_its_own_threshold():
+    assert list(secrets.parts(0, 64)) == [(0, 64)] and list(secrets.parts(5, 150)) == [(5, 69), (37, 101), (69, 133), (86, 150)]
+    network = secrets.Network()
+    middle = "g" * 70 + "Z" * 20 + "g" * 70
+    network.probabilities = lambda codes: np.where((codes == ord("Z") - 31).sum(axis=1) >= 20, 0.4, 0.1)
+    for threshold, want in ((0.3, [(secrets.ADDED, 2, 162)]), (0.45, [])):
+        network.threshold = threshold
+        assert secrets.find_all(["x " + middle + " y", "k" * 64], network)[0][1] == want
+
+
 def test_network_slopes():
     draw = np.random.default_rng(2)
     network = secrets.Network()
