@@ -1,12 +1,17 @@
-"""License notices in texts: winnowed fingerprints find candidates, a banded alignment confirms them.
+"""License notices in texts: winnowed fingerprints and rare words find candidates, a banded alignment confirms them.
 
 Templates are few and fixed, so their inverted index is a dictionary that goes
 with the function. Any passage that shares five words in a row with a template
-shares a winnowed fingerprint with it."""
+shares a winnowed fingerprint with it. A passage that is a finding leaves out d
+of a template's words at most, so of any d + 1 of them it has one: the d + 1
+that are rarest among the templates are looked up as single words, so no edit
+that leaves COVERAGE and shifts by no more than the band goes unread."""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,15 +74,35 @@ class Index:
             for at in winnowed(prints):
                 self.places.setdefault(int(prints[at]), []).append((name, int(at)))
         self.known = np.array(sorted(self.places), np.uint64)
+        rare = Counter(w for words in self.words.values() for w in words)
+        self.seeds: dict[int, list[tuple[str, int]]] = {}
+        self.parts = {}
+        for name, text in templates.items():
+            prints, n = shingle_prints(text.encode().translate(_PLAIN), 1)
+            self.parts[name] = np.unique(prints)
+            left_out = n - math.ceil(COVERAGE * n)
+            for at in sorted(range(n), key=lambda i: (rare[self.words[name][i]], -len(self.words[name][i]), i))[:left_out + 1]:
+                self.seeds.setdefault(int(prints[at]), []).append((name, at))
+        self.sown = np.array(sorted(self.seeds), np.uint64)
 
     def candidates(self, text: str) -> list[tuple[int, str, int]]:
         """(word, template, word of the template) where a fingerprint is shared."""
-        prints, _ = shingle_prints(text.encode("utf-8", "replace").translate(_PLAIN), GRAM)
-        if not len(prints):
-            return []
+        line = text.encode("utf-8", "replace").translate(_PLAIN)
+        single, _ = shingle_prints(line, 1)
+        sown = np.flatnonzero(np.isin(single, self.sown))
+        hits = {(int(i), name, place) for i in sown for name, place in self.seeds[int(single[i])]} if len(sown) else set()
+        hits = {h for h in hits if self._enough(single, *h)}
+        prints, _ = shingle_prints(line, GRAM)
         at = winnowed(prints)
         at = at[np.isin(prints[at], self.known)]
-        return sorted((int(i), name, place) for i in at for name, place in self.places[int(prints[i])])
+        return sorted(hits | {(int(i), name, place) for i in at for name, place in self.places[int(prints[i])]})
+
+    def _enough(self, single: np.ndarray, at: int, name: str, place: int) -> bool:
+        """Whether the words within the band hold COVERAGE of the template's, in any order."""
+        n = len(self.words[name])
+        band = BAND + n // 10
+        near = single[max(0, at - place - band):at - place + n + band]
+        return int(np.isin(near, self.parts[name]).sum()) >= COVERAGE * n
 
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
         """(template, start, end, coverage) of the passages that match, in code
@@ -87,20 +112,22 @@ class Index:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
         words = [text[a:b].lower() for a, b in spans]
-        found, behind = [], {}
+        found, behind, read = [], {}, set()
         for at, name, place in hits:
-            if at < behind.get(name, 0):
+            if at < behind.get(name, 0) or (name, at - place) in read:
                 continue
+            read.add((name, at - place))
             template = self.words[name]
             first, last, matched = banded(template, words, at - place, BAND + len(template) // 10)
             if matched >= COVERAGE * len(template):
                 found.append((matched, name, first, last))
-                behind[name] = last + 1
+                if matched == len(template):  # a part of it may be in a passage that matches more
+                    behind[name] = last + 1
         found.sort(key=lambda f: (-f[0], f[2], f[1]))
         kept: list[tuple[int, str, int, int]] = []
         taken: set[int] = set()
         for matched, name, first, last in found:
-            if first not in taken and last not in taken:
+            if taken.isdisjoint(range(first, last + 1)):
                 kept.append((matched, name, first, last))
                 taken.update(range(first, last + 1))
         return sorted(((name, spans[first][0], spans[last][1], round(matched / len(self.words[name]), 4)) for matched, name, first, last in kept),

@@ -176,6 +176,32 @@ def test_license_passages():
     assert index.find("the license of the software is under review by the public") == [] and index.find("") == []
 
 
+def test_edited_short_notices_are_found_like_by_plain_alignment():
+    index, draw = licenses.Index(licenses.TEMPLATES), random.Random(8)
+    for text in ("Licensed under Apache License 2.0", "Released under MIT License", "Released under an MIT License"):
+        assert index.find("x y z " + text + " q r s"), text
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *_next(row, x, b)]
+        return row[-1]
+
+    def _next(row, x, b):
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(max(out[-1], row[j + 1], row[j] + (x == y)))
+        return out[1:]
+    for name in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0", "CC-BY-4.0", "BSD"):
+        words, tried = index.words[name], 0
+        while tried < 150:
+            kept = [w if draw.random() > 0.15 else draw.choice(("", "qq", "qq w" + w)) for w in words]
+            kept = " ".join(w + (" zz" if draw.random() < 0.2 else "") for w in kept).split()
+            if common(words, kept) >= licenses.COVERAGE * len(words) and len(kept) - len(words) <= 2:
+                tried += 1
+                assert index.find("some of it " + " ".join(kept) + " and so on"), kept
+
+
 def test_license_rows_equal_plain_search(spark, documents):
     lines = {n: licenses.TEMPLATES[n] for n in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-NC-4.0")}
     plain = lambda t: " " + " ".join(re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())) + " "
