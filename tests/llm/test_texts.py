@@ -87,6 +87,14 @@ def test_field_finds_other_spellings(documents):
         assert pii.find_all([clean], field)[0][1] == []
 
 
+def test_field_finds_every_trained_form_of_an_address(spark, documents):
+    forms = [f for host in ("post.org", "mail.example.com") for f in pii._rewritten("email", f"ann.lee@{host}")] + ["info at example dot net"]
+    rows = documents.select("doc_id", "text").union(spark.createDataFrame([(-1 - i, f"write to {f} please and wait") for i, f in enumerate(forms)], "doc_id long, text string"))
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(rows).where("doc_id < 0").collect()}
+    assert [got[-1 - i] for i in range(len(forms))] == [f"email:9:{9 + len(f)}" for f in forms]
+    assert pii.chains("we met at home. Then we left at once") == []
+
+
 def test_field_gradient_learns_and_viterbi_is_exact():
     draw = np.random.default_rng(0)
     field = pii.Field(draw.normal(size=(pii.BUCKETS, len(pii.TAGS))), draw.normal(size=(len(pii.TAGS), len(pii.TAGS))))
