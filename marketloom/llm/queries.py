@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketloom.llm import decontaminate, embeddings, licenses, minmax, mixing, pii, preference, secrets, shards, toxicity
+from marketloom.llm import audit, decontaminate, embeddings, licenses, lines, minmax, mixing, pii, preference, ranked, secrets, shards, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,9 +56,23 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.best_documents(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    kept = lines.kept_texts(docs, lines.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_preference_format, op3_personal_data, op4_license_scan, op5_embedding_dedup, op6_sharding,
-                            op7_toxicity, op8_minmax_dedup, op9_secret_scan, op10_mixing)
+                            op7_toxicity, op8_minmax_dedup, op9_secret_scan, op10_mixing, op11_filter_audit, op12_ranked_search, op13_line_dedup)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -145,4 +159,53 @@ ORACLE: dict[str, str] = {
                CAST(CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size) * size + greatest(0, least(size,
                    round(target - floor(target / source_size) * source_size) - before)) END AS BIGINT) AS taken
         FROM ordered""",
+    "op11_filter_audit": r"""
+        WITH known AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+                       FROM labels GROUP BY 1),
+        docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        flags AS (SELECT doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' ELSE '' END
+                         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f
+                  FROM docs LEFT JOIN known USING (doc_id)),
+        masks AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY 1, 2),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+                   WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+        met AS (SELECT part, filter_order, step, own, n, good, toxic, f, contains(f, own) AS fails,
+                       len(translate(f, before, '')) = len(f) AS arrives FROM masks, steps),
+        sums AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, own,
+                        CAST(coalesce(sum(n) FILTER (arrives AND NOT fails), 0) AS BIGINT) AS kept,
+                        CAST(coalesce(sum(n) FILTER (arrives AND fails), 0) AS BIGINT) AS removed,
+                        CAST(coalesce(sum(n) FILTER (NOT arrives AND fails), 0) AS BIGINT) AS redundant,
+                        CAST(coalesce(sum(n) FILTER (f = own), 0) AS BIGINT) AS unique_fails,
+                        CAST(coalesce(sum(good) FILTER (arrives AND fails), 0) AS BIGINT) AS good_lost,
+                        CAST(coalesce(sum(toxic) FILTER (arrives AND fails), 0) AS BIGINT) AS toxic_lost
+                 FROM met GROUP BY 1, 2, 3, 4)
+        SELECT * EXCLUDE (own), CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM sums""",
+    "op12_ranked_search": rf"""
+        WITH docs AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+        sized AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n FROM docs),
+        whole AS (SELECT count(*) FILTER (n > 0) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sized),
+        q AS (SELECT DISTINCT item_id, unnest({_ALNUM}) AS t FROM benchmark),
+        tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM docs) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+        w AS (SELECT t, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY t, nn),
+        m AS (SELECT doc_id, 10 + (90 * n * nn) // ll AS m FROM sized, whole WHERE n > 0),
+        s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+              FROM q JOIN tf USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY 1, 2),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+                   FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+    "op13_line_dedup": """
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        placed AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS p FROM split),
+        keyed AS (SELECT doc_id, line, p, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM placed),
+        shared AS (SELECT k FROM keyed WHERE k <> '' GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(s.k) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (s.k IS NULL), '')) AS kept_sha256
+        FROM keyed LEFT JOIN shared s ON s.k = keyed.k GROUP BY 1""",
 }

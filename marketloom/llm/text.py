@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators of words made of ASCII letters, digits and anything beyond ASCII.
@@ -25,6 +28,22 @@ def small_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """What runs inside hands at most `rows` rows at a time to Python; the
+    session's own setting holds again afterwards."""
+    before = spark.conf.get(_BATCH_SETTING, None)
+    if before is None or not 0 < int(before) <= rows:
+        spark.conf.set(_BATCH_SETTING, str(rows))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_SETTING)
+        else:
+            spark.conf.set(_BATCH_SETTING, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """`text` with A-Z lowered and every other character kept."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
