@@ -12,9 +12,13 @@ the documents."""
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marketloom.llm.text import arrow_rows
 from marketloom.session import cut_lineage
 
 FILTERS = "ABCDE"
@@ -30,19 +34,25 @@ def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def _failed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    upper, marks = bytes(range(65, 91)), b"#$%&*|"
+    for batch in batches:
+        bits = np.zeros(batch.num_rows, np.int32)
+        for i, (text, points) in enumerate(zip(batch.column("text"), batch.column("points").to_numpy())):
+            text = text.as_py()
+            words = text.split()  # of bytes: at ASCII white space alone
+            bits[i] = ((len(words) < 200) | (100 * len(set(words)) < 50 * len(words)) << 1
+                       | bool(100 * (len(text) - len(text.translate(None, upper))) > 2 * points) << 2 | (len(text.translate(None, marks)) < len(text)) << 3)
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("part"), pa.array(bits), batch.column("print")], ["doc", "part", "bits", "print"])
+
+
 def flagged(docs: DataFrame) -> DataFrame:
     """(doc, part, bits, print): the failed filters A to D of a text as bits 0 to
-    3, and a hash of the text. A null text is empty, a null source ''."""
-    text = _text()
-    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
-    read = docs.select(F.col("doc_id").alias("doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text.alias("text"))
-    read = read.withColumn("words", words).withColumn("n", F.size("words"))
-    failed = [F.col("n") < 200,
-              100 * F.size(F.array_distinct("words")) < 50 * F.col("n"),
-              100 * F.regexp_count("text", F.lit("[A-Z]")).cast("bigint") > 2 * F.char_length("text"),
-              F.col("text").rlike(r"[#$%&*|]")]
-    bits = sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(failed)), F.lit(0))
-    return read.select("doc", "part", bits.alias("bits"), F.xxhash64("text").alias("print"))
+    3, and a hash of the text. A null text is empty, a null source ''. Whole
+    texts go to Python; a batch of them bounds the memory."""
+    read = docs.select(F.col("doc_id").alias("doc"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), _text().alias("text"))
+    read = read.select("doc", "part", F.col("text").cast("binary").alias("text"), F.char_length("text").alias("points"), F.xxhash64("text").alias("print"))
+    return read.mapInArrow(_failed, f"doc {docs.schema['doc_id'].dataType.simpleString()}, part string, bits int, print bigint")
 
 
 def _block(blocks: int) -> Column:
@@ -87,7 +97,8 @@ def combinations(docs: DataFrame, labels: DataFrame, max_blocks: int = MAX_BLOCK
     anything and nothing is a copy of it; rows that share id and text are not
     copies of each other, since neither id is smaller. An id counts as good or
     toxic if any of its labels says so. Other columns are not read."""
-    slim = cut_lineage(flagged(docs), "flags")
+    with arrow_rows(docs.sparkSession):
+        slim = cut_lineage(flagged(docs), "flags")
     blocks = 1
     while blocks < max_blocks and blocks * BLOCK_CELLS < TEXT_CELLS * slim.count():
         blocks *= 2
