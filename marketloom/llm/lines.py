@@ -65,7 +65,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
     stay. Positions of one document meet in one row, which its text bounds.
     Other columns are not read."""
     lines = cut_lineage(line_hashes(docs, min_chars), "lines")
-    shared = shared_lines(lines, min_docs).withColumnsRenamed({"one": "a", "two": "b"})
+    # written, so that the join below shuffles both sides by itself and its hot keys can be split
+    shared = cut_lineage(shared_lines(lines, min_docs), "shared").withColumnsRenamed({"one": "a", "two": "b"})
     gone = lines.join(shared, (F.col("one") == F.col("a")) & (F.col("two") == F.col("b")))
     if keep_first:
         gone = gone.where(~F.struct("doc", "print", "pos").eqNullSafe(F.col("first")))
