@@ -40,8 +40,8 @@ def direction_backtest(m: Market):
 
 @query("ticker_direction", dates="latest_date")
 def ticker_direction(m: Market):
-    """The report a user asks for by symbol."""
-    return R.predict_panel(tech(m, [5]), "Brand#11")
+    """The report of every ticker's own model."""
+    return R.predict_tickers(tech(m, [5]))
 
 
 @query("direction_signals", dates="latest_date")
@@ -124,26 +124,24 @@ def fundamentals_factors(m: Market):
     return R.factor_table(fund_panel(m))
 
 
-def outlooks(m: Market):
-    panel = panels.volatility_panel(m.prices)
-    return [R.volatility_outlook(panel, h) for h in P.VOLATILITY_HORIZONS]
+def outlooks(m: Market, part: int):
+    """One of evaluation and forecasts, for all horizons."""
+    return each([out[part] for out in R.volatility_outlooks(panels.volatility_panel(m.prices)).values()])
 
 
 @query("volatility_evaluation", dates="test_start test_end")
 def volatility_evaluation(m: Market):
-    return each([out and out[0] for out in outlooks(m)])
+    return outlooks(m, 0)
 
 
 @query("volatility_forecasts", dates="as_of")
 def volatility_forecasts(m: Market):
-    return each([out and out[1] for out in outlooks(m)])
+    return outlooks(m, 1)
 
 
 @query("volatility_walk_forward", dates="test_start test_end")
 def volatility_walk_forward(m: Market):
-    panel = panels.volatility_panel(m.prices)
-    reports = {h: R.volatility_walk_forward(panel, h) for h in P.VOLATILITY_HORIZONS}
-    return each([r.withColumn("horizon", F.lit(h)) for h, r in reports.items() if r is not None])
+    return R.volatility_walk_forwards(panels.volatility_panel(m.prices))
 
 
 @query("volatility_ablation")

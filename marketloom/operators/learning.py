@@ -4,22 +4,74 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marketloom.operators import boosting
 from marketloom.operators.rows import beside
-from marketloom.session import scratch_root
 
-Model = PipelineModel
+DIRECTION = boosting.Loss(log=True)
+SQUARED = boosting.Loss(log=False)
 
 
-#: Training rows of a task: boosting runs some jobs for every level of every tree, so small tables keep to few tasks.
+@dataclass(frozen=True)
+class Boosted:
+    """Boosted trees with the surface of a fitted pipeline: `transform` adds
+    `probability` to a direction model's rows and `prediction` to others'."""
+    features: list[str]
+    ensemble: boosting.Ensemble
+    loss: boosting.Loss
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        out = boosting.margins({0: self.ensemble}, F.lit(0), feature_array(self.features))
+        if not self.loss.log:
+            return rows.withColumn("prediction", out)
+        up = 1 / (1 + F.exp(-out))
+        return rows.withColumn("probability", array_to_vector(F.array(1 - up, up)))
+
+
+Model = PipelineModel | Boosted
+
+
+def feature_array(features: list[str], within: list[str] | None = None) -> Column:
+    """The features as an array, in the order of `within`, 0 where they lack one."""
+    return F.array(*[F.col(f).cast("double") if f in features else F.lit(0.0) for f in within or features])
+
+
+def fit_boosted(plan: boosting.Plan, parts: list[tuple[DataFrame, list[str], str]]) -> list[Boosted | None]:
+    """Boosted models over (rows, features, label) parts, all in one go; None
+    for a part without rows."""
+    every = list(dict.fromkeys(f for _, features, _ in parts for f in features))
+    rows = [df.select(F.lit(i).alias("model"), F.col(label).cast("double").alias("label"), feature_array(features, every).alias("x"))
+            for i, (df, features, label) in enumerate(parts)]
+    if not rows:
+        return []
+    fitted = boosting.fit_many(plan, reduce(DataFrame.unionByName, rows), every, {i: features for i, (_, features, _) in enumerate(parts)})
+
+    def narrow(i: int) -> Boosted | None:
+        features = parts[i][1]
+        return Boosted(features, boosting.narrowed(fitted[i], [every.index(f) for f in features]), plan.loss) if i in fitted else None
+
+    return [narrow(i) for i in range(len(parts))]
+
+
+def direction_plan(rounds: int) -> boosting.Plan:
+    return boosting.Plan(DIRECTION, rounds, 4, 0.1)
+
+
+def volatility_plan(rounds: int) -> boosting.Plan:
+    return boosting.Plan(SQUARED, rounds, 5, 0.05)
+
+
+#: Training rows of a task: the linear fits pass over their rows many times, so small tables keep to few tasks.
 TASK_ROWS = 50_000
 
 
@@ -28,13 +80,6 @@ def in_tasks(train: DataFrame, rows: int) -> DataFrame:
     return train.coalesce(max(1, -(-rows // TASK_ROWS)))
 
 
-def use_checkpoints(df: DataFrame) -> None:
-    """Boosting cuts its lineage with checkpoints in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_root(df.sparkSession))
-
-
 def balanced(train: DataFrame, label: str) -> DataFrame:
     """Adds `weight` = n / (2 n_class)."""
     y = F.col(label)
@@ -44,24 +89,21 @@ def balanced(train: DataFrame, label: str) -> DataFrame:
     return beside(train, counts).withColumn("weight", weight.cast("double")).drop("_up", "_down")
 
 
-def _classifier(kind: str, features: list[str], n: int, rounds: int) -> Pipeline:
+def _logistic(features: list[str], n: int) -> Pipeline:
     assemble = VectorAssembler(inputCols=features, outputCol="raw_features")
-    if kind == "logistic":
-        scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
-        fit = LogisticRegression(weightCol="weight", regParam=1.0 / max(n, 1), standardization=False, maxIter=1000)
-    else:
-        scale = VectorAssembler(inputCols=features, outputCol="features")
-        fit = GBTClassifier(weightCol="weight", maxIter=rounds, maxDepth=4, seed=42)
+    scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
+    fit = LogisticRegression(weightCol="weight", regParam=1.0 / max(n, 1), standardization=False, maxIter=1000)
     return Pipeline(stages=[assemble, scale, fit])
 
 
 def fit_direction(train: DataFrame, features: list[str], label: str, kind: str = "boosted",
                   rounds: int = 200) -> Model:
     """Balanced direction classifier on rows without missing values."""
-    use_checkpoints(train)
+    if kind != "logistic":
+        return fit_boosted(direction_plan(rounds), [(train, features, label)])[0]
     n = train.count()
     rows = in_tasks(balanced(train, label).withColumn("label", F.col(label).cast("double")), n)
-    return _classifier(kind, features, n, rounds).fit(rows)
+    return _logistic(features, n).fit(rows)
 
 
 def predict_direction(model: Model, rows: DataFrame) -> DataFrame:
@@ -75,9 +117,7 @@ def predict_direction(model: Model, rows: DataFrame) -> DataFrame:
 
 def fit_regression(train: DataFrame, features: list[str], label: str, rounds: int = 300) -> Model:
     """Boosted regression trees, depth 5, rate 0.05."""
-    use_checkpoints(train)
-    trees = GBTRegressor(labelCol=label, maxIter=rounds, maxDepth=5, stepSize=0.05, seed=42)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(in_tasks(train, train.count()))
+    return fit_boosted(volatility_plan(rounds), [(train, features, label)])[0]
 
 
 def fit_ols(train: DataFrame, features: list[str], label: str) -> Model:
@@ -131,6 +171,14 @@ def linear_attribution(model: Model, rows: DataFrame, features: list[str], keys:
     return model.transform(rows).select(*keys, F.inline(cells))
 
 
+def tree_attribution(model: Boosted, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """Exact Shapley contributions to the margin, per row and feature."""
+    split = rows.select(*keys, *features, boosting.attribution(model.ensemble, feature_array(features)).alias("_split"))
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), F.col("_split")[i].alias("contribution"))
+                      for i, f in enumerate(features)])
+    return split.select(*keys, F.inline(cells))
+
+
 def sampled_attribution(model: Model, rows: DataFrame, background: DataFrame, features: list[str],
                         keys: list[str], permutations: int = 16, seed: int = 42,
                         output: Callable[[DataFrame], Column] = margin) -> DataFrame:

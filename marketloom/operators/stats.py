@@ -249,20 +249,21 @@ def auc(scored: DataFrame, y: str, score: str) -> DataFrame:
     return total.select(F.try_divide(F.col("rs") - p * (p + 1) / 2, p * F.col("q")).alias("auc"))
 
 
-def skill(scored: DataFrame, y: str, model: str, persist: str) -> DataFrame:
+def skill(scored: DataFrame, y: str, model: str, persist: str, keys: list[str] = ()) -> DataFrame:
     """Model against persistence on the same rows: R2 of both, skill, and the
-    median absolute error in annualised percent."""
+    median absolute error in annualised percent, for each of the `keys`."""
     em, ep = F.col(y) - F.col(model), F.col(y) - F.col(persist)
-    base = scored.agg(
+    base = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), r_squared(y, model).alias("test_r2"),
         r_squared(y, persist).alias("persist_r2"),
         (1 - F.try_divide(F.avg(em * em), F.avg(ep * ep))).alias("skill"))
     err = lambda c: X.annual_pct(F.abs(F.exp(y) - F.exp(c)))
     cells = F.array(F.struct(F.lit("m").alias("k"), err(model).alias("e")),
                     F.struct(F.lit("p").alias("k"), err(persist).alias("e")))
-    med = ranking.quantiles(scored.select(F.inline(cells)), ["k"], "e", {"median": 0.5})
+    med = ranking.quantiles(scored.select(*keys, F.inline(cells)), [*keys, "k"], "e", {"median": 0.5})
     pick = lambda k: F.max(F.when(F.col("k") == k, F.col("median")))
-    return beside(base, med.agg(pick("m").alias("mae_model_annpct"), pick("p").alias("mae_persist_annpct")))
+    med = med.groupBy(*keys).agg(pick("m").alias("mae_model_annpct"), pick("p").alias("mae_persist_annpct"))
+    return base.join(med, list(keys)) if keys else beside(base, med)
 
 
 def autocorrelations(df: DataFrame, col: str, lags: list[int], label: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from marketloom.functions import params as P
 from marketloom.functions.numeric import annual_pct, forecast_band, ratio
@@ -46,16 +46,22 @@ def walk_forward_direction(rows: DataFrame, features: list[str], target: str, n_
     too thin or whose training rows have one class are left out."""
     plan = validation.folds(rows, n_folds, min_test)
     bounds = plan.orderBy("fold").collect()
-
-    def one(b):
-        train = rows.filter(F.col("d") <= F.lit(b.train_end))
-        test = rows.filter(F.col("d").between(F.lit(b.test_start), F.lit(b.test_end)))
-        if train.select(target).distinct().count() < 2 or test.count() < min_test:
-            return None
-        model = L.fit_direction(train, features, target, kind, rounds)
-        return L.predict_direction(model, test).select(F.lit(b.fold).alias("fold"), "d", target, "pred")
-
-    parts = [p for p in in_parallel([lambda b=b: one(b) for b in bounds]) if p is not None]
+    trains = [rows.filter(F.col("d") <= F.lit(b.train_end)) for b in bounds]
+    tests = [rows.filter(F.col("d").between(F.lit(b.test_start), F.lit(b.test_end))) for b in bounds]
+    y, facts = F.col(target), {}
+    if bounds:
+        seen = lambda b: F.col("d") <= F.lit(b.train_end)
+        counts = rows.agg(*[c for b in bounds for c in (
+            F.count_if(seen(b) & (y == 1)), F.count_if(seen(b) & (y == 0)),
+            F.count_if(F.col("d").between(F.lit(b.test_start), F.lit(b.test_end))))]).first()
+        facts = {i: tuple(counts[3 * i:3 * i + 3]) for i in range(len(bounds))}
+    taken = [i for i, (up, down, n) in facts.items() if up and down and n >= min_test]
+    if kind == "logistic":
+        models = in_parallel([lambda i=i: L.fit_direction(trains[i], features, target, kind, rounds) for i in taken])
+    else:
+        models = L.fit_boosted(L.direction_plan(rounds), [(trains[i], features, target) for i in taken])
+    parts = [L.predict_direction(m, tests[i]).select(F.lit(bounds[i].fold).alias("fold"), "d", target, "pred")
+             for i, m in zip(taken, models)]
     if not parts:
         return plan.select("fold", "test_start", "test_end").limit(0).withColumns(
             {"n": F.lit(0), "n_test_days": F.lit(0), "accuracy": F.lit(0.0), "baseline": F.lit(0.0),
@@ -102,7 +108,7 @@ def direction_report(panel: DataFrame, features: list[str] = P.TECHNICAL_FEATURE
     metrics = beside(counts, score)
     curve = validation.equity_curve(preds, "ticker", ret, "pred").select("ticker", "d", "strategy", "buy_hold")
     last = latest_rows(panel, features)
-    explanation = (explain_rows(model, last, train, features, ["ticker"]) if explain else None)
+    explanation = (explain_rows(model, last, features, ["ticker"]) if explain else None)
     return DirectionReport(metrics, curve, signals(model, panel, features), explanation, model)
 
 
@@ -124,12 +130,57 @@ def predict_panel(panel: DataFrame, ticker: str, features: list[str] = P.TECHNIC
     return beside(out, named).withColumn("horizon", F.lit(horizon))
 
 
-def explain_rows(model: L.Model, rows: DataFrame, background: DataFrame, features: list[str],
-                 keys: list[str]) -> DataFrame:
-    """Contribution per feature, largest first by absolute size inside a row."""
-    linear = hasattr(model.stages[-1], "coefficients")
-    a = (L.linear_attribution(model, rows, features, keys) if linear
-         else L.sampled_attribution(model, rows, background, features, keys))
+def predict_tickers(panel: DataFrame, features: list[str] = P.TECHNICAL_FEATURES, horizon: int = 5, min_rows: int = 120,
+                    rounds: int = 200, n_folds: int = 5, min_test: int = 10, test_fraction: float = 0.25) -> DataFrame:
+    """`predict_panel` for every ticker with enough rows: each ticker's own
+    hold-out model, fold models and signal of today.
+
+    The dates of a ticker are numbered in a window over its own rows, which the
+    calendar bounds; every (ticker, fit) is then boosted where its rows lie and
+    the reports are aggregates over all predictions."""
+    target, ret = f"target_dir_{horizon}d", f"target_ret_{horizon}d"
+    rows = usable(panel, features + [target]).select("ticker", "d", *features, target, ret)
+    own = Window.partitionBy("ticker")
+    rows = rows.withColumns({"n": F.count(F.lit(1)).over(own), "i": F.row_number().over(own.orderBy("d")) - 1}).filter(F.col("n") >= min_rows)
+    k = F.least(F.lit(n_folds), F.greatest(F.lit(1), F.floor(F.col("n") / min_test).cast("int") - 1))
+    rows = cut_lineage(rows.withColumn("k", k).withColumn("seg", F.floor(F.col("n") / (F.col("k") + 1)).cast("int")), "ticker-rows")
+
+    # fit 0 is the hold-out, fit 1.. the folds; a row trains, tests or stands aside
+    cut, start = F.floor(F.col("n") * (1 - test_fraction)).cast("int"), F.col("fit") * F.col("seg")
+    stop = F.when(F.col("fit") < F.col("k"), start + F.col("seg")).otherwise(F.col("n"))
+    each = rows.withColumn("fit", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    each = each.withColumn("is_test", F.when(F.col("fit") == 0, F.col("i") >= cut).when(F.col("i") < start, False)
+                           .when(F.col("i") < stop, True)).filter(F.col("is_test").isNotNull())
+    last = latest_rows(panel, features).join(rows.select("ticker").distinct(), "ticker", "left_semi")
+    cast = [F.col(target).cast("double").alias("label"), F.col(ret).cast("double").alias("ret"), L.feature_array(features).alias("x")]
+    fits = each.select("ticker", "fit", "d", "is_test", F.lit(False).alias("is_last"), *cast).unionByName(
+        last.select("ticker", F.lit(0).alias("fit"), "d", F.lit(True).alias("is_test"), F.lit(True).alias("is_last"), *cast))
+    scored = L.boosting.fit_predict_groups(L.direction_plan(rounds), cut_lineage(fits, "ticker-fits"), ["ticker", "fit"], ["d", "is_last", "label", "ret"])
+    p = 1 / (1 + F.exp(-F.col("margin")))
+    scored = cut_lineage(scored.withColumns({"proba_up": p, "pred": (p >= 0.5).cast("int"), "label": F.nanvl("label", F.lit(None)),
+                                             "ret": F.nanvl("ret", F.lit(None))}), "ticker-preds")
+
+    held = scored.filter((F.col("fit") == 0) & ~F.col("is_last"))
+    metrics = stats.classification(held, "label", "pred", ["ticker"]).withColumnRenamed("n", "n_test")
+    sizes = rows.groupBy("ticker").agg(F.count_if(F.col("i") < cut).alias("n_train"), F.count_distinct(F.when(F.col("i") < cut, F.col("d"))).alias("n_train_days"),
+                                       F.count_distinct(F.when(F.col("i") >= cut, F.col("d"))).alias("n_test_days"))
+    curve = validation.equity_curve(held, "ticker", "ret", "pred")
+    growth = curve.groupBy("ticker").agg(*[(F.max_by(c, "d") - 1).alias(f"final_return_{c}") for c in ("strategy", "buy_hold")])
+    signal = scored.filter("is_last").select(
+        "ticker", F.col("d").alias("latest_date"), F.when(F.col("pred") == 1, "UP").otherwise("DOWN").alias("latest_signal"),
+        F.round(F.greatest("proba_up", 1 - F.col("proba_up")), 3).alias("latest_confidence"))
+    folds = stats.classification(scored.filter("fit > 0"), "label", "pred", ["ticker", "fit"]).filter(F.col("n") >= min_test)
+    summary = folds.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_folds"), F.round(F.avg(F.round("accuracy", 3)), 3).alias("fold_accuracy_mean"),
+                                          F.count_if("beats_baseline").alias("folds_beating_baseline"))
+    out = reduce(lambda a, b: a.join(b, "ticker"), [sizes, metrics, growth, signal])
+    out = out.join(summary, "ticker", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_folds", "folds_beating_baseline")})
+    return out.withColumn("horizon", F.lit(horizon))
+
+
+def explain_rows(model: L.Model, rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """Exact contribution per feature, largest first by absolute size inside a row."""
+    exact = L.tree_attribution if isinstance(model, L.Boosted) else L.linear_attribution
+    a = exact(model, rows, features, keys)
     return a.orderBy(*keys, F.abs("contribution").desc(), "feature")
 
 
@@ -138,27 +189,37 @@ def direction_grid(panels: dict[str, tuple[DataFrame, list[str]]], horizons: lis
                    min_rows: int = 60) -> DataFrame:
     """{model} x {horizon} x {feature set}: accuracy, precision, recall, F1, AUC
     and the verdict against the majority baseline."""
-    def one(name, rows, features, h, kind):
+    saved = {n: (cut_lineage(df.select(*KEYS, *fs, *[f"target_dir_{h}d" for h in horizons]), "grid-panel"), fs)
+             for n, (df, fs) in panels.items()}
+
+    def cell(name, h):
+        rows, features = saved[name]
         target = f"target_dir_{h}d"
         clean = usable(rows, features + [target])
         if clean.limit(min_rows).count() < min_rows:
             return None
-        clean = validation.split(clean)
+        clean = cut_lineage(validation.split(clean), "grid-split")
         train, test = clean.filter(~F.col("is_test")), clean.filter("is_test")
         if test.isEmpty() or train.select(target).distinct().count() < 2:
             return None
-        preds = cut_lineage(L.predict_direction(L.fit_direction(train, features, target, kind, rounds), test)
-                            .select(target, "pred", "proba_up"), "grid-preds")
+        return name, h, target, train, test, features
+
+    def report(kind, model, name, h, target, test):
+        preds = cut_lineage(L.predict_direction(model, test).select(target, "pred", "proba_up"), "grid-preds")
         area = stats.auc(preds, target, "proba_up").scalar()
         return stats.classification(preds, target, "pred").select(
             F.lit(name).alias("features"), F.lit(kind).alias("model"), F.lit(h).alias("horizon"), "n", "accuracy",
             "baseline", "precision", "recall", "f1", "beats_majority", area.alias("auc"))
 
-    saved = {n: (cut_lineage(df.select(*KEYS, *fs, *[f"target_dir_{h}d" for h in horizons]), "grid-panel"), fs)
-             for n, (df, fs) in panels.items()}
-    tasks = [lambda n=n, df=df, fs=fs, h=h, k=k: one(n, df, fs, h, k)
-             for n, (df, fs) in saved.items() for h in horizons for k in kinds]
-    return reduce(DataFrame.unionByName, [p for p in in_parallel(tasks) if p is not None])
+    cells = [c for c in in_parallel([lambda n=n, h=h: cell(n, h) for n in saved for h in horizons]) if c is not None]
+    tasks = []
+    for kind in kinds:
+        if kind == "logistic":
+            models = in_parallel([lambda c=c: L.fit_direction(c[3], c[5], c[2], "logistic") for c in cells])
+        else:
+            models = L.fit_boosted(L.direction_plan(rounds), [(c[3], c[5], c[2]) for c in cells])
+        tasks += [lambda k=kind, m=m, c=c: report(k, m, c[0], c[1], c[2], c[4]) for m, c in zip(models, cells)]
+    return reduce(DataFrame.unionByName, in_parallel(tasks))
 
 
 def case_studies(panel: DataFrame, headlines: DataFrame, horizon: int = 5, top: int = 3,
@@ -176,7 +237,7 @@ def case_studies(panel: DataFrame, headlines: DataFrame, horizon: int = 5, top:
     model = L.fit_direction(train, features, target, kind, rounds)
     preds = L.predict_direction(model, rows.filter("is_test"))
     sure = cut_lineage(preds.filter((F.col("pred") == F.col(target)) & (F.col("confidence") >= min_confidence)), "case-sure")
-    a = explain_rows(model, sure, train, features, KEYS)
+    a = explain_rows(model, sure, features, KEYS)
     share = L.sentiment_share(a, KEYS, P.SENTIMENT_FEATURES)
     best = sure.join(share, KEYS).orderBy(F.desc("sentiment_share"), "ticker", "d").limit(top)
     first = news.first_headline(headlines)
@@ -200,7 +261,7 @@ def global_attribution(panel: DataFrame, horizon: int = 21, sample: int = 3000,
     spread = p.agg(F.min("proba_up").alias("proba_min"), F.max("proba_up").alias("proba_max"),
                    F.stddev_samp("proba_up").alias("proba_std"),
                    F.avg(((F.col("proba_up") > 0.45) & (F.col("proba_up") < 0.55)).cast("int")).alias("share_undecided"))
-    a = explain_rows(model, picked, train, features, KEYS)
+    a = explain_rows(model, picked, features, KEYS)
     mean = a.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
     return beside(mean, spread).orderBy(F.desc("mean_abs"))
 
@@ -267,51 +328,78 @@ def volatility_rows(panel: DataFrame, horizon: int, features: list[str] = P.VOLA
 
 def volatility_outlook(panel: DataFrame, horizon: int, features: list[str] = P.VOLATILITY_FEATURES,
                        rounds: int = 300, min_rows: int = 500) -> tuple[DataFrame, DataFrame] | None:
-    """(evaluation, forecasts): the hold-out fit's skill against persistence, and
-    the forecast per ticker of a second fit on all rows, with a band."""
-    target, persist = f"target_logvol_{horizon}d", f"persistence_{horizon}d"
-    rows = cut_lineage(validation.split(volatility_rows(panel, horizon, features)), "vol-rows")
-    train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
-    if train.count() < min_rows or test.count() < min_rows:
-        return None
-    held, live = in_parallel([lambda: L.fit_regression(train, features, target, rounds),
-                              lambda: L.fit_regression(rows, features, target, rounds)])
-    preds = cut_lineage(L.predict_value(held, test), "vol-preds")
-    score = cut_lineage(stats.skill(preds, target, "pred", persist), "vol-score")
-    evaluation = score.withColumns({
-        "horizon": F.lit(horizon), "beats_persistence": F.col("skill") > 0,
-        "n_train": train.agg(F.count(F.lit(1))).scalar(), "test_start": test.agg(F.min("d")).scalar(),
-        "test_end": test.agg(F.max("d")).scalar()})
-    latest = L.predict_value(live, latest_rows(panel, features))
-    error = score.select("mae_model_annpct").scalar()
-    out = latest.withColumns({"current": annual_pct(F.exp("log_vol_20")), "forecast": annual_pct(F.exp("pred"))})
-    lo, hi = forecast_band("forecast", error)
-    forecasts = out.select(
-        "ticker", F.col("d").alias("as_of"), F.lit(horizon).alias("horizon"),
-        F.round("current", 1).alias("current_annpct"), F.round("forecast", 1).alias("forecast_annpct"),
-        F.round(F.when(F.col("current") > 0, ratio("forecast", "current")), 2).alias("ratio_to_current"),
-        F.round(lo, 1).alias("band_low_annpct"), F.round(hi, 1).alias("band_high_annpct"))
-    return evaluation, forecasts
+    """`volatility_outlooks` of one horizon; None where it has too few rows."""
+    return volatility_outlooks(panel, [horizon], features, rounds, min_rows).get(horizon)
+
+
+def volatility_outlooks(panel: DataFrame, horizons: list[int] = P.VOLATILITY_HORIZONS, features: list[str] = P.VOLATILITY_FEATURES,
+                        rounds: int = 300, min_rows: int = 500) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """By horizon (evaluation, forecasts): the hold-out fit's skill against
+    persistence, and the forecast per ticker of a second fit on all rows, with a
+    band. The fits of all horizons are boosted together."""
+    def prepared(h):
+        rows = cut_lineage(validation.split(volatility_rows(panel, h, features)), "vol-rows")
+        n = rows.agg(F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test")).first()
+        return (h, rows) if n.train >= min_rows and n.test >= min_rows else None
+
+    ready = dict(p for p in in_parallel([lambda h=h: prepared(h) for h in horizons]) if p is not None)
+    parts = [(rows, features, f"target_logvol_{h}d") for h, df in ready.items() for rows in (df.filter(~F.col("is_test")), df)]
+    models = L.fit_boosted(L.volatility_plan(rounds), parts)
+    last = latest_rows(panel, features)
+    out = {}
+    for (h, rows), held, live in zip(ready.items(), models[::2], models[1::2]):
+        train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
+        preds = cut_lineage(L.predict_value(held, test), "vol-preds")
+        score = cut_lineage(stats.skill(preds, f"target_logvol_{h}d", "pred", f"persistence_{h}d"), "vol-score")
+        evaluation = score.withColumns({
+            "horizon": F.lit(h), "beats_persistence": F.col("skill") > 0,
+            "n_train": train.agg(F.count(F.lit(1))).scalar(), "test_start": test.agg(F.min("d")).scalar(),
+            "test_end": test.agg(F.max("d")).scalar()})
+        latest = L.predict_value(live, last)
+        error = score.select("mae_model_annpct").scalar()
+        found = latest.withColumns({"current": annual_pct(F.exp("log_vol_20")), "forecast": annual_pct(F.exp("pred"))})
+        lo, hi = forecast_band("forecast", error)
+        out[h] = evaluation, found.select(
+            "ticker", F.col("d").alias("as_of"), F.lit(h).alias("horizon"),
+            F.round("current", 1).alias("current_annpct"), F.round("forecast", 1).alias("forecast_annpct"),
+            F.round(F.when(F.col("current") > 0, ratio("forecast", "current")), 2).alias("ratio_to_current"),
+            F.round(lo, 1).alias("band_low_annpct"), F.round(hi, 1).alias("band_high_annpct"))
+    return out
 
 
 def volatility_walk_forward(panel: DataFrame, horizon: int, features: list[str] = P.VOLATILITY_FEATURES,
                             rounds: int = 300, n_folds: int = 5, min_train: int = 500, min_test: int = 100) -> DataFrame | None:
-    """Skill per fixed fold."""
-    target, persist = f"target_logvol_{horizon}d", f"persistence_{horizon}d"
-    rows = cut_lineage(volatility_rows(panel, horizon, features), "vol-folds")
-    bounds = validation.folds(rows, n_folds, fixed=True).orderBy("fold").collect()
-
-    def one(b):
-        train = rows.filter(F.col("d") <= F.lit(b.train_end))
-        test = rows.filter(F.col("d").between(F.lit(b.test_start), F.lit(b.test_end)))
-        if train.count() < min_train or test.count() < min_test:
-            return None
-        preds = cut_lineage(L.predict_value(L.fit_regression(train, features, target, rounds), test), "vol-fold")
-        return stats.skill(preds, target, "pred", persist).withColumns({
-            "fold": F.lit(b.fold), "test_start": F.lit(b.test_start), "test_end": F.lit(b.test_end)})
-
-    parts = [p for p in in_parallel([lambda b=b: one(b) for b in bounds]) if p is not None]
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    """Skill per fixed fold of one horizon."""
+    found = volatility_walk_forwards(panel, [horizon], features, rounds, n_folds, min_train, min_test)
+    return found and found.drop("horizon")
+
+
+def volatility_walk_forwards(panel: DataFrame, horizons: list[int] = P.VOLATILITY_HORIZONS, features: list[str] = P.VOLATILITY_FEATURES,
+                             rounds: int = 300, n_folds: int = 5, min_train: int = 500, min_test: int = 100) -> DataFrame | None:
+    """Skill per horizon and fixed fold; folds with too few rows are left out.
+    The fits of all folds and horizons are boosted together, and their test rows
+    scored in one pass."""
+    def prepared(h):
+        rows = cut_lineage(volatility_rows(panel, h, features), "vol-folds")
+        bounds = validation.folds(rows, n_folds, fixed=True).orderBy("fold").collect()
+        inside = lambda b: F.col("d").between(F.lit(b.test_start), F.lit(b.test_end))
+        if not bounds:
+            return []
+        n = rows.agg(*[c for b in bounds for c in (F.count_if(F.col("d") <= F.lit(b.train_end)), F.count_if(inside(b)))]).first()
+        y = [F.col(f"target_logvol_{h}d").alias("y"), F.col(f"persistence_{h}d").alias("persistence")]
+        return [(h, b, rows.filter(F.col("d") <= F.lit(b.train_end)), rows.filter(inside(b)).select(*features, *y))
+                for i, b in enumerate(bounds) if n[2 * i] >= min_train and n[2 * i + 1] >= min_test]
+
+    folds = [f for found in in_parallel([lambda h=h: prepared(h) for h in horizons]) for f in found]
+    if not folds:
+        return None
+    models = L.fit_boosted(L.volatility_plan(rounds), [(train, features, f"target_logvol_{h}d") for h, _, train, _ in folds])
+    tests = reduce(DataFrame.unionByName, [test.withColumns({
+        "horizon": F.lit(h), "fold": F.lit(b.fold), "test_start": F.lit(b.test_start), "test_end": F.lit(b.test_end), "model": F.lit(i)})
+        for i, (h, b, _, test) in enumerate(folds)])
+    pred = L.boosting.margins({i: m.ensemble for i, m in enumerate(models)}, "model", L.feature_array(features))
+    preds = cut_lineage(tests.withColumn("pred", pred), "vol-fold")
+    return stats.skill(preds, "y", "pred", "persistence", ["horizon", "fold", "test_start", "test_end"])
 
 
 # The published feature subsets.
@@ -326,12 +414,14 @@ def volatility_ablation(panel: DataFrame, horizon: int = 21, rounds: int = 300)
     rows = cut_lineage(validation.split(volatility_rows(panel, horizon)), "ablation")
     train, test = rows.filter(~F.col("is_test")), rows.filter("is_test")
 
-    def one(name, features):
-        preds = L.predict_value(L.fit_regression(train, features, target, rounds), test)
-        return preds.agg(stats.r_squared(target, "pred").alias("test_r2"),
-                         stats.r_squared(target, persist).alias("persist_r2")).withColumn("features", F.lit(name))
+    models = L.fit_boosted(L.volatility_plan(rounds), [(train, features, target) for features in ABLATIONS.values()])
+
+    def one(name, model):
+        return L.predict_value(model, test).agg(
+            stats.r_squared(target, "pred").alias("test_r2"),
+            stats.r_squared(target, persist).alias("persist_r2")).withColumn("features", F.lit(name))
 
-    return reduce(DataFrame.unionByName, in_parallel([lambda n=n, f=f: one(n, f) for n, f in ABLATIONS.items()]))
+    return reduce(DataFrame.unionByName, [one(n, m) for n, m in zip(ABLATIONS, models)])
 
 
 def hit_rate_hypothesis(panel: DataFrame, horizons: list[int] = P.DIRECTION_HORIZONS,
