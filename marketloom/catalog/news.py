@@ -120,6 +120,88 @@ def finance_lexicon_scores(m: Market):
     return s.select("doc_id", r("sentiment_score").alias("sentiment_score"), "sentiment_label")
 
 
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def spoken_sql(text: str) -> str:
+    return f"""list_filter(list_transform(regexp_split_to_array(replace(coalesce({text}, ''), '’', ''''), '[^\\p{{L}}'']+'),
+        lambda x: trim(x, '''')), lambda x: x <> '')"""
+
+
+def rule_sql(table: str, key: str, text: str, lexicon: str) -> str:
+    """The rules of `sentiment.rule_scores`, step by step over the three words before."""
+    capital = lambda w: f"(mixed AND upper({w}) = {w} AND lower({w}) <> {w})"
+    num = lambda v: f"CAST({v} AS DOUBLE)"
+    step, flip = [], []
+    for k, weight in enumerate(P.DEGREE_BY_DISTANCE, 1):
+        free = f"(t{k} IS NOT NULL AND lower(t{k}) NOT IN (SELECT word FROM {lexicon}))"
+        own = (f"CASE WHEN lower(t{k}) IN ({_listed(P.BOOSTERS)}) THEN {num(P.DEGREE_STEP)} "
+               f"WHEN lower(t{k}) IN ({_listed(P.DAMPENERS)}) THEN {num(-P.DEGREE_STEP)} END")
+        step.append(f"""coalesce(CASE WHEN {free} THEN ({own}
+            + CASE WHEN {capital(f't{k}')} THEN {num(P.CAPITALS_STEP)} ELSE 0 END) * {num(weight)} END, 0) AS s{k}""")
+        flip.append(f"""CASE WHEN {free} AND (lower(t{k}) IN ({_listed(P.NEGATIONS)}) OR lower(t{k}) LIKE '%n''t')
+            THEN {num(P.NEGATION_FACTOR)} ELSE 1 END AS f{k}""")
+    asked = "len(regexp_extract_all(body, '\\?'))"
+    return f"""said AS (SELECT {key}, coalesce({text}, '') AS body, {spoken_sql(text)} AS l FROM {table}),
+        spoken AS (SELECT {key}, l, len(list_filter(l, lambda x: upper(x) = x AND lower(x) <> x)) AS up,
+            coalesce(list_position(list_transform(l, lambda x: lower(x)), 'but'), 0) AS but FROM said),
+        told AS (SELECT {key}, but, up > 0 AND up < len(l) AS mixed, unnest(l) AS t0, unnest(range(1, len(l) + 1)) AS p FROM spoken),
+        ctx AS (SELECT *, lag(t0, 1) OVER w AS t1, lag(t0, 2) OVER w AS t2, lag(t0, 3) OVER w AS t3
+            FROM told WINDOW w AS (PARTITION BY {key} ORDER BY p)),
+        hits AS (SELECT ctx.*, {num('valence')} AS v FROM ctx JOIN {lexicon} x ON x.word = lower(t0)),
+        steps AS (SELECT {key}, p, but, v + sign(v) * CASE WHEN {capital('t0')} THEN {num(P.CAPITALS_STEP)} ELSE 0 END AS v0,
+            {', '.join(step + flip)} FROM hits),
+        v1 AS (SELECT *, (v0 + sign(v0) * s1) * f1 AS v1 FROM steps), v2 AS (SELECT *, (v1 + sign(v1) * s2) * f2 AS v2 FROM v1),
+        v3 AS (SELECT *, (v2 + sign(v2) * s3) * f3 AS v3 FROM v2),
+        sums AS (SELECT {key}, sum(CAST(round(v3 * CASE WHEN but = 0 THEN {num(1.0)} WHEN p < but THEN {num(P.BEFORE_BUT)} ELSE {num(P.AFTER_BUT)} END
+            * {num(1000000.0)}) AS BIGINT)) / {num(1000000.0)} AS s FROM v3 GROUP BY 1),
+        marks AS (SELECT {key}, coalesce(s, 0) AS s, least(len(regexp_extract_all(body, '!')), {P.EXCLAMATIONS}) * {num(P.EXCLAMATION_STEP)}
+            + CASE WHEN {asked} > {P.QUESTIONS} THEN {num(P.MANY_QUESTIONS)} WHEN {asked} > 1 THEN {asked} * {num(P.QUESTION_STEP)} ELSE 0 END AS e
+            FROM said LEFT JOIN sums USING ({key})),
+        whole AS (SELECT {key}, s + sign(s) * e AS s FROM marks), c AS (SELECT {key}, s / sqrt(s * s + 15.0) AS c FROM whole)
+        SELECT {key}, round(c, 6) + 0.0 AS sentiment_score, {LABEL_SQL.format(s='c')} AS sentiment_label FROM c"""
+
+
+@query("rule_scores", rule_sql("documents", "doc_id", "text", "finance_lexicon"))
+def rule_scores(m: Market):
+    s = sentiment.rule_scores(m.table("documents"), sentiment.lexicon(overrides=P.FINANCE_OVERRIDES))
+    return s.select("doc_id", (r("sentiment_score") + 0.0).alias("sentiment_score"), "sentiment_label")
+
+
+@query("rule_scored_headlines", rule_sql("headlines", "event_id", "title", "lexicon"))
+def rule_scored_headlines(m: Market):
+    s = sentiment.rule_scores(m.headlines, sentiment.lexicon(), "event_id", "title")
+    return s.select("event_id", (r("sentiment_score") + 0.0).alias("sentiment_score"), "sentiment_label")
+
+
+view("learned_lexicon", f"""SELECT word, n_good, n_bad, valence FROM (SELECT word, n_good, n_bad, round(greatest(-4.0, least(4.0, odds)), 4) AS valence,
+        round(abs(odds) / sqrt(CAST(1 AS DOUBLE) / (n_good + CAST(1 AS DOUBLE)) + CAST(1 AS DOUBLE) / (n_bad + CAST(1 AS DOUBLE))), 4) AS errors
+    FROM (SELECT *, ln(((n_good + CAST(1 AS DOUBLE)) / (g + CAST(2 AS DOUBLE))) / ((n_bad + CAST(1 AS DOUBLE)) / (b + CAST(2 AS DOUBLE)))) AS odds
+    FROM (SELECT word, count(*) FILTER (toxic = 0) AS n_good, count(*) FILTER (toxic = 1) AS n_bad
+          FROM (SELECT doc_id, toxic, unnest(list_distinct(list_transform({spoken_sql('text')}, lambda x: lower(x)))) AS word FROM news_text
+                WHERE toxic IS NOT NULL) GROUP BY 1),
+         (SELECT count(*) FILTER (toxic = 0) AS g, count(*) FILTER (toxic = 1) AS b FROM news_text)
+    WHERE n_good + n_bad >= 5 AND word NOT IN ({_listed(P.LEXICON)})))
+    WHERE abs(valence) >= 1 AND errors >= 3 ORDER BY errors DESC, word LIMIT 300""")
+view("wide_lexicon", "SELECT word, valence FROM learned_lexicon UNION ALL SELECT word, valence FROM lexicon")
+
+
+def _learned(m: Market):
+    return sentiment.learned_valences(m.news_text.withColumn("good", F.col("toxic") == 0), sentiment.lexicon())
+
+
+@query("learned_valences", "SELECT word, n_good, n_bad, valence FROM learned_lexicon")
+def learned_valences(m: Market):
+    return _learned(m)
+
+
+@query("learned_rule_scores", rule_sql("documents", "doc_id", "text", "wide_lexicon"))
+def learned_rule_scores(m: Market):
+    s = sentiment.rule_scores(m.table("documents"), sentiment.with_learned(sentiment.lexicon(), _learned(m)))
+    return s.select("doc_id", (r("sentiment_score") + 0.0).alias("sentiment_score"), "sentiment_label")
+
+
 @query("score_failure_policy", f"""{lexicon_sql('documents', 'doc_id', 'text', 'lexicon')
     .replace('SELECT doc_id, round(c, 6)', 'SELECT doc_id, round(CASE WHEN doc_id % 7 = 3 THEN 0 ELSE c END, 6)')
     .replace('CASE WHEN c >=', "CASE WHEN doc_id % 7 = 3 THEN 'neu' WHEN c >=")}""")

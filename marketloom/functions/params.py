@@ -137,3 +137,21 @@ LEXICON = {
 # Overrides a finance desk would apply on top: neutral accounting words.
 FINANCE_OVERRIDES = {"debt": -0.4, "risk": -0.3, "Record": 1.6, "bullish": 2.4, "bearish": -2.4}
 LEXICON_NORM = 15.0
+
+# Published constants of rule-based valence scoring.
+DEGREE_STEP = 0.293
+DEGREE_BY_DISTANCE = (1.0, 0.95, 0.9)
+CAPITALS_STEP = 0.733
+NEGATION_FACTOR = -0.74
+BEFORE_BUT, AFTER_BUT = 0.5, 1.5
+EXCLAMATION_STEP, EXCLAMATIONS = 0.292, 4
+QUESTION_STEP, QUESTIONS, MANY_QUESTIONS = 0.18, 3, 0.96
+# Words that strengthen, weaken or negate one of the next three words.
+BOOSTERS = ["absolutely", "completely", "considerably", "deeply", "enormously", "especially", "exceptionally", "extremely", "greatly",
+            "highly", "hugely", "incredibly", "intensely", "more", "most", "particularly", "remarkably", "sharply", "so", "strongly",
+            "substantially", "thoroughly", "totally", "tremendously", "unusually", "utterly", "very", "really"]
+DAMPENERS = ["almost", "barely", "hardly", "kind", "kinda", "less", "little", "marginally", "modestly", "occasionally", "partly",
+             "scarcely", "slightly", "somewhat", "sort"]
+NEGATIONS = ["aint", "arent", "cannot", "cant", "couldnt", "didnt", "doesnt", "dont", "hadnt", "hasnt", "havent", "isnt", "neither",
+             "never", "no", "nobody", "none", "nope", "nor", "not", "nothing", "nowhere", "shouldnt", "wasnt", "werent", "without",
+             "wont", "wouldnt"]

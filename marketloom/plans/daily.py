@@ -16,7 +16,7 @@ from marketloom.plans import maintenance as M
 from marketloom.session import cut_lineage
 from marketloom.sources import prices as S
 from marketloom.sources.store import Store
-from marketloom.streaming.intraday import lexicon_scorer, rebuild_days, store_batch
+from marketloom.streaming.intraday import rebuild_days, rule_scorer, store_batch
 
 STAGES = ("prices", "news", "dq")
 ZONE = "Asia/Bangkok"
@@ -31,7 +31,7 @@ class Inputs:
     primary: DataFrame
     secondary: DataFrame
     items: DataFrame
-    scorer: Callable[[DataFrame], DataFrame] = lexicon_scorer
+    scorer: Callable[[DataFrame], DataFrame] = rule_scorer
     trusted: tuple[str, ...] = tuple(P.TRUSTED_PUBLISHERS)
 
 
@@ -104,7 +104,7 @@ def stage_dq(store: Store, run_d: dt.date) -> DataFrame:
                     Q.freshness(prices, news, senti, tech, run_d))
 
 
-def run_intraday_batch(store: Store, items: DataFrame, run_d: dt.date, scorer=lexicon_scorer, days: int = 2) -> None:
+def run_intraday_batch(store: Store, items: DataFrame, run_d: dt.date, scorer=rule_scorer, days: int = 2) -> None:
     """One poll without a stream: store the items and rebuild from run_d - days."""
     store_batch(store, items, scorer)
     recent = store.read("fact_news").filter(F.col("published_d") >= F.date_sub(F.lit(run_d), days))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketloom.functions.text import label_from_compound, news_hash
-from marketloom.operators.sentiment import daily_index, failure_policy, lexicon, lexicon_scores
+from marketloom.functions.params import FINANCE_OVERRIDES
+from marketloom.operators.sentiment import daily_index, failure_policy, lexicon, lexicon_scores, rule_scores
 from marketloom.session import cut_lineage
 from marketloom.sources.store import Store
 
@@ -67,11 +68,16 @@ def latest_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lexicon_scorer(batch: DataFrame) -> DataFrame:
-    """The default scorer: (news_hash, sentiment_score, sentiment_label)."""
+    """Plain sums of word valences: (news_hash, sentiment_score, sentiment_label)."""
     return lexicon_scores(batch, lexicon(), "news_hash", "title")
 
 
-def store_batch(store: Store, batch: DataFrame, scorer: Callable[[DataFrame], DataFrame] = lexicon_scorer) -> None:
+def rule_scorer(batch: DataFrame) -> DataFrame:
+    """The default scorer: valences of the finance lexicon under the scoring rules."""
+    return rule_scores(batch, lexicon(overrides=FINANCE_OVERRIDES), "news_hash", "title")
+
+
+def store_batch(store: Store, batch: DataFrame, scorer: Callable[[DataFrame], DataFrame] = rule_scorer) -> None:
     """One micro-batch: unseen headlines are scored, appended, and the days they
     touch are aggregated again from all stored rows, so late rows correct their
     day. Replaying a batch changes nothing."""
@@ -97,7 +103,7 @@ def rebuild_days(store: Store, days: DataFrame) -> None:
 
 
 def run_intraday_stream(spark: SparkSession, store: Store, headlines: DataFrame, checkpoint: str,
-                        scorer: Callable[[DataFrame], DataFrame] = lexicon_scorer, now: str | None = None,
+                        scorer: Callable[[DataFrame], DataFrame] = rule_scorer, now: str | None = None,
                         lookback: str = LOOKBACK, available_now: bool = False) -> StreamingQuery:
     """Poll every 30 minutes (or drain what is there) into the stored tables."""
     fresh = fresh_unique(headlines, lookback, now)
