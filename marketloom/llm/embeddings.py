@@ -156,7 +156,9 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     usable = F.coalesce(F.col("id").isNotNull() & whole, F.lit(False))
     rows = rows.withColumn("usable", usable)
-    classes = cut_lineage(rows.where("usable").groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
+    classes = rows.where("usable").groupBy("embedding").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
+    # a class goes by a key of its own, since one id may stand beside several vectors
+    classes = cut_lineage(classes.withColumn("id", F.xxhash64("embedding", "low")), "classes")
     lengths = {r[0]: r[1] for r in classes.groupBy(F.size("embedding")).count().collect()}  # as many rows as there are lengths
     found = None
     for width, n in sorted(lengths.items()):
@@ -168,8 +170,10 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     found = cut_lineage(found, "found")
     labels = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    classes = (classes.join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-               .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "id").alias("component_id")))
+    classes = classes.join(counts, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
+    classes = (classes.join(lowest, "label")
+               .select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"))
     linked = rows.where("usable").join(classes, "embedding").select("id", "n_links", "component_id")
     alone = rows.where("not usable").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(vec_id), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

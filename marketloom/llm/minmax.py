@@ -5,9 +5,9 @@ evaluations a shingle give 128 unbiased signature values. Four values (the two
 ends of two permutations) form a band; of 32 bands, documents with a Jaccard
 similarity of 0.8 share none with probability (1 - 0.8^4)^32 = 5e-8.
 
-The rest is exact. Documents with the same set are one class, and only its
-smallest member goes on. In every bucket each member is compared with the
-smallest member, its hub. Two members of a hub that this leaves in different
+The rest is exact. Documents with the same set are one class, which goes on
+under a key of its own: ids name components at the end only. In every bucket each member is compared with the
+member of the smallest key, its hub. Two members of a hub that this leaves in different
 components can only be alike if they share enough outside the hub: they share
 at most the smaller of their shares with the hub, and what lies outside of it
 in both. Only pairs that pass this bound are compared in full. So any two sets
@@ -56,15 +56,20 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
         yield np.unique(shingle_prints(text.as_py() or b"", width)[0])
 
 
+def _marks(prints: np.ndarray) -> tuple[int, int]:
+    """Two sums over differently mixed members, which tell sets apart."""
+    return int(_mix(prints).sum(dtype=np.uint64).view(np.int64)), int(_mix(prints ^ _SHIFTS[0]).sum(dtype=np.uint64).view(np.int64))
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, ones, twos, bands = [], [], [], []
         with np.errstate(over="ignore"):
             for prints in _sets(batch, width):
                 sizes.append(len(prints))
-                # two sums over differently mixed members tell sets apart
-                ones.append(int(_mix(prints).sum(dtype=np.uint64).view(np.int64)))
-                twos.append(int(_mix(prints ^ _SHIFTS[0]).sum(dtype=np.uint64).view(np.int64)))
+                one, two = _marks(prints)
+                ones.append(one)
+                twos.append(two)
                 bands.append(band_keys(prints) if len(prints) else None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()),
@@ -74,8 +79,11 @@ def _signatures(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         with np.errstate(over="ignore"):
-            sets = [prints.view(np.int64) for prints in _sets(batch, width)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "prints"])
+            sets = list(_sets(batch, width))
+            marks = [_marks(prints) for prints in sets]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([len(prints) for prints in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
+             pa.array([prints.view(np.int64) for prints in sets], pa.list_(pa.int64()))], ["n", "one", "two", "prints"])
 
 
 def among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -120,22 +128,34 @@ def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str
     """(id, n_shingles, component_id, kept) for every row of `docs`.
 
     Null and blank texts have an empty set, link with nothing and are kept. A
-    text of fewer than `width` words is one shingle. Rows with the same set are
-    one class, repeated rows with the same id among them, and all rows of the
-    smallest id are kept. A row without an id takes part through its text and
-    is kept only where no row with an id is in its component. Columns beside
-    the two named are not looked at."""
+    text of fewer than `width` words is one shingle; texts of any length are
+    read whole. Rows with the same set are one class, repeated rows with the
+    same id among them, and all rows of the smallest id are kept. Rows that
+    share an id with other texts take part with their own. A row without an id
+    takes part through its text, and where no row of its component has an id,
+    the component has none and all its rows are kept. An empty table has no
+    rows. Columns beside the two named are not looked at."""
     ident, body = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))
     source = small_batches(docs).select(ident.cast("bigint").alias("id"), body.cast("binary").alias("text"))
     signed = cut_lineage(source.mapInArrow(lambda it: _signatures(it, width), "id long, n long, one long, two long, bands array<long>"), "signed")
-    classes = cut_lineage(signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("id")), "classes")
-    # one row a class: its smallest member's signature
-    heads = signed.join(classes.where("id is not null"), ["one", "two", "n", "id"], "left_semi").select("id", "bands").dropDuplicates(["id"])
-    bands = cut_lineage(heads.select("id", F.explode("bands").alias("key")), "bands")
+    key = F.xxhash64("one", "two", "n").alias("class")
+    classes = cut_lineage(signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("id")).select("*", key), "classes")
+    # one row a class: a signature of its smallest member, or of one without id where no member has one
+    least = classes.select(F.col("class").alias("of"), F.col("id").alias("low"))
+    heads = (signed.where("n > 0").select("id", "bands", key)
+             .join(least, (F.col("class") == F.col("of")) & F.col("id").eqNullSafe(F.col("low")), "left_semi").dropDuplicates(["class"]))
+    bands = cut_lineage(heads.select(F.col("class").alias("id"), F.explode("bands").alias("key")), "bands")
     hubs = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).where("members > 1").select("key", "hub")
     first = cut_lineage(bands.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    ids = cut_lineage(first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct(), "ids")
-    sets = cut_lineage(among(source, ids).mapInArrow(lambda it: _full_sets(it, width), "id long, prints array<long>").dropDuplicates(["id"]), "sets")
+    asked = first.select(F.col("a").alias("class")).union(first.select(F.col("b").alias("class"))).distinct()
+    asked = cut_lineage(asked.join(classes, "class").select("class", "id"), "asked")
+    # texts are read by id; the rows of an id that have another set fall out again
+    ids = asked.where("id is not null").select("id").distinct()
+    texts = among(source, ids)
+    if not asked.where("id is null").isEmpty():
+        texts = texts.unionByName(source.where("id is null"))
+    sets = texts.mapInArrow(lambda it: _full_sets(it, width), "n long, one long, two long, prints array<long>").select(key.alias("id"), "prints")
+    sets = cut_lineage(among(sets, asked.select(F.col("class").alias("id"))).dropDuplicates(["id"]), "sets")
     spokes = _compared(first, sets).select("a", "b", F.size("pa").alias("na"), F.size("pb").alias("nb"), F.size(F.array_intersect("pa", "pb")).alias("shared"),
                                            F.array_except("pa", "pb").alias("outside"))
     spokes = cut_lineage(spokes, "spokes")
@@ -145,11 +165,12 @@ def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    named = (classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
-             .select("one", "two", "n", F.coalesce("label", "id").alias("class_component")))
+    named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    lowest = named.groupBy("label").agg(F.min("id").alias("class_component"))
+    named = named.join(lowest, "label").select("one", "two", "n", "class_component")
+    alone = F.coalesce(F.col("n") == 0, F.lit(True))
     return (signed.select("id", "one", "two", "n").join(named, ["one", "two", "n"], "left")
-            .select("id", F.col("n").alias("n_shingles"),
-                    F.coalesce(F.when(F.col("n") > 0, F.col("class_component")), "id").alias("component_id"))
+            .select("id", F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("class_component")).alias("component_id"))
             .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))
 
 

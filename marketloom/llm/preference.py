@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from marketloom.session import cut_lineage
 
 END = "<|end|>"
 
@@ -70,20 +72,39 @@ def format_lists(sides: DataFrame, key: str) -> DataFrame:
                       render(F.col("r")).alias("rejected"), mask(F.col("c")).alias("chosen_mask"), mask(F.col("r")).alias("rejected_mask"))
 
 
+def neighbours(keys: DataFrame, key: str) -> DataFrame:
+    """(key, next, previous) in the order of the distinct `keys`, null at the
+    ends. Keys are dealt by ranges, and only the first and last of every range,
+    one row each, meet in one window."""
+    placed = cut_lineage(keys.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "order")
+    own, ends = Window.partitionBy("_part").orderBy(key), Window.orderBy("_part")
+    edges = placed.groupBy("_part").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    edges = edges.select("_part", F.lead("_low").over(ends).alias("_next"), F.lag("_high").over(ends).alias("_previous"))
+    inside = placed.withColumns({"next": F.lead(key).over(own), "previous": F.lag(key).over(own)}).join(edges, "_part")
+    return inside.select(key, F.coalesce("next", "_next").alias("next"), F.coalesce("previous", "_previous").alias("previous"))
+
+
 def mismatched_pairs(turns: DataFrame) -> DataFrame:
     """Pairs (conv_id, c, r) from plain conversations (conv_id, turn, role,
     text): the chosen one ends with the last reply of the assistant, and the
     rejected one has the last reply of the next conversation in its place, or
-    of the one before where there is no next. Without a reply or a neighbour
-    with one there is no pair."""
+    of the one before where the next has none. Next and before are those in the
+    order of ids, whatever lies between them. Without a reply or a neighbour
+    with one there is no pair.
+
+    Rows without id have no part; null texts are empty replies; equal turn
+    numbers go by role and text; repeated rows are repeated turns; an empty
+    table has no pairs. Only the four columns are read."""
     lists = turn_lists(turns.select("conv_id", "turn", "role", "text").where("conv_id is not null"), "conv_id")
-    reply = lambda t: t["role"] == "assistant"
+    lists = cut_lineage(lists, "lists")
+    reply = lambda t: t["role"].eqNullSafe("assistant")
     back = F.array_position(F.transform(F.reverse("turns"), reply), F.lit(True)).cast("int")
     ended = lists.withColumn("last", F.size("turns") - back + 1).where(back > 0)
     ended = ended.select("conv_id", F.slice("turns", F.lit(1), F.col("last")).alias("turns"), F.get("turns", F.col("last") - 1)["text"].alias("reply"))
     replies = ended.select(F.col("conv_id").alias("own"), F.col("reply").alias("other"), F.lit(True).alias("there"))
-    near = (ended.join(replies.withColumnsRenamed({"own": "o1", "other": "next", "there": "t1"}), F.col("conv_id") + 1 == F.col("o1"), "left")
-            .join(replies.withColumnsRenamed({"own": "o2", "other": "previous", "there": "t2"}), F.col("conv_id") - 1 == F.col("o2"), "left")
+    near = (ended.join(neighbours(lists.select("conv_id"), "conv_id").withColumnsRenamed({"next": "n", "previous": "p"}), "conv_id")
+            .join(replies.withColumnsRenamed({"own": "o1", "other": "next", "there": "t1"}), F.col("n") == F.col("o1"), "left")
+            .join(replies.withColumnsRenamed({"own": "o2", "other": "previous", "there": "t2"}), F.col("p") == F.col("o2"), "left")
             .where("t1 or t2"))
     other = F.when(F.col("t1"), F.col("next")).otherwise(F.col("previous"))
     last = F.get("turns", F.size("turns") - 1)

@@ -99,8 +99,10 @@ ORACLE: dict[str, str] = {
                         FROM conversations WHERE conv_id IS NOT NULL),
         ends AS (SELECT conv_id, max(p) AS p FROM placed WHERE role = 'assistant' GROUP BY 1),
         reply AS (SELECT conv_id, coalesce(text, '') AS t FROM placed JOIN ends USING (conv_id, p)),
+        ids AS (SELECT conv_id, lead(conv_id) OVER (ORDER BY conv_id) AS nx, lag(conv_id) OVER (ORDER BY conv_id) AS pv
+                FROM (SELECT DISTINCT conv_id FROM placed)),
         pair AS (SELECT r.conv_id, r.t AS own, CASE WHEN n.conv_id IS NOT NULL THEN n.t ELSE b.t END AS other
-                 FROM reply r LEFT JOIN reply n ON n.conv_id = r.conv_id + 1 LEFT JOIN reply b ON b.conv_id = r.conv_id - 1
+                 FROM reply r JOIN ids i ON i.conv_id = r.conv_id LEFT JOIN reply n ON n.conv_id = nx LEFT JOIN reply b ON b.conv_id = pv
                  WHERE n.conv_id IS NOT NULL OR b.conv_id IS NOT NULL),
         same AS (SELECT *, own = other AS alike FROM pair),
         head AS (SELECT s.conv_id, count(*) FILTER (WHERE x.p < e.p OR alike) AS n,

@@ -95,9 +95,15 @@ def shingle_prints(text: bytes, width: int) -> tuple[np.ndarray, int]:
     text without words has none. The fingerprint of a span is a difference of
     prefix sums of byte values times powers of an odd base, so a whole text
     takes a few array operations however long it is."""
+    (prints,), words = shingle_prints_of(text, (width,))
+    return prints, words
+
+
+def shingle_prints_of(text: bytes, widths: tuple[int, ...]) -> tuple[list[np.ndarray], int]:
+    """`shingle_prints` for each of the widths, over one set of prefix sums."""
     line = b" ".join(text.lower().split())
     if not line:
-        return np.empty(0, np.uint64), 0
+        return [np.empty(0, np.uint64) for _ in widths], 0
     codes = np.frombuffer(line, np.uint8)
     gaps = np.flatnonzero(codes == 32)
     words = len(gaps) + 1
@@ -106,6 +112,10 @@ def shingle_prints(text: bytes, width: int) -> tuple[np.ndarray, int]:
     up, down = _POWERS.upto(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(_BYTES[codes] * up[:-1], out=sums[1:])
-    k = min(width, words)
-    starts, ends = starts[: words - k + 1], ends[k - 1:]
-    return _mix((sums[ends] - sums[starts]) * down[starts]), words
+
+    def prints(width: int) -> np.ndarray:
+        k = min(width, words)
+        begin, end = starts[: words - k + 1], ends[k - 1:]
+        return _mix((sums[end] - sums[begin]) * down[begin])
+
+    return [prints(w) for w in widths], words

@@ -67,6 +67,23 @@ def test_near_duplicates_of_odd_tables(spark, docs):
     assert minmax.deduplicated(rows).count() == 4
 
 
+def test_one_id_with_two_texts_keeps_both_sets_of_links(spark):
+    draw = random.Random(12)
+    a, b, c = prose(draw, 120), prose(draw, 120), prose(draw, 120)
+    texts = [(1, a), (1, b), (2, edited(draw, a, 2)), (3, edited(draw, b, 2)), (None, c), (None, edited(draw, c, 1)), (None, prose(draw, 90)), (9, "alone here"), (9, a)]
+    rows = spark.createDataFrame([(i, t, 5, "x") for i, t in texts], "doc_id long, text string, n int, class string").repartition(4)
+    got = sorted((r["id"] or 0, r["component_id"] or 0, r["kept"]) for r in minmax.near_duplicates(rows).collect())
+    # 1 stands in the components of both of its texts; components without an id have none
+    assert got == [(0, 0, True)] * 3 + [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (9, 1, False), (9, 9, True)]
+
+
+def test_components_of_unnumbered_texts_take_the_id_of_a_relative(spark):
+    draw = random.Random(13)
+    a = prose(draw, 120)
+    rows = spark.createDataFrame([(None, a), (None, edited(draw, a, 1)), (4, edited(draw, a, 2))], "doc_id long, text string")
+    assert sorted((r["id"] or 0, r["component_id"], r["kept"]) for r in minmax.near_duplicates(rows).collect()) == [(0, 4, False), (0, 4, False), (4, 4, True)]
+
+
 def test_deduplicated_keeps_columns(docs):
     kept = minmax.deduplicated(docs(["a b c d e", "a b c d e", "z", None]))
     assert kept.columns == ["doc_id", "text", "n", "key", "label"]
@@ -157,6 +174,15 @@ def test_vectors_of_odd_tables(spark):
     assert sorted((r["vec_id"] or 0, r["n_links"]) for r in embeddings.near_vectors(odd).collect()) == [(0, 0), (3, 1), (3, 1)]
 
 
+@pytest.mark.parametrize("block", [4096, 2])
+def test_one_id_with_two_vectors_counts_each_by_itself(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [0.0, 1.0, 0.1]), (4, [0.05, 1.0, 0.0]), (5, [0.0, 0.0, 1.0]), (5, [0.0, 0.0, 1.0])]
+    table = spark.createDataFrame([(i, v, 9, 8) for i, v in rows], "vec_id long, embedding array<double>, low int, id int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(table).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 1, 5, True), (5, 1, 5, True)]
+
+
 def test_rotation_puts_the_long_direction_first(spark):
     draw = np.random.default_rng(1)
     rows = [(i, (draw.normal(size=8) * np.array([1, 1, 9, 1, 1, 1, 1, 1])).tolist()) for i in range(200)]

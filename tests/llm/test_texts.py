@@ -184,6 +184,60 @@ def test_license_passages():
     assert index.find("the license of the software is under review by the public") == [] and index.find("") == []
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Released under the BSD License", ["BSD-line"]),
+    ("Released under the Apache License", ["Apache"]),
+    ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0-line"]),
+    ("Licensed under CC BY 4.0", ["CC-BY-4.0-line"]),
+    ("Licensed under CC BY-NC-ND 4.0", ["CC-BY-NC-ND-4.0-line"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0"]),
+    ("This work is licensed under the GNU General Public License, version 2", ["GPL-2.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1", ["LGPL-2.1"]),
+    ("This work is licensed under the GNU Affero General Public License, version 3", ["AGPL-3.0"]),
+    ("Licensed under the Apache License, Version 1.1", ["Apache-1.1"]),
+    ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", ["CC-BY-NC-4.0-text"]),
+    ("Licensed under the Apache License, Version 2.0. 3 files follow", ["Apache-2.0"]),
+    ("Licensed under the Apache License, Version 2.0.1 here", ["Apache"]),  # the family alone
+    ("Licensed under the Apache License, Version 3.5", ["Apache"]),
+    ("This work is licensed under the GNU General Public License, version 4", ["unknown"]),
+    ("Released under the Frog License", ["unknown"]),
+    ("Released under a new version of the rules", []),
+    ("Licensed under the Apache License, Version 2.0 and Released under the MIT License", ["Apache-2.0", "MIT"]),
+])
+def test_license_names_are_right_or_unknown(text, names):
+    assert [f[0] for f in licenses.Index(licenses.TEMPLATES).find("words before " + text + " words behind")] == names
+
+
+def test_every_template_finds_itself_alone():
+    index = licenses.Index(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        assert [(f[0], f[3]) for f in index.find("a b c " + text + " d e f")] == [(name, 1.0)]
+
+
+def test_inserted_words_count_against_a_passage():
+    index = licenses.Index(licenses.TEMPLATES)
+    whole, wide = index.find("Released under the MIT License")[0], index.find("Released here under the well known MIT License")[0]
+    assert whole[0] == wide[0] == "MIT" and whole[3] == 1.0 and wide[3] == pytest.approx(5 / 8)
+
+
+def test_license_query_keeps_repeated_rows_and_long_texts(spark):
+    long = "word " * 60_000 + "Released under the MIT License " + "word " * 60_000
+    rows = [(1, long, "x", 1), (2, "Licensed under CC BY 4.0", "y", 2), (2, "Licensed under CC BY 4.0", "y", 2), (2, "none", "z", 3)]
+    got = sorted((r["doc_id"], r["licenses"], r["n_findings"]) for r in licenses.license_notices(
+        spark.createDataFrame(rows, "doc_id long, text string, licenses string, n_findings int")).collect())
+    assert got == [(1, "MIT", 1), (2, "", 0), (2, "CC-BY-4.0-line", 1), (2, "CC-BY-4.0-line", 1)]
+
+
+def test_whole_license_texts_can_be_templates(spark):
+    draw = random.Random(11)
+    bodies = {name: " ".join(f"{name}{draw.randrange(400)}" for _ in range(900)) for name in ("one", "two")}
+    words = bodies["two"].split()
+    cut = " ".join(w for i, w in enumerate(words) if i % 9)
+    rows = spark.createDataFrame([(1, "intro " + cut + " outro"), (2, "one1 two2")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_notices(rows, bodies).collect()}
+    assert got[1]["licenses"] == "two" and 0.85 < got[1]["coverage"] < 0.92 and got[2]["n_findings"] == 0
+
+
 def test_edited_short_notices_are_found_like_by_plain_alignment():
     index, draw = licenses.Index(licenses.TEMPLATES), random.Random(8)
     for text in ("Licensed under Apache License 2.0", "Released under MIT License", "Released under an MIT License"):
@@ -282,6 +336,27 @@ def test_mismatched_pairs(spark):
     assert got == {1: (show("user", "q1"), show("assistant", "a1"), show("assistant", "a2")), 2: (show("user", "q2"), show("assistant", "a2"), show("assistant", "a1"))}
 
 
+def test_neighbours_go_by_the_order_of_ids(spark):
+    draw = random.Random(3)
+    ids = sorted({draw.randrange(-10 ** 12, 10 ** 12) for _ in range(500)})
+    got = {r["k"]: (r["next"], r["previous"]) for r in preference.neighbours(spark.createDataFrame([(i,) for i in ids], "k long").repartition(7), "k").collect()}
+    assert got == {k: (ids[i + 1] if i + 1 < len(ids) else None, ids[i - 1] if i else None) for i, k in enumerate(ids)}
+
+
+def test_mismatched_pairs_of_odd_tables(spark):
+    show = lambda role, text: f"<|{role}|>\n{text}<|end|>\n"
+    rows = [(i, t, r, x, 1, 2, 3) for i in (10, 20, 30) for t, r, x in ((0, "user", f"q{i}"), (1, "assistant", f"a{i}"))]
+    rows += [(None, 0, "assistant", "lost", 1, 2, 3), (40, None, None, None, 1, 2, 3), (40, 1, "assistant", None, 1, 2, 3)]
+    rows += [(50, 0, "user", "again", 1, 2, 3), (50, 0, "user", "again", 1, 2, 3), (50, 1, "assistant", "x" * 100_000, 1, 2, 3)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, next int, own int, turns int")
+    got = {r["conv_id"]: r for r in preference.format_lists(preference.mismatched_pairs(table), "conv_id").collect()}
+    assert sorted(got) == [10, 20, 30, 40, 50]
+    assert got[10]["rejected"] == show("assistant", "a20") and got[20]["rejected"] == show("assistant", "a30")
+    assert got[30]["rejected"] == show("assistant", "") and got[40]["rejected"] == show("assistant", "x" * 100_000)
+    assert got[50]["prompt"] == show("user", "again") * 2 and got[50]["rejected"] == show("assistant", "")
+    assert preference.mismatched_pairs(table.limit(0)).count() == 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     # the smaller table holds out 14 toxic rows, 5 of them in languages with 2 or fewer toxic rows to learn from
     large = SF.replace("0.01", "0.1")
