@@ -6,7 +6,7 @@ ends of two permutations) form a band; of 32 bands, documents with a Jaccard
 similarity of 0.8 share none with probability (1 - 0.8^4)^32 = 5e-8.
 
 The rest is exact. Documents with the same set are one class, which goes on
-under a key of its own: ids name components at the end only. In every bucket each member is compared with the
+under a key of its own, also where one id stands beside several texts. In every bucket each member is compared with the
 member of the smallest key, its hub. Two members of a hub that this leaves in different
 components can only be alike if they share enough outside the hub: they share
 at most the smaller of their shares with the hub, and what lies outside of it
@@ -123,6 +123,15 @@ def _left_open(spokes: DataFrame, labels: DataFrame, share: int) -> DataFrame:
         .select(F.col("x.a").alias("a"), F.col("y.a").alias("b")).distinct())
 
 
+def _keyed(classes: DataFrame) -> DataFrame:
+    """`classes` with a key: their id where it is theirs alone, so that the hub
+    of a bucket is its earliest document, and else a hash of the set."""
+    shared = classes.where("id is not null").groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("id").alias("shared"))
+    met = classes.join(shared, F.col("id") == F.col("shared"), "left")
+    own = F.when(F.col("shared").isNull() & F.col("id").isNotNull(), F.col("id")).otherwise(F.xxhash64("one", "two", "n"))
+    return met.select("one", "two", "n", "id", own.alias("class"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str | Column = "text",
                     width: int = 4, share: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of `docs`.
@@ -138,24 +147,25 @@ def near_duplicates(docs: DataFrame, doc_id: str | Column = "doc_id", text: str
     ident, body = (F.col(c) if isinstance(c, str) else c for c in (doc_id, text))
     source = small_batches(docs).select(ident.cast("bigint").alias("id"), body.cast("binary").alias("text"))
     signed = cut_lineage(source.mapInArrow(lambda it: _signatures(it, width), "id long, n long, one long, two long, bands array<long>"), "signed")
-    key = F.xxhash64("one", "two", "n").alias("class")
-    classes = cut_lineage(signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("id")).select("*", key), "classes")
+    classes = cut_lineage(_keyed(signed.where("n > 0").groupBy("one", "two", "n").agg(F.min("id").alias("id"))), "classes")
     # one row a class: a signature of its smallest member, or of one without id where no member has one
-    least = classes.select(F.col("class").alias("of"), F.col("id").alias("low"))
-    heads = (signed.where("n > 0").select("id", "bands", key)
-             .join(least, (F.col("class") == F.col("of")) & F.col("id").eqNullSafe(F.col("low")), "left_semi").dropDuplicates(["class"]))
+    least = classes.select(F.col("one").alias("c1"), F.col("two").alias("c2"), F.col("n").alias("c3"), F.col("id").alias("low"), "class")
+    mine = (F.col("one") == F.col("c1")) & (F.col("two") == F.col("c2")) & (F.col("n") == F.col("c3"))
+    heads = signed.where("n > 0").join(least, mine & F.col("id").eqNullSafe(F.col("low"))).select("class", "bands").dropDuplicates(["class"])
     bands = cut_lineage(heads.select(F.col("class").alias("id"), F.explode("bands").alias("key")), "bands")
     hubs = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("hub")).where("members > 1").select("key", "hub")
     first = cut_lineage(bands.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     asked = first.select(F.col("a").alias("class")).union(first.select(F.col("b").alias("class"))).distinct()
-    asked = cut_lineage(asked.join(classes, "class").select("class", "id"), "asked")
+    asked = cut_lineage(asked.join(classes, "class").select("class", "id", "one", "two", "n"), "asked")
     # texts are read by id; the rows of an id that have another set fall out again
     ids = asked.where("id is not null").select("id").distinct()
     texts = among(source, ids)
     if not asked.where("id is null").isEmpty():
         texts = texts.unionByName(source.where("id is null"))
-    sets = texts.mapInArrow(lambda it: _full_sets(it, width), "n long, one long, two long, prints array<long>").select(key.alias("id"), "prints")
-    sets = cut_lineage(among(sets, asked.select(F.col("class").alias("id"))).dropDuplicates(["id"]), "sets")
+    sets = texts.mapInArrow(lambda it: _full_sets(it, width), "n long, one long, two long, prints array<long>")
+    known = asked.select("one", "two", "n", F.col("class").alias("id"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
+    sets = cut_lineage(sets.join(known, ["one", "two", "n"]).select("id", "prints").dropDuplicates(["id"]), "sets")
     spokes = _compared(first, sets).select("a", "b", F.size("pa").alias("na"), F.size("pb").alias("nb"), F.size(F.array_intersect("pa", "pb")).alias("shared"),
                                            F.array_except("pa", "pb").alias("outside"))
     spokes = cut_lineage(spokes, "spokes")
