@@ -11,6 +11,8 @@ from marketloom.catalog.base import query
 from marketloom.catalog.panels import fund_panel
 from marketloom.functions import params as P
 from marketloom.functions import text as T
+from marketloom.functions.numeric import r
+from marketloom.functions.tails import r_p_sql
 from marketloom.operators import learning as L
 from marketloom.plans import panels, research as R
 from marketloom.sources.tables import Market
@@ -109,19 +111,25 @@ def global_attribution(m: Market):
 def fundamentals_ols(m: Market):
     panel = fund_panel(m)
     reports = {h: R.ols_report(panel, h) for h in P.FUNDAMENTAL_HORIZONS}
-    return each([r.withColumn("horizon", F.lit(h)) for h, r in reports.items() if r is not None])
+    return each([out.withColumn("horizon", F.lit(h)) for h, out in reports.items() if out is not None])
 
 
 @query("fundamentals_ols_folds", dates="test_start test_end")
 def fundamentals_ols_folds(m: Market):
     panel = fund_panel(m)
     reports = {h: R.ols_walk_forward(panel, h) for h in P.FUNDAMENTAL_HORIZONS}
-    return each([r.withColumn("horizon", F.lit(h)) for h, r in reports.items() if r is not None])
+    return each([out.withColumn("horizon", F.lit(h)) for h, out in reports.items() if out is not None])
 
 
-@query("fundamentals_factors")
+def _stars(p: str) -> str:
+    return f"CASE WHEN {p} < 0.01 THEN '***' WHEN {p} < 0.05 THEN '**' WHEN {p} < 0.10 THEN '*' ELSE 'ns' END"
+
+
+@query("fundamentals_factors", f"""p AS (SELECT *, {r_p_sql('spearman', 'n')} AS p_s, {r_p_sql('pearson', 'n')} AS p_p FROM factor_tests)
+    SELECT feature, horizon, n, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in ('pearson', 'spearman'))}, round(p_s, 6) + 0.0 AS p_spearman,
+      round(p_p, 6) + 0.0 AS p_pearson, {_stars('p_s')} AS sig_spearman, {_stars('p_p')} AS sig_pearson FROM p""")
 def fundamentals_factors(m: Market):
-    return R.factor_table(fund_panel(m))
+    return R.factor_table(fund_panel(m)).withColumns({c: r(c) for c in ("pearson", "spearman", "p_spearman", "p_pearson")})
 
 
 def outlooks(m: Market, part: int):

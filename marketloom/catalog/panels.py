@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marketloom.catalog.base import query, view
 from marketloom.catalog.filings import fundamentals
 from marketloom.catalog.prices import ahead, back, full_sql, rounded, sql_round
+from marketloom.functions.tails import r_p_sql
 from marketloom.functions import params as P
 from marketloom.functions.numeric import r
 from marketloom.operators import asof, ranking, returns, stats, validation
@@ -161,6 +162,9 @@ def _rank_sql() -> str:
       FROM k GROUP BY 1, 2 HAVING count(*) >= 15"""
 
 
+view("factor_tests", f"""WITH {_rank_sql().replace('round(corr(x, y), 6) + 0.0', 'corr(x, y)').replace('round(corr(rx, ry), 6) + 0.0', 'corr(rx, ry)')}""")
+
+
 def rank_table(m: Market):
     return stats.rank_correlations(stats.long_pairs(fund_panel(m), FEATS, P.FUNDAMENTAL_HORIZONS))
 
@@ -170,10 +174,14 @@ def rank_correlations(m: Market):
     return rank_table(m).withColumns({"pearson": r("pearson"), "spearman": r("spearman")})
 
 
-@query("hypothesis_fundamentals")
+@query("hypothesis_fundamentals", f"""p AS (SELECT feature, horizon, n, pearson AS r, {r_p_sql('pearson', 'n')} AS p_raw FROM factor_tests),
+    k AS (SELECT *, p_raw * count(p_raw) OVER () / row_number() OVER (ORDER BY p_raw) AS s FROM p),
+    q AS (SELECT *, least(min(s) OVER (ORDER BY p_raw ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q FROM k WHERE p_raw IS NOT NULL)
+    SELECT feature, horizon, n, round(r, 6) + 0.0 AS r, round(p_raw, 6) + 0.0 AS p_raw, round(q, 6) + 0.0 AS p_fdr_adjusted,
+      q < 0.05 AS significant_after_correction FROM q""")
 def hypothesis_fundamentals(m: Market):
     from marketloom.plans import research
-    return research.fundamentals_hypothesis(fund_panel(m))
+    return research.fundamentals_hypothesis(fund_panel(m)).withColumns({c: r(c) for c in ("r", "p_raw", "p_fdr_adjusted")})
 
 
 view("split_dates", "SELECT d, row_number() OVER (ORDER BY d) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT d FROM price_daily)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marketloom.catalog.base import query, view
 from marketloom.functions import numeric as X
 from marketloom.functions.numeric import r
+from marketloom.functions.tails import r_p, r_p_sql, t_p_sql
 from marketloom.operators import ranking, returns, stats, technicals
 from marketloom.sources.tables import Market
 
@@ -32,7 +33,7 @@ view("ticker_corrs", f"""WITH a AS (SELECT ticker,
       CASE WHEN n_lag2 >= 5 THEN round(raw_lag2, 4) + 0.0 END AS corr_lag2 FROM a),
     c AS (SELECT *, atanh(least(greatest(corr_lag1, -0.999999), 0.999999)) AS z,
       1.959963984540054 / sqrt(CASE WHEN n_lag1 >= 4 THEN n_lag1 - 3 END) AS half FROM b)
-    SELECT ticker, ticker AS display_name, n_t, corr_t, n_lag1, corr_lag1, n_lag2, corr_lag2, hit_n,
+    SELECT ticker, ticker AS display_name, raw_t, raw_lag1, raw_lag2, n_t, corr_t, n_lag1, corr_lag1, n_lag2, corr_lag2, hit_n,
       round(tanh(z - half), 4) + 0.0 AS ci_lo, round(tanh(z + half), 4) + 0.0 AS ci_hi,
       CASE WHEN n_lag1 < 30 THEN 'low' ELSE 'ok' END AS n_flag,
       CASE WHEN hit_n >= 5 THEN round(hits / hit_n * 100, 1) + 0.0 END AS hit_rate,
@@ -48,12 +49,28 @@ def corrs(m: Market):
     return stats.ticker_correlations(lagged(m))
 
 
-@query("ticker_correlations", "SELECT * FROM ticker_corrs")
+@query("ticker_correlations", "SELECT * EXCLUDE (raw_t, raw_lag1, raw_lag2) FROM ticker_corrs")
 def ticker_correlations(m: Market):
     return corrs(m).drop("raw_t", "raw_lag1", "raw_lag2")
 
 
-@query("ticker_correlation_tests")
+def _raw(k: str) -> str:
+    """The correlation, where there are pairs enough for one."""
+    return f"(CASE WHEN n_{k} >= {stats.MIN_PAIRS} THEN raw_{k} END)"
+
+
+def _stars(p: str) -> str:
+    return f"CASE WHEN {p} IS NULL THEN 'ns' WHEN {p} < 0.01 THEN '***' WHEN {p} < 0.05 THEN '**' WHEN {p} < 0.10 THEN '*' ELSE 'ns' END"
+
+
+view("ticker_tests", f"""WITH p AS (SELECT *, {', '.join(f'round({r_p_sql(_raw(k), f"n_{k}")}, 4) + 0.0 AS p_{k}' for k in ('t', 'lag1', 'lag2'))} FROM ticker_corrs),
+    k AS (SELECT *, p_lag1 * count(p_lag1) OVER () / row_number() OVER (ORDER BY p_lag1 NULLS LAST) AS s FROM p),
+    q AS (SELECT *, CASE WHEN p_lag1 IS NOT NULL THEN round(least(min(s) OVER (ORDER BY p_lag1 NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 4) END AS q_lag1 FROM k)
+    SELECT * EXCLUDE (s), {_stars('p_t')} AS sig_t, {_stars('p_lag1')} AS sig_lag1, {_stars('p_lag2')} AS sig_lag2,
+      CASE WHEN q_lag1 IS NOT NULL THEN {_stars('q_lag1')} END AS sig_lag1_fdr FROM q""")
+
+
+@query("ticker_correlation_tests", "SELECT * EXCLUDE (raw_t, raw_lag1, raw_lag2) FROM ticker_tests")
 def ticker_correlation_tests(m: Market):
     return stats.with_p_values(corrs(m)).drop("raw_t", "raw_lag1", "raw_lag2")
 
@@ -89,26 +106,27 @@ def conditional_returns(m: Market):
     return stats.conditional_returns(lagged(m))
 
 
-@query("fdr_qvalues", """p AS (SELECT ticker, exp(-0.5 * n_lag1 * corr_lag1 * corr_lag1) AS p FROM ticker_corrs),
-    k AS (SELECT ticker, p, p * count(p) OVER () / row_number() OVER (ORDER BY p) AS s FROM p)
-    SELECT ticker, round(p, 6) AS p, round(least(min(s) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 6) AS q FROM k""")
+@query("fdr_qvalues", "SELECT ticker, p_lag1 AS p, q_lag1 AS q FROM ticker_tests")
 def fdr_qvalues(m: Market):
-    p = corrs(m).select("ticker", F.exp(-0.5 * F.col("n_lag1") * F.col("corr_lag1") * F.col("corr_lag1")).alias("p"))
-    return stats.benjamini_hochberg(p, "p", "q").withColumns({"p": F.round("p", 6), "q": F.round("q", 6)})
+    p = corrs(m).select("ticker", F.round(r_p("raw_lag1", F.col("n_lag1")), 4).alias("p"))
+    return stats.benjamini_hochberg(p, "p", "q").withColumn("q", F.round("q", 4))
 
 
-@query("pooled_slope", """p AS (SELECT ticker, return_1d AS y, sentiment_lag1 AS x FROM lagged
+POOLED = """p AS (SELECT ticker, return_1d AS y, sentiment_lag1 AS x FROM lagged
       WHERE return_1d IS NOT NULL AND sentiment_lag1 IS NOT NULL),
     d AS (SELECT ticker, y - avg(y) OVER (PARTITION BY ticker) AS y, x - avg(x) OVER (PARTITION BY ticker) AS x FROM p),
     b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx, count(*) AS n FROM d),
     g AS (SELECT ticker, sum(x * (y - b * x)) AS s FROM d, b GROUP BY 1),
     e AS (SELECT sqrt(sum(s * s)) AS root, count(*) AS n_tickers FROM g)
-    SELECT n, n_tickers, round(b, 6) + 0.0 AS slope, round(root / xx, 6) AS se, round(b / (root / xx), 3) + 0.0 AS t FROM b, e""")
+    SELECT n, n_tickers, round(b, 6) + 0.0 AS slope, round(root / xx, 6) AS se, round(b / (root / xx), 3) + 0.0 AS t"""
+
+
+@query("pooled_slope", POOLED + " FROM b, e")
 def pooled_slope(m: Market):
     return stats.pooled_slope(lagged(m)).drop("raw_t")
 
 
-@query("pooled_slope_test")
+@query("pooled_slope_test", f"{POOLED}, round({t_p_sql('(b / (root / xx))', 'greatest(n_tickers - 1, 1)')}, 4) + 0.0 AS p FROM b, e")
 def pooled_slope_test(m: Market):
     return stats.pooled_slope_p(stats.pooled_slope(lagged(m)))
 
@@ -206,11 +224,9 @@ def forecast_band(m: Market):
     return v.select("ticker", "d", *[F.round(c, 6).alias(k) for k, c in cols.items()])
 
 
-@query("significance_stars", """p AS (SELECT ticker, exp(-0.5 * n_lag1 * corr_lag1 * corr_lag1) AS p FROM ticker_corrs)
-    SELECT ticker, CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.10 THEN '*' ELSE 'ns' END AS stars FROM p""")
+@query("significance_stars", "SELECT ticker, sig_lag1 AS stars FROM ticker_tests")
 def significance_stars(m: Market):
-    p = F.exp(-0.5 * F.col("n_lag1") * F.col("corr_lag1") * F.col("corr_lag1"))
-    return corrs(m).select("ticker", X.stars(p).alias("stars"))
+    return corrs(m).select("ticker", X.stars(F.round(r_p("raw_lag1", F.col("n_lag1")), 4)).alias("stars"))
 
 
 @query("sentiment_share", """c AS (SELECT ticker, d, abs(coalesce(sentiment_index, 0) * 0.5) + abs(coalesce(sentiment_lag1, 0) * 0.2) AS s, abs(coalesce(return_1d, 0) * 0.1) AS t FROM lagged)

@@ -1,13 +1,13 @@
-"""Tail probabilities on aggregated rows. Spark SQL has no distribution
-functions, so these are Arrow UDFs over a few result rows, never raw data."""
+"""Tail probabilities as column expressions. Spark SQL has no distribution
+functions, so these are integrals by a fold of fixed length, for the few rows
+of a result. The plain forms on top serve single values and tests."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql import Column, functions as F
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -63,40 +63,94 @@ def binomial_two_sided(k: int, n: int) -> float:
     return min(1.0, 2.0 * sum(math.exp(v) for v in logs))
 
 
-def _apply(fn, *cols: pd.Series) -> pd.Series:
-    rows = zip(*cols)
-    return pd.Series([None if any(pd.isna(v) for v in row) else fn(*row) for row in rows],
-                     dtype="float64")
+#: Intervals of the fixed-length integrals below, an even number.
+INTERVALS = 1_000
+#: Standard deviations beyond which a tail counts as nothing.
+_FAR = 12.0
 
 
-@F.pandas_udf(DoubleType())
-def t_p(t: pd.Series, dof: pd.Series) -> pd.Series:
-    """Two-sided p of a t statistic."""
-    return _apply(t_two_sided, t, dof)
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf(DoubleType())
-def z_p(z: pd.Series) -> pd.Series:
+def _integral(f: Callable[[Column], Column], low: Column, high: Column) -> Column:
+    """Simpson's rule as a fold over a fixed number of points."""
+    width = (high - low) / INTERVALS
+
+    def step(total: Column, i: Column) -> Column:
+        share = F.when((i == 0) | (i == INTERVALS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return total + share * f(low + width * i)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(INTERVALS)), F.lit(0.0), step) * width / 3.0
+
+
+def t_p(t: str | Column, dof: str | Column) -> Column:
+    """Two-sided p of a t statistic: with t = sqrt(dof) tan(a), the share of
+    cos(a) ^ (dof - 1) beyond the angle of t."""
+    t, dof = _column(t), _column(dof).cast("double")
+    height = lambda a: F.pow(F.cos(a), dof - 1.0)
+    end = F.least(F.lit(math.pi / 2), F.lit(_FAR) / F.sqrt(dof))
+    at = F.least(F.atan(F.abs(t) / F.sqrt(dof)), end)
+    return F.least(F.lit(1.0), _integral(height, at, end) / _integral(height, F.lit(0.0), end))
+
+
+def z_p(z: str | Column) -> Column:
     """Two-sided p of a z statistic."""
-    return _apply(normal_two_sided, z)
+    a = F.abs(_column(z))
+    return F.least(F.lit(1.0), _integral(lambda u: F.exp(-u * u / 2.0), a, a + _FAR) * math.sqrt(2 / math.pi))
 
 
-@F.pandas_udf(DoubleType())
-def r_p(r: pd.Series, n: pd.Series) -> pd.Series:
+def r_p(r: str | Column, n: str | Column) -> Column:
     """Two-sided p of a Pearson or Spearman r over n pairs."""
-    def one(rho: float, pairs: float) -> float:
-        if pairs < 3 or abs(rho) >= 1.0:
-            return 0.0 if abs(rho) >= 1.0 else 1.0
-        return t_two_sided(rho * math.sqrt((pairs - 2) / (1 - rho * rho)), pairs - 2)
-    return _apply(one, r, n)
+    r, n = _column(r), _column(n).cast("double")
+    t = r * F.sqrt((n - 2.0) / (1.0 - r * r))
+    return F.when(r.isNull() | n.isNull(), None).when(F.abs(r) >= 1.0, 0.0).when(n < 3, 1.0).otherwise(t_p(t, n - 2.0))
+
+
+def binomial_p(k: str | Column, n: str | Column) -> Column:
+    """Exact two-sided test of k successes in n < 25 fair trials."""
+    k, n = _column(k).cast("int"), _column(n).cast("int")
+    k = F.least(k, n - k)
+    start = F.struct(F.lit(1.0).alias("ways"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, i: Column) -> Column:
+        return F.struct((s["ways"] * (n - i) / (i + 1)).alias("ways"), (s["sum"] + F.when(i <= k, s["ways"]).otherwise(0.0)).alias("sum"))
+
+    ways = F.aggregate(F.sequence(F.lit(0), F.lit(24)), start, step, lambda s: s["sum"])
+    return F.least(F.lit(1.0), 2.0 * ways / F.pow(F.lit(2.0), n))
 
 
-@F.pandas_udf(DoubleType())
-def mcnemar_p(a_only: pd.Series, b_only: pd.Series) -> pd.Series:
+def mcnemar_p(a_only: str | Column, b_only: str | Column) -> Column:
     """Exact below 25 discordant pairs, otherwise chi-square with correction."""
-    def one(a: float, b: float) -> float:
-        n = int(a + b)
-        if n < 25:
-            return binomial_two_sided(int(min(a, b)), n)
-        return chi2_1_upper((abs(a - b) - 1) ** 2 / n)
-    return _apply(one, a_only, b_only)
+    a, b = _column(a_only).cast("double"), _column(b_only).cast("double")
+    n, gap = a + b, F.abs(a - b) - 1.0
+    return F.when(n < 25, binomial_p(F.least(a, b), n)).otherwise(z_p(F.sqrt(gap * gap / n)))
+
+
+# The same folds as SQL text.
+
+
+def _integral_sql(height: str, low: str, high: str) -> str:
+    """`height` is an expression over {u}."""
+    point = f"({low} + ({high} - {low}) * i / {INTERVALS}.0)"
+    share = f"CASE WHEN i = 0 OR i = {INTERVALS} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    return (f"(list_sum(list_transform(range({INTERVALS + 1}), lambda i: CAST({share} AS DOUBLE) * {height.replace('{u}', point)}))"
+            f" * ({high} - {low}) / {INTERVALS * 3}.0)")
+
+
+def t_p_sql(t: str, dof: str) -> str:
+    dof = f"CAST({dof} AS DOUBLE)"
+    end = f"least(pi() / 2, {_FAR} / sqrt({dof}))"
+    height = f"pow(cos({{u}}), {dof} - 1.0)"
+    low = f"least(atan(abs({t}) / sqrt({dof})), {end})"
+    return f"least(1.0, {_integral_sql(height, low, end)} / {_integral_sql(height, '0.0', end)})"
+
+
+def z_p_sql(z: str) -> str:
+    return f"least(1.0, {_integral_sql('exp(-{u} * {u} / 2.0)', f'abs({z})', f'(abs({z}) + {_FAR})')} * sqrt(2.0 / pi()))"
+
+
+def r_p_sql(r: str, n: str) -> str:
+    t = f"({r} * sqrt(({n} - 2.0) / (1.0 - {r} * {r})))"
+    return (f"CASE WHEN {r} IS NULL OR {n} IS NULL THEN NULL WHEN abs({r}) >= 1.0 THEN 0.0 WHEN {n} < 3 THEN 1.0 "
+            f"ELSE {t_p_sql(t, f'({n} - 2.0)')} END")

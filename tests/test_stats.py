@@ -83,6 +83,22 @@ def test_other_tails(spark):
     assert df[0].p == pytest.approx(0.004900, abs=1e-5) and df[1].p is None
 
 
+def test_tails_as_columns_equal_the_plain_forms(spark):
+    rows = [(t, d) for t in (0.0, 0.3, 1.5, -2.2, 4.0, 9.0, 40.0) for d in (1.0, 2.0, 5.0, 30.0, 400.0, 1e5)]
+    got = spark.createDataFrame(rows, "t double, d double").select("t", "d", tails.t_p("t", "d").alias("p"), tails.z_p("t").alias("z")).collect()
+    for r in got:
+        assert r.p == pytest.approx(tails.t_two_sided(r.t, r.d), abs=1e-8)
+        assert r.z == pytest.approx(tails.normal_two_sided(r.t), abs=1e-10)
+    counts = [(a, b) for a in range(0, 24, 3) for b in range(0, 24, 5)] + [(40, 12), (25, 0)]
+    got = spark.createDataFrame(counts, "a int, b int").select("a", "b", tails.mcnemar_p("a", "b").alias("p")).collect()
+    for r in got:
+        n = r.a + r.b
+        want = tails.binomial_two_sided(min(r.a, r.b), n) if n < 25 else tails.chi2_1_upper((abs(r.a - r.b) - 1) ** 2 / n)
+        assert r.p == pytest.approx(want, abs=1e-9)
+    odd = spark.createDataFrame([(1.0, 10.0), (-1.0, 5.0), (0.2, 2.0), (0.3, None)], "r double, n double").select(tails.r_p("r", "n").alias("p")).collect()
+    assert [r.p for r in odd] == [0.0, 0.0, 1.0, None]
+
+
 def test_benjamini_hochberg(spark):
     p = [0.01, 0.04, 0.03, 0.005, None, 0.04]
     got = {i: r.q for i, r in enumerate(stats.benjamini_hochberg(spark.createDataFrame([(i, v) for i, v in enumerate(p)], "i int, p double"), "p", "q").orderBy("i").collect())}
