@@ -8,7 +8,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marketloom.catalog.base import query, view
+from marketloom.operators import ledger as L
 from marketloom.operators import quality as Q
+from marketloom.session import cut_lineage
 from marketloom.sources.tables import Market
 
 ACCEPTED = [("non_positive_close_price", "Brand#3", "1998-04-20", "real settlement"),
@@ -38,29 +40,48 @@ view("scorecard", """SELECT 'news_duplicates' AS "check", count(*) - count(DISTI
     UNION ALL SELECT 'price_null_return_with_close', count(*) FROM lost_return""")
 
 
-def dirty_prices(m: Market):
+def dirty_prices(m: Market, prices=None):
     month, day = F.month("d"), F.dayofmonth("d")
-    planted = m.prices.withColumns({
+    planted = (m.prices if prices is None else prices).withColumns({
         "close": F.when((month == 4) & (day == 20), -F.col("close"))
         .when((month == 2) & (day == 13), None).otherwise(F.col("close")),
         "return_1d": F.when(day == 15, None).otherwise(F.col("return_1d"))})
     copies = F.when((month == 6) & (day == 28), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    return planted.withColumn("copy", F.explode(copies)).drop("copy")
+    return planted.withColumn("copy", F.explode(copies))
 
 
 def dirty_news(m: Market):
     return m.headlines.select(
         F.sha2(F.concat("ticker", F.col("published_d").cast("string"), "title", "url"), 256).alias("news_hash"),
-        (F.col("sentiment_score") * 1.25).alias("sentiment_score"),
-        F.when(F.col("source_name") == "src5", "synthetic").otherwise("rss").alias("source_type"))
+        (F.col("sentiment_score") * 1.25).alias("sentiment_score"), "asset_id", "published_d",
+        F.col("source_name").alias("ref"))
 
 
 def accepted(m: Market):
     return Q.accepted_table(m.spark, ACCEPTED)
 
 
-def card(m: Market):
-    return Q.scorecard(dirty_prices(m), dirty_news(m), m.sentiment_daily, accepted(m))
+def kept_ledger(entries, name: str):
+    """A ledger as it is stored: reports read it, not the rows behind it."""
+    return cut_lineage(entries, name)
+
+
+def price_ledger(m: Market, prices=None):
+    return kept_ledger(L.ledger(dirty_prices(m, prices), marks=L.price_marks()), "ledger-dirty-prices")
+
+
+def headline_ledger(m: Market):
+    return kept_ledger(L.ledger(dirty_news(m), "published_d", "ref", L.news_marks(), "news_hash"), "ledger-headlines")
+
+
+def index_ledger(m: Market):
+    return kept_ledger(L.ledger(m.sentiment_daily), "ledger-index")
+
+
+def card(m: Market, prices=None, index=None):
+    synthetic = m.headlines.filter("source_name = 'src5'").select(F.col("source_name").alias("ref"))
+    return L.scorecard(price_ledger(m, prices), headline_ledger(m), index_ledger(m) if index is None else index,
+                       accepted(m), m.assets, synthetic)
 
 
 @query("dq_scorecard", """SELECT "check", value, CASE WHEN value = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM scorecard""")
@@ -153,7 +174,14 @@ def freshness(m: Market):
     UNION ALL SELECT 'no_news', ticker, CAST(zero_news_days AS VARCHAR) FROM coverage_report WHERE thin
     UNION ALL SELECT 'stale_price', 'price', CAST(latest_price AS VARCHAR) FROM freshness_row WHERE stale""")
 def dq_alerts(m: Market):
-    return Q.alerts(card(m), gap_report(m), coverage_report(m), freshness_row(m))
+    prices = cut_lineage(m.prices, "prices")
+    days = kept_ledger(L.ledger(prices), "ledger-prices")
+    lagging = kept_ledger(L.ledger(prices.filter(F.dayofmonth("d") % 7 != F.col("asset_id") % 7)), "ledger-technicals")
+    news, index = kept_ledger(L.ledger(m.mentions, "published_d"), "ledger-news"), index_ledger(m)
+    newest = L.rows_of(days).agg(F.max("last_d")).scalar()
+    return Q.alerts(card(m, prices, index), L.technical_gaps(days, lagging, m.assets, newest),
+                    L.coverage(days, news, m.assets, newest),
+                    L.freshness(days, news, index, lagging, dt.date(2002, 1, 1)))
 
 
 view("holed", "SELECT * FROM price_daily WHERE day(d) NOT IN (17, 18)")
@@ -179,7 +207,27 @@ def calendar_gaps(m: Market):
       CASE WHEN gd > stale THEN 'missing price days from ' || CAST(gap AS VARCHAR)
            ELSE st.ticker || ' latest ' || CAST(st.latest AS VARCHAR) END AS reason FROM n""")
 def price_lookback(m: Market):
-    return Q.lookback(holed(m), dt.date(2001, 11, 10), 25)
+    days = m.bar_days.filter(~F.dayofmonth("d").isin(17, 18))
+    return L.lookback(kept_ledger(L.ledger(days), "ledger-holed"), m.assets, dt.date(2001, 11, 10), 25)
+
+
+@query("month_ledger", """SELECT CAST(asset_id AS BIGINT) AS asset_id, strftime(d, '%Y-%m') AS ym, count(*) AS n,
+      bit_or(1::BIGINT << day(d)) AS days, min(d) AS first_d, max(d) AS last_d,
+      coalesce(bit_or(1::BIGINT << day(d)) FILTER (WHERE month(d) = 6 AND day(d) = 28), 0) AS twice,
+      count(*) FILTER (WHERE close IS NULL) AS null_close, count(*) FILTER (WHERE close <= 0) AS non_positive,
+      count(*) FILTER (WHERE close IS NOT NULL AND return_1d IS NULL) AS lost_return
+    FROM dirty_prices GROUP BY ALL""", "first_d last_d")
+def month_ledger(m: Market):
+    # three batches, each merged into the ledger of those before it; copies of a day come in different batches
+    rows = dirty_prices(m, cut_lineage(m.prices, "prices"))
+    batch = (F.dayofmonth("d") + F.col("copy")) % 3
+    parts = [L.ledger(rows.filter(batch == k), marks=L.price_marks()) for k in range(3)]
+    whole = L.merge(L.merge(parts[0], parts[1]), parts[2])
+    count = lambda what: F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0)).alias(what)
+    entry = lambda c: F.max(F.when(F.col("what") == "rows", F.col(c))).alias(c)
+    return whole.groupBy("asset_id", "ym").agg(
+        *[entry(c) for c in ("n", "days", "first_d", "last_d", "twice")],
+        *[count(w) for w in ("null_close", "non_positive", "lost_return")])
 
 
 @query("coverage_profile", """n AS (SELECT ticker, count(*) AS n_news FROM mentions GROUP BY 1)

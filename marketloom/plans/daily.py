@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from marketloom.functions import params as P
 from marketloom.functions.text import news_hash, trusted
 from marketloom.operators import news as N
+from marketloom.operators import ledger as L
 from marketloom.operators import quality as Q
 from marketloom.plans import maintenance as M
 from marketloom.session import cut_lineage
@@ -55,8 +56,9 @@ def run_daily(spark: SparkSession, store: Store, inputs: Inputs, now: dt.datetim
 def stage_prices(store: Store, inputs: Inputs, run_d: dt.date) -> DataFrame:
     """Fetch as far back as the stored gaps ask for, upsert, repair returns
     against the full history and rebuild the indicators."""
-    stored = store.read("fact_price_daily")
-    decision = Q.lookback(stored.join(inputs.tickers, "ticker", "left_semi"), run_d, inputs.tickers.count()).first()
+    followed = store.read("dim_asset").select("asset_id", "ticker").join(inputs.tickers, "ticker", "left_semi")
+    entries = store.ledger("fact_price_daily").join(followed, "asset_id", "left_semi")
+    decision = L.lookback(entries, followed, run_d, inputs.tickers.count()).first()
     start = run_d - dt.timedelta(days=decision.lookback)
     recent = lambda df: df.filter(F.col("d").between(F.lit(start), F.lit(run_d))).join(inputs.tickers, "ticker", "left_semi")
     bars = cut_lineage(S.with_fallback(recent(inputs.primary), recent(inputs.secondary)), "bars")
@@ -88,20 +90,26 @@ def stage_news(store: Store, inputs: Inputs, now: dt.datetime, run_d: dt.date, h
 
 
 def dq_report(store: Store, run_d: dt.date) -> DataFrame:
-    """The scorecard of the stored tables."""
-    news = store.read("fact_news").join(store.read("dim_source").select("source_id", "source_type"), "source_id", "left")
-    return Q.scorecard(store.read("fact_price_daily"), news, store.read("fact_sentiment_daily"),
-                       Q.accepted_table(store.spark))
+    """The scorecard of the stored tables, read from their ledgers."""
+    return L.scorecard(store.ledger("fact_price_daily"), store.ledger("fact_news"), store.ledger("fact_sentiment_daily"),
+                       Q.accepted_table(store.spark), store.read("dim_asset"), sources_of(store, "synthetic"))
+
+
+def sources_of(store: Store, source_type: str) -> DataFrame:
+    """References of the sources of one type, as ledgers hold them."""
+    sources = store.read("dim_source").filter(F.col("source_type") == source_type)
+    return sources.select(F.col("source_id").cast("string").alias("ref"))
 
 
 def stage_dq(store: Store, run_d: dt.date) -> DataFrame:
-    """Alert rows of what the tables hold now, whatever ran before."""
-    prices, news = store.read("fact_price_daily"), store.read("fact_news")
-    senti, tech = store.read("fact_sentiment_daily"), store.read("fact_technical_daily")
-    rss = news.join(store.read("dim_source").filter("source_type = 'rss'").select("source_id"), "source_id", "left_semi")
-    today = F.lit(run_d)
-    return Q.alerts(dq_report(store, run_d), Q.technical_gaps(prices, tech, today), Q.coverage(prices, rss, today),
-                    Q.freshness(prices, news, senti, tech, run_d))
+    """Alert rows of what the tables hold now, whatever ran before. Ledgers are
+    read, no rows."""
+    prices, news, senti, tech = [store.ledger(name) for name in (
+        "fact_price_daily", "fact_news", "fact_sentiment_daily", "fact_technical_daily")]
+    rss = news.join(sources_of(store, "rss"), "ref", "left_semi")
+    today, assets = F.lit(run_d), store.read("dim_asset")
+    return Q.alerts(dq_report(store, run_d), L.technical_gaps(prices, tech, assets, today),
+                    L.coverage(prices, rss, assets, today), L.freshness(prices, news, senti, tech, run_d))
 
 
 def run_intraday_batch(store: Store, items: DataFrame, run_d: dt.date, scorer=rule_scorer, days: int = 2) -> None:

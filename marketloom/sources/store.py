@@ -5,6 +5,11 @@ applies them to month-partitioned folders: it reads only the partitions a batch
 touches, writes the merged rows to the shared scratch folder first, and then
 overwrites just those partitions. A path is never overwritten by a plan that
 still reads it.
+
+Tables in `LEDGERS` carry a month ledger that the batch which changes a month
+brings up to date. The months are marked stale before the table is written and
+entered anew after it, so a job that fails in between leaves marks, and the next
+reader counts the marked months again from their rows.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from marketloom.operators import ranking
+from marketloom.operators import ledger as L, ranking
 from marketloom.session import cut_lineage
 
 
@@ -156,7 +161,14 @@ TABLES = {
     "fact_watchlist_signal_log": Table("asset_id bigint, ticker string, signal string, confidence double, "
                                        "checked_at timestamp", ("asset_id", "checked_at")),
 }
-MONTH = "ym"
+MONTH = L.MONTH
+LEDGERS = {
+    "fact_price_daily": lambda rows: L.ledger(rows, marks=L.price_marks()),
+    "fact_news": lambda rows: L.ledger(rows, "published_d", "source_id", L.news_marks(), "news_hash"),
+    "fact_sentiment_daily": L.ledger,
+    "fact_technical_daily": L.ledger,
+}
+STALE = "stale"
 
 
 class Store:
@@ -205,8 +217,51 @@ class Store:
         if TABLES[name].day:
             # range partitions split a month that holds most rows over many tasks
             writer = staged.repartitionByRange(MONTH, *TABLES[name].keys)
+        if name in LEDGERS:
+            self._enter(name, self._blank(staged, STALE), mode)
         w = writer.write.mode("overwrite").option("partitionOverwriteMode", mode)
         (w.partitionBy(MONTH) if TABLES[name].day else w).parquet(self.path(name))
+        if name in LEDGERS:
+            self._enter(name, LEDGERS[name](staged))
+
+    def _ledger_path(self, name: str) -> str:
+        return self.path(f"ledger_{name}")
+
+    def _entries(self, name: str) -> DataFrame:
+        schema = StructType.fromDDL(L.SCHEMA)
+        return (self.spark.read.schema(schema).parquet(self._ledger_path(name)) if self.exists(f"ledger_{name}")
+                else self.spark.createDataFrame([], schema))
+
+    def _enter(self, name: str, entries: DataFrame, mode: str = "dynamic") -> None:
+        """Replace the entries of the months in `entries`, or all of them."""
+        entries.repartition(MONTH).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy(
+            MONTH).parquet(self._ledger_path(name))
+
+    @staticmethod
+    def _blank(rows: DataFrame, what: str) -> DataFrame:
+        """One entry without counts for each month of `rows`."""
+        return L.conform(rows.select(MONTH).distinct().withColumn("what", F.lit(what)))
+
+    def ledger(self, name: str) -> DataFrame:
+        """The month ledger of a stored table. Months that a failed write left
+        marked, or that were stored before there was a ledger, are counted from
+        their rows first; no other row is read."""
+        if not self.exists(name):
+            return self._entries(name).limit(0)
+        stored = self.spark.read.schema(self.schema(name)).parquet(self.path(name))
+        known = self._entries(name).groupBy(MONTH).agg(F.bool_or(F.col("what") == STALE).alias("stale"))
+        todo = (stored.select(MONTH).distinct().join(known, MONTH, "full_outer")
+                .filter(F.coalesce("stale", F.lit(True))).select(MONTH))
+        months = [row[0] for row in todo.collect()]
+        if months:
+            self._recount(name, stored, months)
+        return self._entries(name).filter(~F.col("what").isin("empty", STALE))
+
+    def _recount(self, name: str, stored: DataFrame, months: list[str]) -> None:
+        """Enter months from their rows; a month without rows is entered empty."""
+        gone = self._blank(self.spark.createDataFrame([(m,) for m in months], f"{MONTH} string"), "empty")
+        counted = LEDGERS[name](stored.filter(F.col(MONTH).isin(months)))
+        self._enter(name, cut_lineage(gone.unionByName(counted), f"{name}-ledger"))
 
     def _touched(self, name: str, batch: DataFrame) -> DataFrame | None:
         """Stored rows of the months in `batch`, None if there are none: a list
@@ -245,10 +300,22 @@ class Store:
         fresh = batch if stored is None else cut_lineage(insert_ignore(batch=batch, target=stored, keys=list(table.keys)), f"{name}-new")
         attempted, inserted = batch.count(), fresh.count()
         if inserted:
+            entries = self._appended(name, fresh) if name in LEDGERS else None
             w = (fresh.repartitionByRange(MONTH, *table.keys) if table.day else fresh).write.mode("append")
             (w.partitionBy(MONTH) if table.day else w).parquet(self.path(name))
+            if entries is not None:
+                self._enter(name, entries)
         return attempted, inserted
 
+    def _appended(self, name: str, fresh: DataFrame) -> DataFrame:
+        """Mark the months of new rows; returns their ledger entries with the new
+        rows added, without reading the rows that are stored."""
+        months = fresh.select(MONTH).distinct()
+        before = self.ledger(name).join(months, MONTH, "left_semi")
+        entries = cut_lineage(L.merge(L.conform(before), LEDGERS[name](fresh)), f"{name}-ledger")
+        self._enter(name, self._blank(fresh, STALE))
+        return entries
+
     def delete(self, name: str, keys: DataFrame) -> None:
         """Drop the rows whose key is in `keys`, rewriting only months that hold one."""
         table, on = TABLES[name], keys.columns
@@ -258,8 +325,12 @@ class Store:
         months = [r[0] for r in current.join(keys, on, "left_semi").select(MONTH).distinct().collect()]
         rest = cut_lineage(current.filter(F.col(MONTH).isin(months)).join(keys, on, "left_anti"), name)
         left = {r[0] for r in rest.select(MONTH).distinct().collect()}
+        gone = sorted(set(months) - left)
+        if name in LEDGERS and gone:
+            emptied = self.spark.createDataFrame([(m,) for m in gone], f"{MONTH} string")
+            self._enter(name, self._blank(emptied, STALE))
         self._save(name, rest, "dynamic")
-        for month in sorted(set(months) - left):
+        for month in gone:
             self._drop_partition(name, month)
 
     def _drop_partition(self, name: str, month: str) -> None:

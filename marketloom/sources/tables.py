@@ -75,6 +75,14 @@ class Market:
             F.col("l_quantity").alias("qty"))
         return daily_bars(trades, self._part_brand, "l_partkey")
 
+    @cached_property
+    def bar_days(self) -> DataFrame:
+        """(asset_id, d) of every bar: trades are reduced to the days of a key
+        before they meet the asset table, and no amount is read."""
+        days = self.table("lineitem").select("l_partkey", F.to_date("l_shipdate").alias("d")).distinct()
+        return (days.join(self._part_brand, "l_partkey")
+                .select(brand_number(F.col("ticker")).cast("bigint").alias("asset_id"), "d").distinct())
+
     @cached_property
     def today(self) -> dt.date | None:
         """The newest day of the trades, in place of the clock: a parameter that
