@@ -54,7 +54,8 @@ def dirty_news(m: Market):
     return m.headlines.select(
         F.sha2(F.concat("ticker", F.col("published_d").cast("string"), "title", "url"), 256).alias("news_hash"),
         (F.col("sentiment_score") * 1.25).alias("sentiment_score"), "asset_id", "published_d",
-        F.col("source_name").alias("ref"))
+        F.col("source_name").alias("ref"),
+        F.when(F.col("source_name") == "src5", "synthetic").otherwise("rss").alias("source_type"))
 
 
 def accepted(m: Market):
@@ -71,22 +72,21 @@ def price_ledger(m: Market, prices=None):
 
 
 def headline_ledger(m: Market):
-    return kept_ledger(L.ledger(dirty_news(m), "published_d", "ref", L.news_marks(), "news_hash"), "ledger-headlines")
+    return L.ledger(dirty_news(m), "published_d", "ref", L.news_marks(), "news_hash")
 
 
 def index_ledger(m: Market):
-    return kept_ledger(L.ledger(m.sentiment_daily), "ledger-index")
+    return L.ledger(m.sentiment_daily)
 
 
-def card(m: Market, prices=None, index=None):
+def ledger_card(m: Market, prices, index):
     synthetic = m.headlines.filter("source_name = 'src5'").select(F.col("source_name").alias("ref"))
-    return L.scorecard(price_ledger(m, prices), headline_ledger(m), index_ledger(m) if index is None else index,
-                       accepted(m), m.assets, synthetic)
+    return L.scorecard(price_ledger(m, prices), headline_ledger(m), index, accepted(m), m.assets, synthetic)
 
 
 @query("dq_scorecard", """SELECT "check", value, CASE WHEN value = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM scorecard""")
 def dq_scorecard(m: Market):
-    return card(m)
+    return Q.scorecard(dirty_prices(m), dirty_news(m), m.sentiment_daily, accepted(m))
 
 
 @query("non_positive_closes", "SELECT ticker, d, close FROM bad_close", "d")
@@ -177,9 +177,9 @@ def dq_alerts(m: Market):
     prices = cut_lineage(m.prices, "prices")
     days = kept_ledger(L.ledger(prices), "ledger-prices")
     lagging = kept_ledger(L.ledger(prices.filter(F.dayofmonth("d") % 7 != F.col("asset_id") % 7)), "ledger-technicals")
-    news, index = kept_ledger(L.ledger(m.mentions, "published_d"), "ledger-news"), index_ledger(m)
+    news, index = kept_ledger(L.ledger(m.mentions, "published_d"), "ledger-news"), kept_ledger(index_ledger(m), "ledger-index")
     newest = L.rows_of(days).agg(F.max("last_d")).scalar()
-    return Q.alerts(card(m, prices, index), L.technical_gaps(days, lagging, m.assets, newest),
+    return Q.alerts(ledger_card(m, prices, index), L.technical_gaps(days, lagging, m.assets, newest),
                     L.coverage(days, news, m.assets, newest),
                     L.freshness(days, news, index, lagging, dt.date(2002, 1, 1)))
 

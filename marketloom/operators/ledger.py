@@ -48,30 +48,45 @@ def ledger(rows: DataFrame, day: str = "d", ref: str | None = None, marks: dict[
     """The ledger of `rows`. `unique` names a key: rows beyond the first of a key
     count as `repeat`; the key is expected to lie on one day of one asset. All
     counting is combined before rows are shuffled."""
-    marks = marks or {}
+    marks = dict(marks or {})
+    day_key = ["asset_id", "ref", "d"]
     flagged = rows.select(F.col("asset_id").cast("bigint").alias("asset_id"),
                           (F.col(ref) if ref else F.lit(None)).cast("string").alias("ref"),
                           F.col(day).alias("d"), *([F.col(unique).alias("_key")] if unique else []),
                           *[F.coalesce(c, F.lit(False)).cast("bigint").alias(name) for name, c in marks.items()],
                           F.lit(1).cast("bigint").alias("n"))
-    sums = [F.sum(c).alias(c) for c in ("n", *marks)]
+    sums = lambda: [F.sum(c).alias(c) for c in ("n", *marks)]
     if unique:
-        flagged = flagged.groupBy("asset_id", "ref", "d", "_key").agg(*sums)
-    per_day = flagged.groupBy("asset_id", "ref", "d").agg(*sums).withColumn(MONTH, month_of("d"))
+        flagged = _with_repeats(flagged.groupBy(*day_key, "_key").agg(*sums()), ["n", *marks])
+        marks["repeat"] = F.col("repeat")
+    per_day = flagged.groupBy(*day_key).agg(*sums()).withColumn(MONTH, month_of("d"))
     bit = day_bit("d")
-    base = per_day.groupBy("asset_id", "ref", MONTH).agg(
+    long, date = (lambda c: c.cast("bigint")), (lambda c: c.cast("date"))
+    # what is found in a month: at most one entry a check and day
+    found = [F.collect_list(F.when(F.col(name) > 0, F.struct(F.lit(name).alias("what"), "d", F.col(name).alias("n"))))
+             for name in marks]
+    months = per_day.groupBy("asset_id", "ref", MONTH).agg(
         F.sum("n").alias("n"), F.bit_or(bit).alias("days"),
-        F.bit_or(F.when(F.col("n") > 1, bit).otherwise(F.lit(0).cast("bigint"))).alias("twice"),
-        F.min("d").alias("first_d"), F.max("d").alias("last_d"))
-    parts = [base.withColumns({"what": F.lit("rows"), "d": F.lit(None).cast("date")})]
-    if marks:
-        found = F.array(*[F.struct(F.lit(name).alias("what"), F.col(name).alias("n")) for name in marks])
-        parts.append(per_day.select("asset_id", "ref", "d", MONTH, F.inline(found)).filter("n > 0"))
-    if unique:
-        spare = flagged.groupBy("asset_id", "d", "_key").agg((F.sum("n") - 1).alias("n")).filter("n > 0")
-        parts.append(spare.groupBy("asset_id", "d").agg(F.sum("n").alias("n"))
-                     .withColumns({"what": F.lit("repeat"), MONTH: month_of("d")}))
-    return conform(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+        F.bit_or(F.when(F.col("n") > 1, bit).otherwise(long(F.lit(0)))).alias("twice"),
+        F.min("d").alias("first_d"), F.max("d").alias("last_d"),
+        *([F.concat(*found).alias("found")] if found else []))
+    none = F.lit(None)
+    entry = F.array(F.struct(F.lit("rows").alias("what"), date(none).alias("d"), "n", "days", "twice", "first_d", "last_d"))
+    if found:
+        entry = F.concat(entry, F.transform("found", lambda x: F.struct(
+            x.what.alias("what"), x.d.alias("d"), x.n.alias("n"), long(none).alias("days"),
+            long(none).alias("twice"), date(none).alias("first_d"), date(none).alias("last_d"))))
+    return conform(months.select("asset_id", "ref", MONTH, F.inline(entry)))
+
+
+def _with_repeats(counted: DataFrame, cols: list[str]) -> DataFrame:
+    """Counts per (asset, reference, day, key) with the rows beyond the first of
+    the key; a key's references are sources, far fewer than its copies."""
+    per_key = counted.groupBy("asset_id", "d", "_key").agg(
+        F.sort_array(F.collect_list(F.struct("ref", *cols))).alias("refs"))
+    first = lambda x, i: F.struct(x.ref.alias("ref"), *[x[c].alias(c) for c in cols],
+                                  (x.n - F.when(i == 0, 1).otherwise(0)).alias("repeat"))
+    return per_key.select("asset_id", "d", F.inline(F.transform("refs", first)))
 
 
 def conform(entries: DataFrame) -> DataFrame:

@@ -77,11 +77,11 @@ class Market:
 
     @cached_property
     def bar_days(self) -> DataFrame:
-        """(asset_id, d) of every bar: trades are reduced to the days of a key
-        before they meet the asset table, and no amount is read."""
-        days = self.table("lineitem").select("l_partkey", F.to_date("l_shipdate").alias("d")).distinct()
-        return (days.join(self._part_brand, "l_partkey")
-                .select(brand_number(F.col("ticker")).cast("bigint").alias("asset_id"), "d").distinct())
+        """(asset_id, d) of every bar, without reading an amount; a day's trades
+        combine before they are shuffled."""
+        days = self.table("lineitem").select("l_partkey", F.to_date("l_shipdate").alias("d"))
+        return (days.join(self._part_brand, "l_partkey").select("ticker", "d").distinct()
+                .select(brand_number(F.col("ticker")).alias("asset_id"), "d"))
 
     @cached_property
     def today(self) -> dt.date | None:
