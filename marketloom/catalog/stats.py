@@ -8,7 +8,8 @@ from marketloom.catalog.base import query, view
 from marketloom.functions import numeric as X
 from marketloom.functions.numeric import r
 from marketloom.functions.tails import r_p, r_p_sql, t_p_sql
-from marketloom.operators import ranking, returns, stats, technicals
+from marketloom.operators import pairs, ranking, returns, stats, technicals
+from marketloom.session import cut_lineage
 from marketloom.sources.tables import Market
 
 
@@ -210,6 +211,28 @@ def effective_sample(m: Market):
     return e.withColumns({"mean_r": r("mean_r"), "n_eff": F.round("n_eff", 3), "design_effect": F.round("design_effect", 6)})
 
 
+PAIRS_SQL = """pairs AS (SELECT a.asset_id AS asset_a, b.asset_id AS asset_b, count(*) AS n,
+      covar_pop(a.return_1d, b.return_1d) / nullif(stddev_pop(a.return_1d) * stddev_pop(b.return_1d), 0) AS r
+      FROM prices a JOIN prices b ON a.d = b.d AND a.asset_id < b.asset_id
+      WHERE a.return_1d IS NOT NULL AND b.return_1d IS NOT NULL GROUP BY 1, 2)"""
+
+
+@query("pair_correlations", f"{PAIRS_SQL} SELECT asset_a, asset_b, n, round(r, 6) + 0.0 AS r FROM pairs")
+def pair_correlations(m: Market):
+    return pairs.pair_correlations(m.prices, "return_1d").withColumn("r", r("r"))
+
+
+@query("pair_effective_sample", PAIRS_SQL + """, k AS (SELECT * FROM pairs WHERE n >= 20 AND r IS NOT NULL),
+    c AS (SELECT (SELECT avg(r) FROM k) AS mean_r, (SELECT count(*) FROM k) AS n_pairs, (SELECT count(return_1d) FROM prices) AS n,
+      (SELECT count(*) FROM (SELECT asset_a FROM k UNION SELECT asset_b FROM k)) AS n_assets)
+    SELECT round(mean_r, 6) + 0.0 AS mean_r, n_pairs, n_assets, n, round(1 + (n_assets - 1) * mean_r, 6) AS design_effect,
+      round(n / (1 + (n_assets - 1) * mean_r), 3) AS n_eff FROM c""")
+def pair_effective_sample(m: Market):
+    prices = cut_lineage(m.prices.select("asset_id", "d", "return_1d"), "returns")
+    e = pairs.pair_design_effect(pairs.pair_correlations(prices, "return_1d"), prices.agg(F.count("return_1d")).scalar(), 20)
+    return e.withColumns({"mean_r": r("mean_r"), "n_eff": F.round("n_eff", 3), "design_effect": F.round("design_effect", 6)})
+
+
 @query("forecast_band", """v AS (SELECT ticker, d, stddev_samp(return_1d) OVER w20 AS v20, stddev_samp(return_1d) OVER w60 AS v60, count(return_1d) OVER w60 AS n FROM prices
       WINDOW w20 AS (PARTITION BY asset_id ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), w60 AS (PARTITION BY asset_id ORDER BY d ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
     a AS (SELECT ticker, d, v20 * (sqrt(252) * 100) AS current, v60 * (sqrt(252) * 100) AS forecast FROM v WHERE n = 60)
