@@ -1,10 +1,12 @@
 """Streaming queries. The given rows arrive in a folder in a few rounds, in time
-order; after each round the stream drains what came. The SQL form is the batch
-result over all rows."""
+order; after each round the stream drains what came. `stream_admission` and
+`stream_ordered_changes` start one stream over rows in any order. The SQL form is
+the batch result over all rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,11 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 from marketloom.catalog.base import query
 from marketloom.catalog.maintenance import daily_signal
 from marketloom.functions.numeric import r
-from marketloom.session import scratch_path
+from marketloom.session import cut_lineage, scratch_path
 from marketloom.sources.store import Store
 from marketloom.sources.tables import Market
 from marketloom.streaming import intraday as I
 from marketloom.streaming import state
+from marketloom.streaming.admission import HELD, KEPT, LATE, UNDATED, Admission, run_admitted_stream
 
 
 def arrive(rows: DataFrame, round_: Column, start: Callable[[DataFrame], StreamingQuery]) -> None:
@@ -82,3 +85,41 @@ def stream_signal_changes(m: Market):
     checks = daily_signal(m).select("asset_id", "ticker", F.col("d").cast("timestamp").alias("checked_at"), "signal", F.lit(0.5).alias("confidence"))
     out = drained(checks, F.floor((F.year("checked_at") - 1995) / 2).cast("int"), state.signal_changes)
     return out.select("ticker", F.to_date("checked_at").alias("d"), "signal", "previous_signal", "changed")
+
+
+def filed(rows: DataFrame, files: int) -> str:
+    """The rows as files, dealt without any order."""
+    path = scratch_path(rows.sparkSession, "filed")
+    rows.repartition(files).write.parquet(path)
+    return path
+
+
+@query("stream_admission", """a AS (SELECT ticker, published_at, published_at + to_minutes(event_id * 37 % 400 - 10) AS arrived_at FROM headlines),
+    v AS (SELECT ticker, CASE WHEN published_at < arrived_at - INTERVAL 3 HOUR THEN 'late'
+      WHEN published_at > (SELECT max(arrived_at) FROM a) + INTERVAL 5 MINUTE THEN 'held' ELSE 'kept' END AS verdict FROM a)
+    SELECT ticker, verdict, count(*) AS n FROM v GROUP BY 1, 2""")
+def stream_admission(m: Market):
+    """Headlines that came up to ten minutes before and six hours after their own
+    stamps, under the default lookback of 3 hours."""
+    minutes = F.make_interval(mins=F.col("event_id") * 37 % 400 - 10)
+    rows = m.headlines.select("event_id", "ticker", "published_at", (F.col("published_at") + minutes).alias("arrived_at"))
+    side = Admission(m.spark, scratch_path(m.spark, "admission"), rows.schema)
+    stream = I.headline_stream(m.spark, filed(rows, 8), rows.schema, files_per_batch=4)
+    run_admitted_stream(stream, side, scratch_path(m.spark, "admission-state"), available_now=True).awaitTermination()
+    parts = [side.rows(v).groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).withColumn("verdict", F.lit(v)) for v in (KEPT, LATE, UNDATED, HELD)]
+    return reduce(DataFrame.unionByName, parts).select("ticker", "verdict", "n")
+
+
+@query("stream_ordered_changes", """SELECT ticker, d, signal, previous_signal, previous_signal IS NOT NULL AS changed FROM (SELECT *, lag(signal) OVER (PARTITION BY asset_id ORDER BY d) AS previous_signal FROM daily_signal)
+    WHERE previous_signal IS NULL OR previous_signal <> signal""", "d")
+def stream_ordered_changes(m: Market):
+    """All checks in no order; a row of no asset a year on moves the clock past the last of them."""
+    checks = daily_signal(m).select("asset_id", "ticker", F.col("d").cast("timestamp").alias("checked_at"), "signal", F.lit(0.5).alias("confidence"))
+    checks = cut_lineage(checks, "checks")
+    clock = checks.agg((F.max("checked_at") + F.expr("interval 1 year")).alias("checked_at"))
+    rows = checks.unionByName(clock, allowMissingColumns=True)
+    out, checkpoint = scratch_path(m.spark, "ordered"), scratch_path(m.spark, "ordered-state")
+    with state.typed_state(m.spark):
+        running = I.to_files(state.ordered_signal_changes(I.headline_stream(m.spark, filed(rows, 8), rows.schema)), out, checkpoint)
+    running.awaitTermination()
+    return m.spark.read.schema(state.CHANGES).parquet(out).select("ticker", F.to_date("checked_at").alias("d"), "signal", "previous_signal", "changed")
