@@ -177,3 +177,16 @@ def text_model_scores(m: Market):
     blank = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
     return p.select("doc_id", F.when(blank, 0.0).otherwise(F.round(F.col("p_pos") - F.col("p_neg"), 6)).alias("sentiment_score"),
                     F.when(blank, "neu").otherwise(T.label_from_probabilities("p_pos", "p_neg", "p_neu")).alias("sentiment_label"))
+
+
+@query("text_model_held_out")
+def text_model_held_out(m: Market):
+    """As `text_model_scores`, each text scored by a model that has not seen it,
+    with the held-out log loss beside that of the class shares."""
+    label = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 0).otherwise(2)
+    docs = m.news_text.withColumn("label", F.when(F.col("quality").isNotNull(), label))
+    names = ["p_pos", "p_neg", "p_neu"]
+    p = L.cross_fitted_texts(docs, names)
+    loss = L.class_log_loss([F.col(c) for c in names], F.col("label"))
+    return p.select("doc_id", "fold", "temperature", *[F.round(c, 6).alias(c) for c in names], F.round(loss, 6).alias("log_loss"),
+                    T.label_from_probabilities("p_pos", "p_neg", "p_neu").alias("sentiment_label"))

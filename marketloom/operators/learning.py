@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from marketloom.operators import boosting
 from marketloom.operators.rows import beside
+from marketloom.session import cut_lineage
 
 DIRECTION = boosting.Loss(log=True)
 SQUARED = boosting.Loss(log=False)
@@ -154,6 +155,61 @@ def text_probabilities(model: Model, texts: DataFrame, classes: list[str]) -> Da
     return out.drop("words", "tf", "features", "rawPrediction", "probability", "prediction")
 
 
+TEMPERATURES = [round(0.25 * 1.25 ** i, 4) for i in range(18)]
+
+
+def tempered(probabilities: list[str], temperature: Column) -> list[Column]:
+    """The probabilities at another temperature: powers 1 / t, summed to 1."""
+    # a probability of 0 stays finite in the log loss
+    powers = [F.pow(F.greatest(F.col(p), F.lit(1e-12)), 1 / temperature) for p in probabilities]
+    whole = reduce(lambda a, b: a + b, powers)
+    return [x / whole for x in powers]
+
+
+def class_log_loss(probabilities: list[Column], label: Column) -> Column:
+    """-ln of the probability given to the row's own class, 0, 1, ...; NULL
+    without a class."""
+    own = reduce(lambda rest, i: F.when(label == i, probabilities[i]).otherwise(rest), range(len(probabilities)), F.lit(None).cast("double"))
+    return F.when(own.isNotNull(), -F.ln(F.greatest(own, F.lit(1e-12))))
+
+
+def cross_fitted_texts(docs: DataFrame, classes: list[str], key: str = "doc_id", text: str = "text", label: str = "label",
+                       folds: int = 3, features: int = 1 << 16) -> DataFrame:
+    """Class probabilities of every text from a model that has not seen it.
+
+    A text's fold is a hash of its content, so equal texts are never on both
+    sides of a fit; rows without a label are scored like the others and never
+    fitted on. Each fold's model is fitted on the labelled rows of the other
+    folds. One temperature for all, that of `TEMPERATURES` with the least mean
+    log loss over the held-out labelled rows, sharpens or softens them.
+
+    Returns `key`, `label`, `fold`, `temperature` and one column per class.
+    NULL texts count as empty. A fold whose other folds hold fewer than two
+    classes, or no rows, has no model: its probabilities are equal.
+    """
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("double").alias("label"))
+    rows = cut_lineage(rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int")), "texts")
+    seen = {(r.fold, r.label) for r in rows.filter("label IS NOT NULL").select("fold", "label").distinct().collect()}
+
+    def scored(fold: int) -> DataFrame:
+        own = rows.filter(F.col("fold") == fold)
+        if len({label for other, label in seen if other != fold}) < 2:
+            return own.withColumns({c: F.lit(1.0 / len(classes)) for c in classes}).drop("text")
+        model = text_classifier(rows.filter((F.col("fold") != fold) & F.col("label").isNotNull()), features=features)
+        p = vector_to_array("probability")
+        found = model.transform(own)
+        # a class that no fitted row holds has no place in the vector or probability 0
+        return found.select(key, "label", "fold", *[F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)).alias(c) for i, c in enumerate(classes)])
+
+    held_out = cut_lineage(reduce(DataFrame.unionByName, in_parallel([partial(scored, k) for k in range(folds)])), "held-out")
+    loss = {t: class_log_loss(tempered(classes, F.lit(t)), F.col("label")) for t in TEMPERATURES}
+    sums = held_out.filter("label IS NOT NULL").agg(*[F.avg(v).alias(str(i)) for i, v in enumerate(loss.values())]).first()
+    known = [(v, abs(t - 1), t) for v, t in zip(sums, TEMPERATURES) if v is not None]
+    best = min(known)[2] if known else 1.0
+    sharp = dict(zip(classes, tempered(classes, F.lit(best))))
+    return held_out.select(key, "label", "fold", F.lit(best).alias("temperature"), *[v.alias(c) for c, v in sharp.items()])
+
+
 def margin(scored: DataFrame) -> Column:
     """Log odds of 'up' from either kind of classifier."""
     p = vector_to_array("probability")[1]
