@@ -132,9 +132,15 @@ def fundamentals_factors(m: Market):
     return R.factor_table(fund_panel(m)).withColumns({c: r(c) for c in ("pearson", "spearman", "p_spearman", "p_pearson")})
 
 
+def vola(m: Market):
+    """The volatility panel. Its bars, read twice by it, and itself, read by
+    every fit and forecast, are written once, so that trades are read once."""
+    return R.cut_lineage(panels.volatility_panel(R.cut_lineage(m.prices, "vol-bars")), "vol-panel")
+
+
 def outlooks(m: Market, part: int):
     """One of evaluation and forecasts, for all horizons."""
-    return each([out[part] for out in R.volatility_outlooks(panels.volatility_panel(m.prices)).values()])
+    return each([out[part] for out in R.volatility_outlooks(vola(m)).values()])
 
 
 @query("volatility_evaluation", dates="test_start test_end")
@@ -149,12 +155,12 @@ def volatility_forecasts(m: Market):
 
 @query("volatility_walk_forward", dates="test_start test_end")
 def volatility_walk_forward(m: Market):
-    return R.volatility_walk_forwards(panels.volatility_panel(m.prices))
+    return R.volatility_walk_forwards(vola(m))
 
 
 @query("volatility_ablation")
 def volatility_ablation(m: Market):
-    return R.volatility_ablation(panels.volatility_panel(m.prices))
+    return R.volatility_ablation(vola(m))
 
 
 @query("hypothesis_hit_rate")

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marketloom.catalog import models as catalog
 from marketloom.functions import params as P
 from marketloom.operators import learning
 from marketloom.plans import research
+from marketloom.sources.tables import Market
 
 BOTH = P.TECHNICAL_FEATURES + P.SENTIMENT_FEATURES
 DAY = dt.date(2015, 1, 1)
@@ -101,6 +103,15 @@ def test_volatility_outlook_beats_persistence(spark):
     assert {r.ticker for r in f} == {"T0", "T1"} and all(r.band_low_annpct <= r.forecast_annpct <= r.band_high_annpct for r in f)
 
 
+def test_volatility_forecasts_read_trades_once(spark, monkeypatch):
+    """All forecasts come from one written panel: nothing they return goes back to the trades."""
+    outlooks = research.volatility_outlooks
+    monkeypatch.setattr(research, "volatility_outlooks", lambda panel: outlooks(panel, rounds=2))
+    out = catalog.volatility_forecasts(Market(spark, "/root/testdata/sf0.01"))
+    assert not any("lineitem" in f for f in out.inputFiles()) and out.count() == 50
+    assert not any("lineitem" in f for f in catalog.vola(Market(spark, "/root/testdata/sf0.001")).inputFiles())
+
+
 def test_volatility_needs_rows(spark):
     assert research.volatility_outlook(volatility(spark, days=120), 21, rounds=2) is None
 
