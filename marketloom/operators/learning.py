@@ -138,14 +138,25 @@ def in_parallel(tasks: list[Callable], parallelism: int = 8) -> list:
         return pool.map(lambda t: t(), tasks)
 
 
-def text_classifier(labelled: DataFrame, text: str = "text", label: str = "label",
-                    features: int = 1 << 16) -> Model:
-    """Three-class text model: words, hashed counts, IDF, logistic regression."""
+def hashed_words(text: str = "text", features: int = 1 << 16) -> PipelineModel:
+    """Adds `words` and `tf`, their hashed counts. Nothing is fitted."""
     words = RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[^\p{L}]+")
-    tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=features)
-    idf = IDF(inputCol="tf", outputCol="features")
+    return PipelineModel([words, HashingTF(inputCol="words", outputCol="tf", numFeatures=features)])
+
+
+def fit_hashed(hashed: DataFrame, label: str = "label") -> PipelineModel:
+    """IDF and three-class logistic regression over rows with `tf`."""
     lr = LogisticRegression(labelCol=label, maxIter=50, regParam=0.01, family="multinomial")
-    return Pipeline(stages=[words, tf, idf, lr]).fit(labelled)
+    return Pipeline(stages=[IDF(inputCol="tf", outputCol="features"), lr]).fit(hashed)
+
+
+def text_classifier(labelled: DataFrame, text: str = "text", label: str = "label",
+                    features: int = 1 << 16) -> Model:
+    """Three-class text model: words, hashed counts, IDF, logistic regression.
+    Texts are split once; the fits read their counts."""
+    words = hashed_words(text, features)
+    hashed = cut_lineage(words.transform(labelled).select(label, "tf"), "hashed-words")
+    return PipelineModel([*words.stages, *fit_hashed(hashed, label).stages])
 
 
 def text_probabilities(model: Model, texts: DataFrame, classes: list[str]) -> DataFrame:
@@ -188,14 +199,16 @@ def cross_fitted_texts(docs: DataFrame, classes: list[str], key: str = "doc_id",
     classes, or no rows, has no model: its probabilities are equal.
     """
     rows = docs.select(key, F.coalesce(text, F.lit("")).alias("text"), F.col(label).cast("double").alias("label"))
-    rows = cut_lineage(rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int")), "texts")
+    rows = hashed_words("text", features).transform(rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int")))
+    # texts are split once, for all folds
+    rows = cut_lineage(rows.select(key, "label", "fold", "tf"), "hashed-words")
     seen = {(r.fold, r.label) for r in rows.filter("label IS NOT NULL").select("fold", "label").distinct().collect()}
 
     def scored(fold: int) -> DataFrame:
         own = rows.filter(F.col("fold") == fold)
         if len({label for other, label in seen if other != fold}) < 2:
-            return own.withColumns({c: F.lit(1.0 / len(classes)) for c in classes}).drop("text")
-        model = text_classifier(rows.filter((F.col("fold") != fold) & F.col("label").isNotNull()), features=features)
+            return own.withColumns({c: F.lit(1.0 / len(classes)) for c in classes}).drop("tf")
+        model = fit_hashed(rows.filter((F.col("fold") != fold) & F.col("label").isNotNull()))
         p = vector_to_array("probability")
         found = model.transform(own)
         # a class that no fitted row holds has no place in the vector or probability 0

@@ -60,3 +60,16 @@ def test_log_loss_of_a_row_without_a_class_is_null(spark):
     df = spark.createDataFrame([(1, 0.5, 0.0), (None, 0.5, 0.5), (2, 0.5, 0.5), (0, 0.25, 0.75)], "label int, p0 double, p1 double")
     got = [r.x for r in df.select(learning.class_log_loss([F.col("p0"), F.col("p1")], F.col("label")).alias("x")).collect()]
     assert got == [pytest.approx(-math.log(1e-12)), None, None, pytest.approx(-math.log(0.25))]
+
+
+def test_fits_read_hashed_counts(spark, monkeypatch):
+    """No fit splits a text again: it reads the counts that were written once."""
+    fit, read = learning.LogisticRegression.fit, []
+    monkeypatch.setattr(learning.LogisticRegression, "fit", lambda self, rows, *a: read.append((rows.columns, rows.inputFiles())) or fit(self, rows, *a))
+    docs = spark.createDataFrame(corpus(60), SCHEMA)
+    assert learning.cross_fitted_texts(docs, CLASSES).count() == 60
+    model = learning.text_classifier(docs.withColumn("label", F.col("label").cast("double")))
+    out = learning.text_probabilities(model, docs.select("doc_id", "text"), CLASSES)
+    assert out.columns == ["doc_id", "text", *CLASSES] and out.count() == 60
+    assert len(read) == 4
+    assert all("words" not in columns and files and all("hashed-words" in f for f in files) for columns, files in read)
