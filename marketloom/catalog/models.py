@@ -187,12 +187,15 @@ def text_model_scores(m: Market):
 
 @query("text_model_held_out")
 def text_model_held_out(m: Market):
-    """As `text_model_scores`, each text scored by a model that has not seen it,
-    with the held-out log loss beside that of the class shares."""
+    """As `text_model_scores`, each text scored by a model and a temperature that
+    have not seen its label, with the held-out log loss beside that of the class shares."""
     label = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 0).otherwise(2)
-    docs = m.news_text.withColumn("label", F.when(F.col("quality").isNotNull(), label))
+    blank = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
+    docs = m.news_text.withColumns({"label": F.when(F.col("quality").isNotNull(), label), "blank": blank})
     names = ["p_pos", "p_neg", "p_neu"]
-    p = L.cross_fitted_texts(docs, names)
+    p = L.cross_fitted_texts(docs, names, nested=True, keep=("blank",))
     loss = L.class_log_loss([F.col(c) for c in names], F.col("label"))
-    return p.select("doc_id", "fold", "temperature", *[F.round(c, 6).alias(c) for c in names], F.round(loss, 6).alias("log_loss"),
-                    T.label_from_probabilities("p_pos", "p_neg", "p_neu").alias("sentiment_label"))
+    return p.select("doc_id", "fold", F.round("temperature", 6).alias("temperature"), *[F.round(c, 6).alias(c) for c in names],
+                    F.round(loss, 6).alias("log_loss"), F.round("share_loss", 6).alias("share_log_loss"),
+                    F.when(F.col("blank"), 0.0).otherwise(F.round(F.col("p_pos") - F.col("p_neg"), 6)).alias("sentiment_score"),
+                    F.when(F.col("blank"), "neu").otherwise(T.label_from_probabilities("p_pos", "p_neg", "p_neu")).alias("sentiment_label"))

@@ -73,3 +73,82 @@ def test_fits_read_hashed_counts(spark, monkeypatch):
     assert out.columns == ["doc_id", "text", *CLASSES] and out.count() == 60
     assert len(read) == 4
     assert all("words" not in columns and files and all("hashed-words" in f for f in files) for columns, files in read)
+
+
+def mislabelled(n=120):
+    """The corpus with every fourth label wrong, so that the best temperature is no extreme."""
+    rng = random.Random(2)
+    return [(i, text, rng.randrange(3) if i % 4 == 0 else label, fold) for i, text, label, fold in corpus(n)]
+
+
+@pytest.mark.parametrize("folds", [2, 3])
+def test_no_label_of_a_fold_has_a_part_in_its_nested_scores(spark, folds):
+    def scores(rows):
+        out = learning.cross_fitted_texts(spark.createDataFrame(rows, SCHEMA), CLASSES, folds=folds, features=256, nested=True)
+        return {r.doc_id: r for r in out.collect()}
+
+    rows = mislabelled()
+    plain = scores(rows)
+    changed = scores([(i, text, (label + 1) % 3 if plain[i].fold == 0 else label, c) for i, text, label, c in rows])
+    assert {r.fold for r in plain.values()} == set(range(folds))
+    for i, r in plain.items():
+        same = [changed[i][c] == pytest.approx(r[c], abs=1e-9) for c in ("temperature", *CLASSES)]
+        # the other folds' models were fitted on the changed labels
+        assert all(same) if r.fold == 0 else not all(same)
+    assert len({r.temperature for r in plain.values()}) == folds
+
+
+def test_nested_temperature_has_the_least_loss(spark):
+    rng = random.Random(3)
+    rows = [(fold, rng.choice([label, label, rng.randrange(2)]), x := rng.uniform(0.5, 0.99 - fold / 9) if label == 0 else rng.uniform(0.01, 0.5), 1 - x)
+            for fold in (0, 1) for label in (0, 1) for _ in range(150)]
+    df = spark.createDataFrame([*rows, (0, None, 0.5, 0.5)], "fold int, label int, p0 double, p1 double")
+    best = learning.least_loss(df, ["p0", "p1"], [learning.WIDE] * 3, zooms=3)
+
+    def loss(fold, t):
+        own = [(p0, p1)[label] for f, label, p0, p1 in rows if f == fold]
+        return sum(math.log(1 + ((1 - p) / p) ** (1 / t)) for p in own) / len(own)
+
+    assert best[2] == 1 and best[0] not in learning.WIDE
+    assert all(loss(k, best[k]) <= min(loss(k, best[k] * s) for s in (0.99, 0.999, 1.001, 1.01)) + 1e-7 for k in (0, 1))
+
+
+def test_text_fits_end_by_their_tolerance(spark):
+    """Few rows of few words whose labels they do not explain take more than 50 steps."""
+    rng = random.Random(4)
+    words = ["w" + chr(97 + i) + chr(97 + j) for i in range(20) for j in range(20)]
+    rows = [(" ".join(rng.choice(words[:1 + 4 * rng.randrange(1, 100)]) for _ in range(rng.randrange(5, 400))), float(rng.randrange(3))) for _ in range(300)]
+    model = learning.text_classifier(spark.createDataFrame(rows, "text string, label double"), features=1024)
+    assert 50 < model.stages[-1].summary.totalIterations < learning.TEXT_ITERATIONS
+
+
+def test_texts_equal_to_a_model_share_a_fold(spark):
+    rows = corpus(30) + [(100 + i, f"  {text.upper()}! 7", None, None) for i, text, _, _ in corpus(30)]
+    out = {r.doc_id: r.fold for r in learning.cross_fitted_texts(spark.createDataFrame(rows, SCHEMA), CLASSES).collect()}
+    assert all(out[i] == out[100 + i] for i in range(30)) and len(set(out.values())) == 3
+
+
+def test_share_loss_counts_the_other_folds(spark):
+    rows = corpus(60)
+    out = learning.cross_fitted_texts(spark.createDataFrame(rows + [(100, "alpha", None, "x")], SCHEMA), CLASSES, features=256)
+    out = {r.doc_id: r for r in out.collect()}
+    assert out[100].share_loss is None
+    for i, _, label, _ in rows:
+        others = [l for j, _, l, _ in rows if out[j].fold != out[i].fold]
+        assert out[i].share_loss == pytest.approx(-math.log(others.count(label) / len(others)))
+
+
+def test_query_holds_the_columns_it_names(spark, tmp_path):
+    """Blank texts are neutral as in `text_model_scores`, and the loss stands beside that of the class shares."""
+    from __spark_entry__ import queries
+
+    texts = [(i, text) for i, text, _, _ in corpus(30)] + [(100, " "), (101, ""), (102, None)]
+    docs = spark.createDataFrame([(i, text, "en", "web") for i, text in texts], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 3 == 0), int(i % 3 == 1)) for i in range(27)]
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r.doc_id: r for r in queries()["text_model_held_out"](spark, str(tmp_path)).collect()}
+    assert out.keys() == {i for i, _ in texts}
+    assert all((out[i].sentiment_score, out[i].sentiment_label) == (0.0, "neu") for i in (100, 101, 102))
+    assert all(out[i].sentiment_score == pytest.approx(out[i].p_pos - out[i].p_neg, abs=2e-6) for i in range(30))
+    assert all((out[i].log_loss is None) == (out[i].share_log_loss is None) == (i >= 27) for i in out)
